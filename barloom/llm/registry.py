@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("exact_dedup", "source_mix", "topk_search", "near_dedup")
+MODULES = ("exact_dedup", "source_mix", "topk_search", "near_dedup", "url_filter", "license_scan")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
