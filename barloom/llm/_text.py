@@ -34,7 +34,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_WORD_BYTE = np.where(_SPACE, U(0), _BYTE[_LOWER])
+_SIGN = _SPACE.copy()  # space and every other ASCII byte that is no letter or digit
+_SIGN[:128] |= ~np.isin(np.arange(128), [*range(48, 58), *range(65, 91), *range(97, 123)])
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -57,12 +58,13 @@ def slices(column: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int, np.n
         i = j
 
 
-def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words (A-Z folded, split at space and U+0009 to U+000D), and the offset
-    of every text's first word among them (one more than texts)."""
+def words(data: np.ndarray, at: np.ndarray, *, signs: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words (A-Z folded, split at space and U+0009 to U+000D; with ``signs``
+    at ASCII signs too), and the offset of every text's first word among them (one more than texts)."""
+    apart = _SIGN if signs else _SPACE
     if not len(data):
         return np.zeros(0, U), np.zeros(len(at), np.int64)
-    space = _SPACE[data]
+    space = apart[data]
     first = ~space
     first[1:] &= space[:-1]
     heads = at[:-1][at[:-1] < at[1:]]
@@ -73,7 +75,7 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     data, at = data[starts[0] :], at - starts[0]
     starts = starts - starts[0]
     place = np.arange(len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data))))
-    value = _WORD_BYTE[data]
+    value = np.where(apart, U(0), _BYTE[_LOWER])[data]
     if place.max() < 4096:
         value *= _PLACE[place]
     else:
