@@ -14,6 +14,7 @@ so words are encoded once per batch and reused.
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,7 +29,7 @@ from barloom.llm._spark import table
 
 VOCABULARY = "word_bpe_49k.json"
 #: Characters of a piece, of the first window on each side of a join, and words a task remembers.
-LEAF, WINDOW, REMEMBERED = 16384, 64, 400_000
+LEAF, WINDOW, REMEMBERED = 1 << 16, 64, 400_000
 #: Characters at either end of a window in which no agreement counts: more than a special token has.
 GUARD = 16
 _SPACES = b" \t\n\x0b\x0c\r"
@@ -44,6 +45,7 @@ def vocabulary_path() -> str:
 def tokenizer(path: str):
     from tokenizers import Tokenizer
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     t = Tokenizer.from_file(path)
     t.no_truncation()
     t.no_padding()
@@ -150,7 +152,7 @@ def _leaves(path: str | None):
         own = path or vocabulary_path()
         for batch in batches:
             made = [piece(own, t) for t in batch["leaf"]]
-            yield batch.assign(ids=[p.ids.tobytes() for p in made], starts=[p.starts.tobytes() for p in made])
+            yield batch.assign(ids=[p.ids.tobytes() for p in made], starts=[p.starts.astype(np.int32).tobytes() for p in made])
 
     return run
 
@@ -168,7 +170,7 @@ def _cut_up(leaf: int):
 def _joined(path: str | None):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("place")
-        pieces = [Piece(t, np.frombuffer(i, np.uint32), np.frombuffer(s, np.int64)) for t, i, s in zip(rows["leaf"], rows["ids"], rows["starts"], strict=True)]
+        pieces = [Piece(t, np.frombuffer(i, np.uint32), np.frombuffer(s, np.int32).astype(np.int64)) for t, i, s in zip(rows["leaf"], rows["ids"], rows["starts"], strict=True)]
         ids = tree(path or vocabulary_path(), pieces)
         return pd.DataFrame({"id": pd.Series([rows["id"].iloc[0]], dtype="Int64"), "times": [int(rows["times"].iloc[0])], "ids": [ids.tobytes()]})
 
