@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm._spark import cut, table
@@ -54,15 +54,15 @@ def _ranks(data: np.ndarray, upto: int) -> list[np.ndarray]:
     return out
 
 
-def _rank_of(levels: list[np.ndarray], length: int, n: int) -> np.ndarray:
-    """Ranks of the strings of ``length`` bytes at the first n positions, from those of its binary parts."""
-    out, at = np.full(n, length, U), 0
+def _rank_of(levels: list[np.ndarray], length: int, at: np.ndarray) -> np.ndarray:
+    """Ranks of the strings of ``length`` bytes at the positions ``at``, from those of its binary parts."""
+    out, done = np.full(len(at), length, U), 0
     for k in reversed(range(len(levels))):
-        while length - at >= 1 << k:
+        while length - done >= 1 << k:
             out *= _FACTORS[32 + k]
-            out += levels[k][at : at + n]
+            out += levels[k][at + done]
             out ^= out >> U(29)
-            at += 1 << k
+            done += 1 << k
     return out
 
 
@@ -74,7 +74,7 @@ class Places:
         self.levels, self.length = _ranks(data, 1 << (length.bit_length() - 1)), length
         n = len(data) - length + 1
         self.lo = self.n = self.row = np.zeros(0, np.int64)
-        self.g = self.c = np.zeros(0, U)
+        self.g, self.place = np.zeros(0, U), self.lo
         if n <= 0:
             return
         short = self.levels[gram.bit_length() - 1]
@@ -97,10 +97,14 @@ class Places:
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(p)) - 1
         lo, hi = p[first], p[last]
-        whole = _rank_of(self.levels, length, n)
-        self.lo, self.n, self.row = lo, hi - lo + 1, row[lo]
-        self.g = mix(short[place[lo]])
-        self.c = mix(mix(whole[lo] + U(3)) * U(0x9E3779B97F4A7C15) + whole[hi] + (self.n * 1024 + place[lo] - lo).astype(U))
+        self.lo, self.n, self.row, self.place = lo, hi - lo + 1, row[lo], place[lo]
+        self.g = mix(short[self.place])
+
+    def surroundings(self, which: np.ndarray) -> np.ndarray:
+        """Ranks of all that the windows of the places ``which`` cover."""
+        lo, n = self.lo[which], self.n[which]
+        first, last = _rank_of(self.levels, self.length, lo), _rank_of(self.levels, self.length, lo + n - 1)
+        return mix(mix(first + U(3)) * U(0x9E3779B97F4A7C15) + last + (n * 1024 + self.place[which] - lo).astype(U))
 
     def windows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Place number, position and the two half ranks of every window of the places ``which``."""
@@ -108,10 +112,7 @@ class Places:
         owner = np.repeat(which, n)
         p = np.repeat(self.lo[which], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         half = self.length // 2
-        size = max(0, len(self.levels[0]) - self.length + 1)
-        a = _rank_of(self.levels, half, size)
-        b = _rank_of([x[half:] for x in self.levels], self.length - half, size)
-        return owner, p, mix(a[p]), mix(b[p])
+        return owner, p, mix(_rank_of(self.levels, half, p)), mix(_rank_of(self.levels, self.length - half, p + half))
 
 
 def _stretches(column: pa.Array, length: int) -> Iterator[tuple[int, int, int, Places]]:
@@ -178,13 +179,19 @@ def _rows(length: int, keep: Callable[[Places], np.ndarray] | None, full: bool):
                     continue
                 row = places.row[k]
                 lo = places.lo[k] - _starts(batch.column(1), i, j)[row] + s
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i + row]), pa.array(lo), pa.array(places.n[k]), g, pa.array(places.c[k].view(np.int64))], names=["id", "lo", "n", "g", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i + row]), pa.array(lo), pa.array(places.n[k]), g, pa.array(places.surroundings(k).view(np.int64))], names=["id", "lo", "n", "g", "c"])
 
     return run
 
 
-def _windows(length: int, bits: Callable[[], BitSet] | None):
-    """Windows ``id, p, a, b`` of the asked places: those in a bit set, or in the list of the row."""
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a * U(0x9E3779B97F4A7C15) + b)
+
+
+def _windows(length: int, bits: Callable[[], BitSet] | None, twice: Callable[[], BitSet] | None):
+    """Windows ``id, p, a, b`` of the asked places: those in a bit set, or in the list of the row.
+
+    With ``twice``, only windows that may be repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,6 +207,9 @@ def _windows(length: int, bits: Callable[[], BitSet] | None):
                     asked = batch.column(2).slice(i, j - i)
                     which = np.isin(_place_id(places.row, lo), np.concatenate([_place_id(np.full(len(x), r), np.array(x.as_py(), np.int64)) for r, x in enumerate(asked)]))
                 owner, p, a, b = places.windows(np.flatnonzero(which))
+                if twice:
+                    k = np.flatnonzero(twice().has(_pair(a, b)))
+                    owner, p, a, b = owner[k], p[k], a[k], b[k]
                 for t in range(0, len(p), 50_000):
                     o = owner[t : t + 50_000]
                     yield pa.RecordBatch.from_arrays(
@@ -210,8 +220,24 @@ def _windows(length: int, bits: Callable[[], BitSet] | None):
     return run
 
 
+def _hashed(make: Callable[[np.ndarray, np.ndarray], np.ndarray]):
+    """One 64-bit value of the two long columns of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(make(x.column(0).to_numpy(), x.column(1).to_numpy()).view(np.int64))], names=["x"])
+
+    return run
+
+
+def _other_than_first(at: str) -> Column:
+    return (F.col("id") != F.col("first.id")) | (F.col(at) != F.col(f"first.{at}"))
+
+
 def repeated_runs(texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``id, start, stop``: byte runs of ``texts (id, text)`` that an earlier place repeats; they may overlap."""
+    """``id, start, stop``: byte runs of ``texts (id, text)`` that an earlier place repeats; they may overlap.
+
+    Every round is written to the checkpoint folder, so only its own shuffle is on disk meanwhile."""
     sc = texts.sparkSession.sparkContext
     ranks = texts.mapInArrow(_rows(length, None, False), "g long")
     twice = cut(ranks.groupBy("g").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("g"))
@@ -219,25 +245,43 @@ def repeated_runs(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     places = texts.mapInArrow(_rows(length, lambda x: seen.value.has(x.g), True), "id long, lo long, n long, g long, c long")
     places = cut(places.join(twice, "g"))
     classes = cut(places.groupBy("g", "c").agg(F.min(F.struct("id", "lo")).alias("first")))
+    repeats = places.join(classes, ["g", "c"]).where(_other_than_first("lo"))
+    runs = cut(repeats.select("id", F.col("lo").alias("start"), (F.col("lo") + F.col("n") + (length - 1)).alias("stop")))
     split = classes.groupBy("g").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("g")
     firsts = cut(classes.join(split, "g").select("first.id", "first.lo"))
-    repeats = places.join(classes, ["g", "c"]).where((F.col("id") != F.col("first.id")) | (F.col("lo") != F.col("first.lo")))
-    runs = repeats.select("id", F.col("lo").alias("start"), (F.col("lo") + F.col("n") + (length - 1)).alias("stop"))
+    del places, classes, repeats, split
 
     schema = "id long, p long, a long, b long"
-    if firsts.count() <= ENTRIES:
+    fits = firsts.count() <= ENTRIES
+    asked = sc.broadcast(bit_set(firsts.mapInArrow(_hashed(_place_id), "x long"))) if fits else None  # of fixed size
+    listed = None if fits else texts.join(firsts.groupBy("id").agg(F.collect_list("lo").alias("asked")), "id").select("id", "text", "asked")
+
+    def windows(again: Callable[[], BitSet] | None) -> DataFrame:
+        if asked:
+            return texts.mapInArrow(_windows(length, lambda: asked.value, again), schema)
+        return listed.mapInArrow(_windows(length, None, again), schema)
+
+    best = cut(windows(None).groupBy("a", "b").agg(F.min(F.struct("id", "p")).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times"))
+    again = sc.broadcast(bit_set(best.select("a", "b").mapInArrow(_hashed(lambda a, b: _pair(a.view(U), b.view(U))), "x long")))  # of fixed size
+    later = windows(lambda: again.value).join(best, ["a", "b"]).where(_other_than_first("p"))
+    return cut(runs.union(later.select("id", F.col("p").alias("start"), (F.col("p") + length).alias("stop"))))
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of each text in order, those that meet made one."""
+    for batch in batches:
+        out = [_union(a.values.to_numpy(), b.values.to_numpy()) for a, b in zip(batch.column(1), batch.column(2), strict=True)]
+        lists = [pa.array([x[k] for x in out], pa.list_(pa.int64())) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["id", "start", "stop"])
 
-        def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield pa.RecordBatch.from_arrays([pa.array(_place_id(b.column(0).to_numpy(), b.column(1).to_numpy()).view(np.int64))], names=["x"])
 
-        asked = sc.broadcast(bit_set(firsts.mapInArrow(hashed, "x long")))  # of fixed size
-        windows = texts.mapInArrow(_windows(length, lambda: asked.value), schema)
-    else:
-        windows = texts.join(firsts.groupBy("id").agg(F.collect_list("lo").alias("asked")), "id").select("id", "text", "asked").mapInArrow(_windows(length, None), schema)
-    best = windows.groupBy("a", "b").agg(F.min(F.struct("id", "p")).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
-    later = windows.join(best, ["a", "b"]).where((F.col("id") != F.col("first.id")) | (F.col("p") != F.col("first.p")))
-    return runs.union(later.select("id", F.col("p").alias("start"), (F.col("p") + length).alias("stop")))
+def _union(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], np.maximum.accumulate(b[order])
+    new = np.ones(len(a), bool)
+    new[1:] = a[1:] > b[:-1]
+    head = np.flatnonzero(new)
+    return a[head], b[np.append(head[1:], len(b)) - 1]
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,12 +293,6 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 kept.append(text), removed.append(0), spans.append([])
                 continue
             a, b = np.minimum(starts.values.to_numpy(), len(text)), np.minimum(stops.values.to_numpy(), len(text))
-            order = np.argsort(a, kind="stable")
-            a, b = a[order], np.maximum.accumulate(b[order])
-            new = np.ones(len(a), bool)
-            new[1:] = a[1:] > b[:-1]
-            head = np.flatnonzero(new)
-            a, b = a[head], b[np.append(head[1:], len(b)) - 1]
             pieces = [text[x:y] for x, y in zip(np.append(0, b), np.append(a, len(text)), strict=True)]
             kept.append(b"".join(pieces)), removed.append(int((b - a).sum())), spans.append([{"start": int(x), "stop": int(y)} for x, y in zip(a, b, strict=True)])
         yield pa.RecordBatch.from_arrays(
@@ -278,7 +316,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """
     least = F.lit(-(2**63)).cast("long")
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), least).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    runs = repeated_runs(texts, length).groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("runs")).select("id", "runs.start", "runs.stop")
+    runs = repeated_runs(texts, length).groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
+    runs = cut(runs.select("id", "runs.start", "runs.stop").mapInArrow(_united, "id long, start array<long>, stop array<long>"))
     out = texts.join(runs, "id", "left").select("id", "text", "start", "stop").mapInArrow(_cut_out, "id long, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, kept binary")
     return out.withColumn("id", F.nullif("id", least))
 
