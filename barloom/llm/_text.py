@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 
 U = np.uint64
 #: Bytes of text that one slice holds (a longer text is a slice of its own).
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -56,6 +56,8 @@ def slices(column: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int, np.n
         j = min(j, n)
         yield i, j, data[at[i] : at[j]], at[i : j + 1] - at[i]
         i = j
+    if size and n:
+        pa.default_memory_pool().release_unused()  # workers stay between stages; what they hold counts
 
 
 def words(data: np.ndarray, at: np.ndarray, *, signs: bool = False) -> tuple[np.ndarray, np.ndarray]:

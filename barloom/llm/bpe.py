@@ -29,7 +29,7 @@ from barloom.llm._spark import table
 
 VOCABULARY = "word_bpe_49k.json"
 #: Characters of a piece, of the first window on each side of a join, and words a task remembers.
-LEAF, WINDOW, REMEMBERED = 1 << 16, 64, 400_000
+LEAF, WINDOW, REMEMBERED = 1 << 16, 64, 100_000
 #: Characters at either end of a window in which no agreement counts: more than a special token has.
 GUARD = 16
 _SPACES = b" \t\n\x0b\x0c\r"
@@ -143,6 +143,7 @@ def _short(path: str | None):
                 texts = pc.fill_null(part.column(1), "").cast(pa.binary()).to_pylist()
                 coder.learn(texts)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(coder.encode, texts), pa.binary())], names=["id", "ids"])
+            pa.default_memory_pool().release_unused()
 
     return run
 
