@@ -43,6 +43,11 @@ def _value_area(profile: Column, poc: Column, total: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(BUCKETS - 1)), start, step)
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once; a column named in a lambda would be computed per element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _bucketed(bars: DataFrame, keys: list[str]) -> DataFrame:
     w = Window.partitionBy(*keys)
     spread = F.col("_hi") - F.col("_lo")
@@ -71,12 +76,10 @@ def _weights(df: DataFrame, price_sigma: bool) -> DataFrame:
         out = (_centre(i) + F.col("_size") / 2 < F.col("low")) | (_centre(i) - F.col("_size") / 2 > F.col("high"))
         return F.exp(-0.5 * z * z) * F.when(out, OUTSIDE).otherwise(1.0)
 
-    df = df.withColumn("_pdf", F.when(F.col("_sigma") > 0, F.transform(numbers, density)))
-    df = df.withColumn("_sum", F.aggregate("_pdf", F.lit(0.0), lambda a, x: a + x))
     nearest = F.array_min(F.transform(numbers, lambda i: F.struct(F.round(F.abs(_centre(i) - F.col("_tp")), 9).alias("d"), i.alias("i"))))["i"]
-    alone = F.transform(numbers, lambda i: F.when(i == F.col("_near"), F.col("_v")).otherwise(0.0))
-    df = df.withColumn("_near", F.when(F.col("_sigma") <= 0, nearest))
-    spread = F.transform("_pdf", lambda x: F.when(F.col("_sum") > 0, x / F.nullif("_sum", F.lit(0.0)) * F.col("_v")).otherwise(0.0))
+    alone = _let(nearest, lambda n: F.transform(numbers, lambda i: F.when(i == n, F.col("_v")).otherwise(0.0)))
+    share = lambda pdf, total: F.transform(pdf, lambda x: F.when(total > 0, x / F.nullif(total, F.lit(0.0)) * F.col("_v")).otherwise(0.0))
+    spread = _let(F.transform(numbers, density), lambda pdf: _let(F.aggregate(pdf, F.lit(0.0), lambda a, x: a + x), lambda total: share(pdf, total)))
     return df.withColumn("_part", F.when(F.col("_sigma") > 0, spread).otherwise(alone))
 
 
@@ -105,7 +108,8 @@ def profile(bars: DataFrame, keys: list[str], *, time: bool = False, price_sigma
         .select(*keys, F.transform("_a", lambda s: s["_x"]).alias("profile"))
     )
     out = df.groupBy(*keys).agg(*whole).join(sums, keys).withColumn("_poc", (F.array_position("profile", F.array_max("profile")) - 1).cast("int"))
-    out = out.withColumn("_area", _value_area(F.col("profile"), F.col("_poc"), F.col("_total")))
+    found = F.struct(F.col("profile").alias("x"), F.col("_poc").alias("p"), F.col("_total").alias("t"))
+    out = out.withColumn("_area", _let(found, lambda v: _value_area(v["x"], v["p"], v["t"])))
     flat, none = F.col("_hi") <= F.col("_lo"), F.col("_total") <= 0
     edge = lambda side, sign: _centre(F.col(f"_area.{side}")) + sign * F.col("_size") / 2
     return out.select(
