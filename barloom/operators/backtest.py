@@ -259,7 +259,8 @@ def run(strategy: Strategy, prepared: DataFrame, how: Execution | dict[str, Exec
             parts.append(pd.DataFrame(account.trades).assign(kind="trade"))
         if account.notes:
             parts.append(pd.DataFrame(account.notes, columns=["ts", "code"]).assign(kind="note"))
-        return pd.concat(parts, ignore_index=True).assign(**keys).reindex(columns=names)
+        out = pd.concat(parts, ignore_index=True).assign(**keys).reindex(columns=names)
+        return out.astype({f.name: object for f in schema.fields if isinstance(f.dataType, T.StringType)})
 
     return rows.groupBy(*by).applyInPandas(kernel, schema)
 

@@ -99,7 +99,7 @@ def rolling_win_rate(equity: DataFrame, trades: DataFrame, n: int = 60, by: tupl
 def rolling_drawdown(equity: DataFrame, by: tuple[str, ...] = KEY) -> DataFrame:
     """Adds ``rolling_drawdown``, negative, and ``rolling_pnl``, the change over a bar."""
     df = with_drawdown(equity, by)
-    return df.withColumns({"rolling_drawdown": -F.round("dd", 4), "rolling_pnl": F.coalesce(F.col("value") - F.lag("value").over(_w(by)), F.lit(0.0))}).drop("dd")
+    return df.withColumns({"rolling_drawdown": F.lit(0.0) - F.round("dd", 4), "rolling_pnl": F.coalesce(F.col("value") - F.lag("value").over(_w(by)), F.lit(0.0))}).drop("dd")
 
 
 def monthly_returns(equity: DataFrame, by: tuple[str, ...] = KEY) -> DataFrame:

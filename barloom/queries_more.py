@@ -95,7 +95,7 @@ def profile_rolling(spark, d):
     return out(add_indicators(B.event_bars(spark, d), names), *names)
 
 
-_SHAPE = f"""sv AS (SELECT symbol, day, sum(volume)::DOUBLE AS v FROM s GROUP BY 1, 2),
+_SHAPE = """sv AS (SELECT symbol, CAST(ts AS DATE) AS day, sum(volume)::DOUBLE AS v FROM bars GROUP BY 1, 2),
 sh0 AS (SELECT p.symbol, p.day, p.poc, p.vah, p.val, p.total, p.has, list_filter(p.arr, lambda x: x > 0) AS a, avg(v) OVER (PARTITION BY p.symbol ORDER BY p.day ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS mv, count(*) OVER (PARTITION BY p.symbol) AS ns
   FROM prof p JOIN sv ON sv.symbol = p.symbol AND sv.day = p.day),
 sh1 AS (SELECT *, list_position(a, list_max(a)) - 1 AS t, len(a) AS n FROM sh0),
@@ -121,7 +121,7 @@ def profile_slopes(spark, d):
     return out(add_indicators(B.event_bars(spark, d), names), *names)
 
 
-_AUCTION = f"""{_ATR}, s AS (SELECT *, CAST(ts AS DATE) AS day FROM bars), {profile_sql("s", "symbol, day")},
+_AUCTION = f"""{_ATR}, sx AS (SELECT *, CAST(ts AS DATE) AS day FROM bars), {profile_sql("sx", "symbol, day")},
 q0 AS (SELECT b.symbol, b.source, b."interval", b.ts, b.high, b.low, b.close, b.volume, b.atr, prof.poc, prof.vah, prof.val, (b.close - b.low) / nullif(b.high - b.low, 0) AS ibs, CAST(b.ts AS DATE) AS day FROM b JOIN prof ON prof.symbol = b.symbol AND prof.day = CAST(b.ts AS DATE)),
 q AS (SELECT *, close >= val AND close <= vah AS ins, close > vah AS abv, close < val AS bel, abs(close - poc) <= (vah - val) * 0.02 AS atp, abs(close - vah) <= (vah - val) * 0.1 AS nvh, abs(close - val) <= (vah - val) * 0.1 AS nvl,
   lag(close) OVER ({W}) AS pc, lag(vah) OVER ({W}) AS pvh, lag(val) OVER ({W}) AS pvl, close - lag(close, 5) OVER ({W}) AS d5, volume / nullif({over("avg(volume)", 20, x="volume")}, 0) AS rvol,
@@ -301,7 +301,7 @@ def equity_metrics(spark, d):
 
 
 @query(
-    f"""WITH {_RET} SELECT {IDS}, {r(f"CASE WHEN count(ret) OVER w >= 10 THEN avg(ret) OVER w / nullif(stddev_samp(ret) OVER w, 0) END", "rolling_sharpe", 4)}, {r("-((peak - value) / peak)", "rolling_drawdown", 4)}, {r("coalesce(value - lag(value) OVER (PARTITION BY symbol ORDER BY ts), 0)", "rolling_pnl")}
+    f"""WITH {_RET} SELECT {IDS}, {r(f"CASE WHEN count(ret) OVER w >= 10 THEN avg(ret) OVER w / nullif(stddev_samp(ret) OVER w, 0) END", "rolling_sharpe", 4)}, {"0 - round((peak - value) / peak, 4) AS rolling_drawdown"}, {r("coalesce(value - lag(value) OVER (PARTITION BY symbol ORDER BY ts), 0)", "rolling_pnl")}
     FROM c WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)"""
 )
 def rolling_metrics(spark, d):
