@@ -260,7 +260,8 @@ def run(strategy: Strategy, prepared: DataFrame, how: Execution | dict[str, Exec
         if account.notes:
             parts.append(pd.DataFrame(account.notes, columns=["ts", "code"]).assign(kind="note"))
         out = pd.concat(parts, ignore_index=True).assign(**keys).reindex(columns=names)
-        return out.astype({f.name: object for f in schema.fields if isinstance(f.dataType, T.StringType)})
+        kinds = {f.name: object if isinstance(f.dataType, T.StringType) else "datetime64[us]" for f in schema.fields if isinstance(f.dataType, (T.StringType, T.TimestampNTZType))}
+        return out.astype(kinds)
 
     return rows.groupBy(*by).applyInPandas(kernel, schema)
 

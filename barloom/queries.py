@@ -149,9 +149,9 @@ def artifact_describe(spark, d):
     return B.describe(add_indicators(B.event_bars(spark, d), ["sma_20"]).select("close", "sma_20"))
 
 
-@query("SELECT p_partkey, p_name, p_brand FROM part WHERE lower(p_name) LIKE '%ed 1%' OR lower(p_brand) LIKE '%ed 1%'")
+@query("SELECT p_partkey, p_name, p_brand FROM part WHERE lower(p_name) LIKE '%12%' OR lower(p_brand) LIKE '%12%'")
 def symbol_search(spark, d):
-    return B.search(spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_name", "p_brand"), "ED 1", ("p_name", "p_brand"))
+    return B.search(spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_name", "p_brand"), "12", ("p_name", "p_brand"))
 
 
 @query(f"""WITH {BARS_1H} SELECT symbol, source, '1d' AS "interval", CAST(date_trunc('day', ts) AS TIMESTAMP) AS ts, arg_min(open, ts) AS open, max(high) AS high, min(low) AS low, arg_max(close, ts) AS close, sum(volume)::BIGINT AS volume
