@@ -11,7 +11,10 @@ whose rank is unique leave after each round:
 2. The rank of a place doubles on to its surrounding: the pair of the ranks of its first and last
    window. All but the first place of a class repeat an earlier one: their windows are repeats.
 3. First places whose 32 bytes stand in other surroundings too may still repeat in part. Their
-   windows are ranked one by one by the pair of ranks of their halves; all but the first repeat.
+   windows are cut into blocks of 8; a block's shared 93 bytes and its surroundings are ranked as in
+   rounds 1 and 2, and blocks whose shared bytes have one surrounding alone leave.
+4. Windows of the first blocks that are left are ranked one by one by the pair of ranks of their
+   halves; all but the first repeat.
 
 No round gathers a group: counts and first places are aggregates, joins back are ones that Spark
 can split. Bit sets of fixed size (``BITS``) keep rows that cannot matter out of a shuffle; they
@@ -35,6 +38,8 @@ from barloom.llm._text import _BYTE, U, mix, slices, stream
 LENGTH = 100
 #: Bits of a broadcast set (8 MB), and entries up to which it stands in for a join.
 BITS, ENTRIES = 1 << 26, 1 << 24
+#: Windows of a block in round 3.
+BLOCK = 8
 #: Bytes whose positions are ranked at a time.
 CHUNK = 1 << 20
 _FACTORS = stream(64, 21) | U(1)
@@ -106,11 +111,26 @@ class Places:
         first, last = _rank_of(self.levels, self.length, lo), _rank_of(self.levels, self.length, lo + n - 1)
         return mix(mix(first + U(3)) * U(0x9E3779B97F4A7C15) + last + (n * 1024 + self.place[which] - lo).astype(U))
 
-    def windows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Place number, position and the two half ranks of every window of the places ``which``."""
-        n = self.n[which]
+    def blocks(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Runs of up to ``BLOCK`` windows of the places ``which``, cut by distance to the place:
+        place number, first window, windows, rank of what all windows of a block share, rank of all they cover."""
+        lo, hi, at = self.lo[which], self.lo[which] + self.n[which] - 1, self.place[which]
+        nearest, farthest = (at - hi) // BLOCK, (at - lo) // BLOCK
+        count = farthest - nearest + 1
+        owner = np.repeat(np.arange(len(which)), count)
+        b = np.repeat(nearest, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        core = at[owner] - BLOCK * b
+        first, last = np.maximum(lo[owner], core - BLOCK + 1), np.minimum(hi[owner], core)
+        n = last - first + 1
+        shared = mix(_rank_of(self.levels, self.length - BLOCK + 1, core) * U(0x9E3779B97F4A7C15) + b.astype(U))
+        ends = _rank_of(self.levels, self.length, first), _rank_of(self.levels, self.length, last)
+        cover = mix(mix(ends[0] + U(5)) * U(0x9E3779B97F4A7C15) + ends[1] + (n * 64 + core - last).astype(U))
+        return which[owner], first, n, shared, cover
+
+    def windows_at(self, which: np.ndarray, lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Place number, position and the two half ranks of the n windows from lo on, of the places ``which``."""
         owner = np.repeat(which, n)
-        p = np.repeat(self.lo[which], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        p = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         half = self.length // 2
         return owner, p, mix(_rank_of(self.levels, half, p)), mix(_rank_of(self.levels, self.length - half, p + half))
 
@@ -184,14 +204,35 @@ def _rows(length: int, keep: Callable[[Places], np.ndarray] | None, full: bool):
     return run
 
 
+def _blocks(length: int, asked: Callable[[], BitSet], twice: Callable[[], BitSet] | None):
+    """Blocks ``id, p, n, core, cover`` of the asked places; with ``twice``, only those that may be repeated."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for i, j, s, places in _stretches(batch.column(1), length):
+                if not len(places.lo):
+                    continue
+                offset = _starts(batch.column(1), i, j)[places.row] - s
+                owner, p, n, core, cover = places.blocks(np.flatnonzero(asked().has(_place_id(ids[i + places.row], places.lo - offset))))
+                if twice:
+                    k = np.flatnonzero(twice().has(_pair(core, cover)))
+                    owner, p, n, core, cover = owner[k], p[k], n[k], core[k], cover[k]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[i + places.row[owner]]), pa.array(p - offset[owner]), pa.array(n), pa.array(core.view(np.int64)), pa.array(cover.view(np.int64))], names=["id", "p", "n", "core", "cover"]
+                )
+
+    return run
+
+
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * U(0x9E3779B97F4A7C15) + b)
 
 
-def _windows(length: int, bits: Callable[[], BitSet] | None, twice: Callable[[], BitSet] | None):
+def _windows(length: int, bits: Callable[[], BitSet] | None, within: Callable[[], BitSet] | None, twice: Callable[[], BitSet] | None):
     """Windows ``id, p, a, b`` of the asked places: those in a bit set, or in the list of the row.
 
-    With ``twice``, only windows that may be repeated."""
+    With ``within``, only windows of asked blocks; with ``twice``, only those that may be repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,7 +247,13 @@ def _windows(length: int, bits: Callable[[], BitSet] | None, twice: Callable[[],
                 else:
                     asked = batch.column(2).slice(i, j - i)
                     which = np.isin(_place_id(places.row, lo), np.concatenate([_place_id(np.full(len(x), r), np.array(x.as_py(), np.int64)) for r, x in enumerate(asked)]))
-                owner, p, a, b = places.windows(np.flatnonzero(which))
+                which = np.flatnonzero(which)
+                if within:
+                    own, first, n, _, _ = places.blocks(which)
+                    k = np.flatnonzero(within().has(_place_id(ids[i + places.row[own]], first - offset[own])))
+                    owner, p, a, b = places.windows_at(own[k], first[k], n[k])
+                else:
+                    owner, p, a, b = places.windows_at(which, places.lo[which], places.n[which])
                 if twice:
                     k = np.flatnonzero(twice().has(_pair(a, b)))
                     owner, p, a, b = owner[k], p[k], a[k], b[k]
@@ -253,20 +300,33 @@ def repeated_runs(texts: DataFrame, length: int = LENGTH) -> DataFrame:
 
     schema = "id long, p long, a long, b long"
     fits = firsts.count() <= ENTRIES
-    asked = sc.broadcast(bit_set(firsts.mapInArrow(_hashed(_place_id), "x long"))) if fits else None  # of fixed size
-    listed = None if fits else texts.join(firsts.groupBy("id").agg(F.collect_list("lo").alias("asked")), "id").select("id", "text", "asked")
-
-    def windows(again: Callable[[], BitSet] | None) -> DataFrame:
-        if asked:
-            return texts.mapInArrow(_windows(length, lambda: asked.value, again), schema)
-        return listed.mapInArrow(_windows(length, None, again), schema)
-
+    if fits:
+        asked = sc.broadcast(bit_set(firsts.mapInArrow(_hashed(_place_id), "x long")))  # of fixed size
+        blocks = lambda twice: texts.mapInArrow(_blocks(length, lambda: asked.value, twice), "id long, p long, n long, core long, cover long")
+        covers = cut(blocks(None).groupBy("core", "cover").agg(F.min(F.struct("id", "p")).alias("first"), F.count(F.lit(1)).alias("times")))
+        cores = covers.groupBy("core").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("core")
+        left = cut(covers.join(cores, "core").select("first.id", "first.p"))
+        copied = cut(covers.where("times > 1").select("core", "cover", "first"))
+        del covers, cores
+        may = sc.broadcast(bit_set(copied.select("core", "cover").mapInArrow(_hashed(_pair_of), "x long")))  # of fixed size
+        again = blocks(lambda: may.value).join(copied, ["core", "cover"]).where(_other_than_first("p"))
+        runs = cut(runs.union(again.select("id", F.col("p").alias("start"), (F.col("p") + F.col("n") + (length - 1)).alias("stop"))))
+        del copied, again
+        some = sc.broadcast(bit_set(left.mapInArrow(_hashed(_place_id), "x long")))  # of fixed size
+        windows = lambda twice: texts.mapInArrow(_windows(length, lambda: asked.value, lambda: some.value, twice), schema)
+    else:  # more places than a set of fixed size serves: their lists go to the texts, and round 3 is left out
+        listed = texts.join(firsts.groupBy("id").agg(F.collect_list("lo").alias("asked")), "id").select("id", "text", "asked")
+        windows = lambda twice: listed.mapInArrow(_windows(length, None, None, twice), schema)
     best = cut(windows(None).groupBy("a", "b").agg(F.min(F.struct("id", "p")).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times"))
-    again = sc.broadcast(bit_set(best.select("a", "b").mapInArrow(_hashed(lambda a, b: _pair(a.view(U), b.view(U))), "x long")))  # of fixed size
-    later = windows(lambda: again.value).join(best, ["a", "b"]).where(_other_than_first("p"))
+    more = sc.broadcast(bit_set(best.select("a", "b").mapInArrow(_hashed(_pair_of), "x long")))  # of fixed size
+    later = windows(lambda: more.value).join(best, ["a", "b"]).where(_other_than_first("p"))
     return cut(runs.union(later.select("id", F.col("p").alias("start"), (F.col("p") + length).alias("stop"))))
 
 
+def _pair_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return _pair(a.view(U), b.view(U))
+
+
 def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of each text in order, those that meet made one."""
     for batch in batches:
