@@ -80,8 +80,8 @@ def words(data: np.ndarray, at: np.ndarray, *, signs: bool = False) -> tuple[np.
     value = np.where(apart, U(0), _BYTE[_LOWER])[data]
     if place.max() < 4096:
         value *= _PLACE[place]
-    else:
-        value *= mix(_PLACE[place & 4095] + (place >> 12).astype(U)) | U(1)
+    else:  # the same factors for places under 4096, whatever else the slice holds
+        value *= _PLACE[place & 4095] + (place >> 12).astype(U) * U(0x9E3779B97F4A7C16)
     return mix(np.add.reduceat(value, starts)), np.searchsorted(starts, at)
 
 
