@@ -1,10 +1,11 @@
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import pytest
 
-from barloom.llm import bpe
+from barloom.llm import bpe, toxicity
 from barloom.llm.quality import score_quality
 from barloom.llm.toxicity import score_toxicity
 
@@ -32,6 +33,23 @@ def test_toxicity_on_held_out_rows(spark):
     assert np.mean(toxic) > 0.35 and np.mean(clean) < 0.02
 
 
+def test_toxicity_of_rare_words_beside_many(spark, monkeypatch):
+    """Words of a few documents count however many other words there are, looked up or joined."""
+    fold = lambda i: zlib.crc32(str(i).encode()) % 3
+    rng = random.Random(2)
+    text = lambda own: " ".join([*(f"w{rng.randrange(400)}" for _ in range(30)), *own])
+    docs = [(i, text([f"slur{i % 20}", f"slur{(i + 7) % 20}"] if i % 2 else [f"fine{i % 20}"]), i % 2) for i in range(600)]
+    rows, marks = spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in docs], "doc_id long, toxic int")
+    scores = []
+    for hot in (4, 1 << 13):
+        monkeypatch.setattr(toxicity, "HOT", hot, raising=False)
+        monkeypatch.setattr(toxicity, "TABLE", 64, raising=False)
+        got = {r.doc_id: r for r in score_toxicity(rows, marks).collect()}
+        assert [i for i, _, y in docs if fold(i) == 1 and got[i].predicted != y] == []
+        scores.append([got[i].score for i in range(600)])
+    assert np.allclose(*scores)
+
+
 @pytest.mark.parametrize("score", [score_quality, score_toxicity])
 def test_edges(nasty, none, labels, score):
     rows = score(nasty, labels).collect()
