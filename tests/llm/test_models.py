@@ -1,3 +1,4 @@
+import collections
 import hashlib
 import random
 import zlib
@@ -50,6 +51,31 @@ def test_toxicity_of_rare_words_beside_many(spark, monkeypatch):
     assert np.allclose(*scores)
 
 
+def test_continuation_counts_are_exact(spark):
+    """A word after 200 different words has twice the backoff of one after 100 (equal counts otherwise)."""
+    texts = [(" ".join(f"{w}{i}x{k} {w}" for k in range(n // 100)), y) for i in range(100) for w, n, y in (("many", 200, 1), ("some", 100, 1), ("rest", 100, 0))]
+    rows = spark.createDataFrame(texts, "text string, toxic long").mapInArrow(toxicity._counted, "w long, u long, t long, o long")
+    table, rest = toxicity.ratios(rows)
+    got = sorted((r.f, r.ratio) for r in table.collect())
+    words = [w for x, _ in texts for w in set(x.split())]
+    toxic = [w for x, y in texts if y for w in set(x.split())]
+    n_t, n_o = len(toxic), len(words) - len(toxic)
+    lefts = {"many": 200, "some": 100, "rest": 100}
+    total = len({(a, b) for x, _ in texts for a, b in zip(["", *x.split()], x.split())})
+    c = collections.Counter
+    t, o = c(toxic), c(w for x, y in texts if not y for w in set(x.split()))
+    discount = lambda k: sum(v == 1 for v in k.values()) / (sum(v == 1 for v in k.values()) + 2 * sum(v == 2 for v in k.values()))
+    want, least = [], min(n_t, n_o)
+    for w in lefts:
+        logs = []
+        for k, n in ((t, n_t), (o, n_o)):
+            d = discount(k)
+            mass = n + least - sum(max(k[x] - d, 0) for x in lefts)
+            logs.append(np.log((max(k[w] - d, 0) + mass * lefts[w] / total) / (n + least)))
+        want.append((100, logs[0] - logs[1]))
+    assert np.allclose(got, sorted(want))
+
+
 @pytest.mark.parametrize("score", [score_quality, score_toxicity])
 def test_edges(nasty, none, labels, score):
     rows = score(nasty, labels).collect()
