@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import itertools
 import random
+from collections.abc import Callable
 from functools import reduce
 from typing import Any
 
@@ -95,19 +96,25 @@ def best(found: DataFrame, metric: str = "sharpe", by: tuple[str, ...] = KEY) ->
     return ranked(found, metric, by).where("rank = 1")
 
 
-def walk_forward(document: str | dict, bars: DataFrame, combinations: list[dict], ranges: list[dict[str, int]], factor: float, metric: str = "sharpe", how: backtest.Execution = backtest.Execution()) -> DataFrame:  # noqa: B008
+def walk_forward(document: str | dict, bars: DataFrame, combinations: list[dict], ranges: Callable[[int], list[dict[str, int]]] | list[dict[str, int]], factor: float, metric: str = "sharpe", how: backtest.Execution = backtest.Execution()) -> DataFrame:  # noqa: B008
     """``fold`` by series: the best combination on train bars, its metrics there (``is_``) and on test bars (``oos_``).
 
+    ``ranges`` gives the folds of a series from its number of bars; a list holds for all series alike.
     Indicators see all earlier bars (they look back alone); train and test parts of all folds and
     combinations are groups of one grouped pass a combination."""
     by = (*KEY, "fold", "part")
-    spans = F.array(*[F.struct(F.lit(i).alias("fold"), F.lit(p).alias("part"), F.lit(f[f"{p}_start"]).alias("a"), F.lit(f[f"{p}_end"]).alias("b")) for i, f in enumerate(ranges) for p in ("train", "test")])
+    of = ranges if callable(ranges) else lambda n: ranges
+    spans = F.udf(lambda n: [(i, p, f[f"{p}_start"], f[f"{p}_end"]) for i, f in enumerate(of(n)) for p in ("train", "test")], "array<struct<fold:int,part:string,a:int,b:int>>")
+    # one row per series
+    series = bars.groupBy(*[F.col(k).alias(f"_{k}") for k in KEY]).agg(F.count(F.lit(1)).alias("_n")).select(*[f"_{k}" for k in KEY], spans("_n").alias("_spans"))
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in KEY])
     runs = []
     for i, c in enumerate(combinations):
         s = plan.parse(document, c)
         rows = plan.prepare(s, bars).withColumn("_i", F.row_number().over(Window.partitionBy(*KEY).orderBy("ts")) - 1)
-        rows = rows.withColumn("_s", F.explode(F.filter(spans, lambda x: (x["a"] <= F.col("_i")) & (F.col("_i") < x["b"]))))
-        rows = rows.withColumns({"fold": F.col("_s.fold"), "part": F.col("_s.part")}).drop("_s", "_i")
+        rows = rows.join(series, same).drop(*[f"_{k}" for k in KEY])
+        rows = rows.withColumn("_s", F.explode(F.filter("_spans", lambda x: (x["a"] <= F.col("_i")) & (F.col("_i") < x["b"]))))
+        rows = rows.withColumns({"fold": F.col("_s.fold"), "part": F.col("_s.part")}).drop("_s", "_i", "_spans")
         runs.append(backtest.run(s, rows, how, by=by).withColumn("combo", F.lit(i)))
     found = results(reduce(DataFrame.unionByName, runs), factor, (*by, "combo"))
     train = best(found.where("part = 'train'"), metric, (*KEY, "fold"))

@@ -417,7 +417,9 @@ def portfolio_equity(spark, d):
 @query()
 def portfolio_run(spark, d):
     s = strategy.parse(CROSSING)
-    rows = portfolio.run_portfolio(s, strategy.prepare(s, B.event_bars(spark, d)), {"CLICK": 2.0, "VIEW": 1.0, "PURCHASE": 1.0}, backtest.Execution(cash=100_000.0))
+    bars = B.event_bars(spark, d)
+    weights = {"CLICK": 2.0} | {r.symbol: 1.0 for r in bars.where("symbol != 'CLICK'").select("symbol").distinct().orderBy("symbol").collect()}
+    rows = portfolio.run_portfolio(s, strategy.prepare(s, bars), weights, backtest.Execution(cash=100_000.0))
     return portfolio.portfolio_equity(backtest.equity(rows), 100_000.0)
 
 
@@ -437,4 +439,4 @@ def parameter_sensitivity(spark, d):
 
 @query()
 def walk_forward(spark, d):
-    return search.walk_forward(CROSSING, B.event_bars(spark, d), search.grid({"fast": {"values": [5, 10]}, "slow": {"values": [30]}}), search.folds(600, 3), 1638.0)
+    return search.walk_forward(CROSSING, B.event_bars(spark, d), search.grid({"fast": {"values": [5, 10]}, "slow": {"values": [30]}}), lambda n: search.folds(n, 3), 1638.0)

@@ -2,7 +2,10 @@
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from barloom import queries_more
+from barloom.operators import backtest
 from barloom.operators.backtest import Execution, simulate
 from barloom.operators.search import folds, grid, sample
 
@@ -75,3 +78,35 @@ def test_grid_and_folds():
     assert f[0] == {"train_start": 0, "train_end": 70, "test_start": 70, "test_end": 170}
     assert all(x["train_end"] == x["test_start"] for x in f)
     assert [x["train_end"] for x in folds(300, 3, anchored=True)] == [100, 200]
+
+
+def test_folds_cover_every_bar_of_each_series(spark, monkeypatch):
+    """Two series of different lengths: each has folds from its own number of bars, up to its last one."""
+    seen = {}
+
+    def run(s, rows, how, by):
+        seen["ends"] = {r.symbol: (r.n, r.first, r.last) for r in rows.groupBy("symbol").agg(F.countDistinct("ts").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last")).collect()}
+        raise StopIteration
+
+    bars = queries_more.B.event_bars(spark, "/root/testdata/sf0.1")
+    symbols = sorted(r.symbol for r in bars.select("symbol").distinct().collect())
+    bars = bars.where((F.col("symbol") != symbols[0]) | (F.col("ts") < F.lit(bars.agg(F.expr("min(ts) + interval 10 days")).first()[0]))).persist()
+    monkeypatch.setattr(backtest, "run", run)
+    monkeypatch.setattr(queries_more.B, "event_bars", lambda *_: bars)
+    with pytest.raises(StopIteration):
+        queries_more.walk_forward(spark, "")
+    want = {r.symbol: (r.n, r.first, r.last) for r in bars.groupBy("symbol").agg(F.count("ts").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last")).collect()}
+    assert len(want) > 1 and seen["ends"] == want
+
+
+def test_portfolio_runs_every_symbol(spark, monkeypatch):
+    seen = []
+
+    def run(s, prepared, weights, how):
+        seen.extend(weights)
+        raise StopIteration
+
+    monkeypatch.setattr(queries_more.portfolio, "run_portfolio", run)
+    with pytest.raises(StopIteration):
+        queries_more.portfolio_run(spark, "/root/testdata/sf0.001")
+    assert sorted(seen) == ["CLICK", "ERROR", "PURCHASE", "SIGNUP", "VIEW"]
