@@ -17,15 +17,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; unset, a temporary one on a single machine alone."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return (named or tempfile.mkdtemp(prefix="barloom-")).rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage in the checkpoint folder that the cluster names.
 
-    Where ``spark.checkpoint.dir`` is unset (tests on one machine), a temporary folder serves.
+    Spark keeps the files of a plan's shuffles until its garbage collector finds the plan gone; a
+    collection after each cut keeps no more than one round of them on disk.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="barloom-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     out = df.checkpoint(eager=True)
     del df
     gc.collect()
@@ -33,6 +41,20 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def maybe_in(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Rows whose long ``key`` may be among the one column of ``wanted``, to spare a shuffle rows that can't match.
+
+    2^26 bits by hash, as at most 2,048 broadcast rows of 4 KB: no match is lost, some others pass."""
+    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(1 << 26))
+    at = place(wanted.columns[0])
+    sets = wanted.groupBy(F.shiftright(at, 15).alias("_bucket")).agg(F.bitmap_construct_agg(at.bitwiseAND(F.lit(32767))).alias("_bits"))
+    inside = place(key).bitwiseAND(F.lit(32767)).cast("int")
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(inside, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    found = rows.join(F.broadcast(sets), F.shiftright(place(key), 15) == F.col("_bucket"))
+    bit = F.floor(byte / F.pow(F.lit(2), inside.bitwiseAND(F.lit(7)))).cast("int").bitwiseAND(F.lit(1))
+    return found.where(bit == 1).drop("_bucket", "_bits")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z alone; ``lower`` would fold other scripts too."""
     return F.translate(text, UPPER, UPPER.lower())

@@ -31,7 +31,13 @@ def test_toxicity_on_held_out_rows(spark):
     docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
     rows = score_toxicity(docs, labels).collect()
     toxic, clean = measured(rows, labels, "toxic", 1), measured(rows, labels, "toxic", 0)
-    assert np.mean(toxic) > 0.35 and np.mean(clean) < 0.02
+    assert np.mean(toxic) >= 0.7 and np.mean(clean) < 0.02
+
+
+def test_toxicity_on_more_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{x}.parquet") for x in ("documents", "labels"))
+    rows = score_toxicity(docs, labels).collect()
+    assert np.mean(measured(rows, labels, "toxic", 1)) >= 0.9 and np.mean(measured(rows, labels, "toxic", 0)) < 0.005
 
 
 def test_toxicity_of_rare_words_beside_many(spark, monkeypatch):
@@ -43,37 +49,51 @@ def test_toxicity_of_rare_words_beside_many(spark, monkeypatch):
     rows, marks = spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in docs], "doc_id long, toxic int")
     scores = []
     for hot in (4, 1 << 13):
-        monkeypatch.setattr(toxicity, "HOT", hot, raising=False)
-        monkeypatch.setattr(toxicity, "TABLE", 64, raising=False)
+        monkeypatch.setattr(toxicity, "HOT", hot)
         got = {r.doc_id: r for r in score_toxicity(rows, marks).collect()}
         assert [i for i, _, y in docs if fold(i) == 1 and got[i].predicted != y] == []
         scores.append([got[i].score for i in range(600)])
     assert np.allclose(*scores)
 
 
-def test_continuation_counts_are_exact(spark):
-    """A word after 200 different words has twice the backoff of one after 100 (equal counts otherwise)."""
-    texts = [(" ".join(f"{w}{i}x{k} {w}" for k in range(n // 100)), y) for i in range(100) for w, n, y in (("many", 200, 1), ("some", 100, 1), ("rest", 100, 0))]
+def test_terms_match_brute_force(spark):
+    """Counts, continuation counts, pruning and ratios of words, contexts and pairs."""
+    rng = random.Random(3)
+    texts = []
+    for i in range(400):
+        w = [f"w{rng.randrange(60)}" for _ in range(40)]
+        if i % 4 == 0:  # toxic: a word of its own, and an expression of two ordinary words
+            w[7], w[20:22] = "slur", ["w1", "w2"]
+        texts.append((" ".join(w), int(i % 4 == 0)))
     rows = spark.createDataFrame(texts, "text string, toxic long").mapInArrow(toxicity._counted, "w long, u long, t long, o long")
-    table, rest = toxicity.ratios(rows)
-    got = sorted((r.f, r.ratio) for r in table.collect())
-    words = [w for x, _ in texts for w in set(x.split())]
-    toxic = [w for x, y in texts if y for w in set(x.split())]
-    n_t, n_o = len(toxic), len(words) - len(toxic)
-    lefts = {"many": 200, "some": 100, "rest": 100}
-    total = len({(a, b) for x, _ in texts for a, b in zip(["", *x.split()], x.split())})
+    got = sorted((0 if r.u == 0 else 2 if r.u == 2 else 1, r.f, round(r.value, 6)) for r in toxicity.model_terms(rows).collect())
     c = collections.Counter
-    t, o = c(toxic), c(w for x, y in texts if not y for w in set(x.split()))
-    discount = lambda k: sum(v == 1 for v in k.values()) / (sum(v == 1 for v in k.values()) + 2 * sum(v == 2 for v in k.values()))
-    want, least = [], min(n_t, n_o)
-    for w in lefts:
-        logs = []
-        for k, n in ((t, n_t), (o, n_o)):
-            d = discount(k)
-            mass = n + least - sum(max(k[x] - d, 0) for x in lefts)
-            logs.append(np.log((max(k[w] - d, 0) + mass * lefts[w] / total) / (n + least)))
-        want.append((100, logs[0] - logs[1]))
-    assert np.allclose(got, sorted(want))
+    word, pair, left, lefts = [c(), c()], [c(), c()], [c(), c()], set()
+    for text, y in texts:
+        w = text.split()
+        seen = set(zip(["", *w], w))
+        lefts |= seen
+        word[y].update(set(w)), pair[y].update(seen), left[y].update(u for u, _ in seen if u)
+    o, t = word
+    n, types = [sum(x.values()) for x in word], [len(x) for x in word]
+    off = lambda x: (lambda one, two: one / (one + 2 * two) if one else 0.5)(sum(v == 1 for v in x.values()), sum(v == 2 for v in x.values()))
+    cont = c(w for _, w in lefts)
+    p1 = lambda y, w: (max(word[y][w] - off(word[y]), 0) + off(word[y]) * types[y] * cont[w] / len(lefts)) / n[y]
+    g = lambda t, o, e: 2 * sum(x * np.log(x / y) if x else 0 for x, y in ((t, (t + o) * e), (o, (t + o) * (1 - e))))
+    share = n[1] / sum(n)
+    value = {w: np.log(p1(1, w)) - np.log(p1(0, w)) for w in cont if t[w] + o[w] >= 3 and g(t[w], o[w], share) >= toxicity.WORD}
+    want = [(0, t[w] + o[w], v) for w, v in value.items()]
+    kept = [(u, w) for u, w in lefts if u and pair[1][u, w] + pair[0][u, w] >= 3]
+    kept = [k for k in kept if g(pair[1][k], pair[0][k], (t[k[1]] + share) / (t[k[1]] + o[k[1]] + 1)) >= toxicity.PAIR]
+    assert ("w1", "w2") in kept and "slur" in value
+    use = lambda y, u, w: max(pair[y][u, w] - off(pair[y]), 0) / max(left[y][u], 1)
+    rest = {u: [1 - sum(use(y, *k) for k in kept if k[0] == u) for y in (0, 1)] for u, _ in kept}
+    context = {u: np.log(r[1]) - np.log(r[0]) for u, r in rest.items()}
+    want += [(2, t[u] + o[u], v) for u, v in context.items()]
+    for u, w in kept:
+        p2 = [use(y, u, w) + rest[u][y] * p1(y, w) for y in (0, 1)]
+        want.append((1, pair[1][u, w] + pair[0][u, w], np.log(p2[1]) - np.log(p2[0]) - context[u] - value.get(w, 0)))
+    assert got == sorted((k, f, round(float(v), 6)) for k, f, v in want)
 
 
 @pytest.mark.parametrize("score", [score_quality, score_toxicity])
