@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,18 +42,41 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
-def maybe_in(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """Rows whose long ``key`` may be among the one column of ``wanted``, to spare a shuffle rows that can't match.
+def marked(rows: DataFrame, key: str, wanted: DataFrame, name: str) -> DataFrame:
+    """Adds the boolean ``name``: whether the long ``key`` may be among the one column of ``wanted``.
 
-    2^26 bits by hash, as at most 2,048 broadcast rows of 4 KB: no match is lost, some others pass."""
+    2^26 bits by hash, as at most 2,048 broadcast rows of 4 KB: no match is missed, some others are marked."""
     place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(1 << 26))
     at = place(wanted.columns[0])
     sets = wanted.groupBy(F.shiftright(at, 15).alias("_bucket")).agg(F.bitmap_construct_agg(at.bitwiseAND(F.lit(32767))).alias("_bits"))
     inside = place(key).bitwiseAND(F.lit(32767)).cast("int")
     byte = F.conv(F.hex(F.substring("_bits", F.shiftright(inside, 3) + 1, F.lit(1))), 16, 10).cast("int")
-    found = rows.join(F.broadcast(sets), F.shiftright(place(key), 15) == F.col("_bucket"))
     bit = F.floor(byte / F.pow(F.lit(2), inside.bitwiseAND(F.lit(7)))).cast("int").bitwiseAND(F.lit(1))
-    return found.where(bit == 1).drop("_bucket", "_bits")
+    found = rows.join(F.broadcast(sets), F.shiftright(place(key), 15) == F.col("_bucket"), "left")
+    return found.withColumn(name, F.coalesce(bit == 1, F.lit(False))).drop("_bucket", "_bits")
+
+
+def maybe_in(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Rows that ``marked`` marks, to spare a shuffle rows that can't match."""
+    return marked(rows, key, wanted, "_maybe").where("_maybe").drop("_maybe")
+
+
+class Tables:
+    """Tables of one job in the shared folder, compressed; ``drop`` deletes what is no longer read."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{self.folder}/{name}")
+        return self.spark.read.parquet(f"{self.folder}/{name}")
+
+    def drop(self, *names: str) -> None:
+        for path in [f"{self.folder}/{n}" for n in names] or [self.folder]:
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+        gc.collect()
+        self.spark._jvm.System.gc()  # the shuffles of the plans that wrote them go too
 
 
 def ascii_lower(text: Column) -> Column:

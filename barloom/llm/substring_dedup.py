@@ -2,23 +2,23 @@
 
 A byte goes if a string of ``LENGTH`` bytes that covers it also starts earlier. Ranks of equal
 strings are content hashes, so a rank means the same in every task, and the rank of a longer
-string is the pair of ranks of its parts at growing offsets; Spark groups the pairs, and positions
-whose rank is unique leave after each round:
-
-1. Each window of LENGTH bytes picks the least rank among its 32-byte prefixes (ranks of 2, 4, ...
-   32 bytes by doubling inside the text). Equal windows pick the same place, so only picked places,
-   one of about 35 positions, are sorted. Places whose 32-byte rank is unique leave.
-2. The rank of a place doubles on to its surrounding: the pair of the ranks of its first and last
-   window. All but the first place of a class repeat an earlier one: their windows are repeats.
-3. First places whose 32 bytes stand in other surroundings too may still repeat in part. Their
-   windows are cut into blocks of 8; a block's shared 93 bytes and its surroundings are ranked as in
-   rounds 1 and 2, and blocks whose shared bytes have one surrounding alone leave.
-4. Windows of the first blocks that are left are ranked one by one by the pair of ranks of their
-   halves; all but the first repeat.
-
-No round gathers a group: counts and first places are aggregates, joins back are ones that Spark
-can split. Bit sets of fixed size (``BITS``) keep rows that cannot matter out of a shuffle; they
-never decide, and where more rows are asked for than fit, a join takes their place.
+string is the pair of ranks of its parts at growing offsets (2, 4, ... 64 bytes, then the parts
+that make up LENGTH). Spark groups the pairs of all documents; what is unique leaves after each
+round, the rest is ranked again at the next offset until strings of LENGTH bytes are told apart:
+
+1. Each window of LENGTH bytes picks the least rank among its 32-byte prefixes. Equal windows pick
+   the same place, so only picked places, one of about 35 positions, need to be sorted: a window that
+   repeats has a picked place that repeats. Places whose 32-byte rank is unique leave.
+2. Units are runs of windows around their place: all windows of the place, then blocks of 8 windows,
+   then single windows. A unit's rank pair is the string that all its windows share (``core``) and
+   the pair of its first and last window, which is all that it covers (``cover``). Spark groups the
+   pairs: units after the first of an equal pair are repeats as a whole. A core that has several
+   covers may repeat in part, so its first units go to the next round in smaller runs; units whose
+   core has one cover alone leave. In the last round core and cover are the window itself.
+
+Every size of input takes this one plan. No round gathers a group: counts and first places are
+aggregates, joins back are ones that Spark can split. Bit sets, sized by what they hold
+(``BITS`` bits at most), keep rows that cannot matter out of a shuffle; they never decide.
 """
 
 from __future__ import annotations
@@ -26,37 +26,40 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm._spark import cut, table
+from barloom.llm._spark import Tables, marked, table
 from barloom.llm._text import _BYTE, U, mix, slices, stream
 
 LENGTH = 100
-#: Bits of a broadcast set (8 MB), and entries up to which it stands in for a join.
-BITS, ENTRIES = 1 << 26, 1 << 24
-#: Windows of a block in round 3.
-BLOCK = 8
-#: Bytes whose positions are ranked at a time.
-CHUNK = 1 << 20
+#: Bits of a broadcast set: 8 for each value, at least the first and at most the second number (128 MB).
+BITS = (1 << 20, 1 << 30)
+#: Windows of a unit in each round; 0 means all windows of a place.
+ROUNDS = (0, 8, 1)
+#: Bytes whose positions are ranked at a time (their ranks stay in the processor's cache).
+CHUNK = 1 << 16
 _FACTORS = stream(64, 21) | U(1)
 
 
 def _ranks(data: np.ndarray, upto: int) -> list[np.ndarray]:
     """Ranks of the 1, 2, 4, ... byte strings at every position, by doubling."""
-    out = [_BYTE[data]]
-    k = 1
+    return _doubled([_BYTE[data]], upto)
+
+
+def _doubled(levels: list[np.ndarray], upto: int) -> list[np.ndarray]:
+    """Adds the ranks of longer strings, up to ``upto`` bytes."""
+    k = 1 << (len(levels) - 1)
     while 2 * k <= upto:
-        h = out[-1]
-        x = h[: max(0, len(h) - k)] * _FACTORS[len(out)]
+        h = levels[-1]
+        x = h[: max(0, len(h) - k)] * _FACTORS[len(levels)]
         x += h[k:]
         x ^= x >> U(32)
-        out.append(x)
+        levels.append(x)
         k *= 2
-    return out
+    return levels
 
 
 def _rank_of(levels: list[np.ndarray], length: int, at: np.ndarray) -> np.ndarray:
@@ -76,7 +79,7 @@ class Places:
 
     def __init__(self, data: np.ndarray, at: np.ndarray, length: int):
         gram = 1 << ((length // 3).bit_length() - 1)
-        self.levels, self.length = _ranks(data, 1 << (length.bit_length() - 1)), length
+        self.levels, self.length = _ranks(data, gram), length
         n = len(data) - length + 1
         self.lo = self.n = self.row = np.zeros(0, np.int64)
         self.g, self.place = np.zeros(0, U), self.lo
@@ -105,34 +108,39 @@ class Places:
         self.lo, self.n, self.row, self.place = lo, hi - lo + 1, row[lo], place[lo]
         self.g = mix(short[self.place])
 
-    def surroundings(self, which: np.ndarray) -> np.ndarray:
-        """Ranks of all that the windows of the places ``which`` cover."""
-        lo, n = self.lo[which], self.n[which]
+    def units(self, size: int, wanted: list[Callable[[np.ndarray, np.ndarray], np.ndarray]]) -> tuple[np.ndarray, ...]:
+        """Owner (place number), first window, number of windows, core and cover of units of up to
+        ``size`` windows (0: all of a place). ``wanted`` says of owners and first windows which units
+        of the rounds before go on; it filters after each round."""
+        own, lo, n = np.arange(len(self.lo)), self.lo, self.n
+        for k, keep in enumerate(wanted):
+            if k:
+                own, lo, n = self._cut(own, lo, n, ROUNDS[k])
+            at = np.flatnonzero(keep(own, lo))
+            own, lo, n = own[at], lo[at], n[at]
+        if size:
+            own, lo, n = self._cut(own, lo, n, size)
+        _doubled(self.levels, self.length)
+        place = self.place[own]
+        if size:
+            b = (place - lo - n + 1) // size
+            core = mix(_rank_of(self.levels, self.length - size + 1, place - size * b) * U(0x9E3779B97F4A7C15) + b.astype(U))
+        else:
+            core = self.g[own]
         first, last = _rank_of(self.levels, self.length, lo), _rank_of(self.levels, self.length, lo + n - 1)
-        return mix(mix(first + U(3)) * U(0x9E3779B97F4A7C15) + last + (n * 1024 + self.place[which] - lo).astype(U))
+        cover = mix(mix(first + U(3)) * U(0x9E3779B97F4A7C15) + last + (n * 1024 + place - lo).astype(U))
+        return own, lo, n, core, cover
 
-    def blocks(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Runs of up to ``BLOCK`` windows of the places ``which``, cut by distance to the place:
-        place number, first window, windows, rank of what all windows of a block share, rank of all they cover."""
-        lo, hi, at = self.lo[which], self.lo[which] + self.n[which] - 1, self.place[which]
-        nearest, farthest = (at - hi) // BLOCK, (at - lo) // BLOCK
+    def _cut(self, own: np.ndarray, lo: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Runs of windows cut where their distance to the place is a multiple of ``size``."""
+        hi, at = lo + n - 1, self.place[own]
+        nearest, farthest = (at - hi) // size, (at - lo) // size
         count = farthest - nearest + 1
-        owner = np.repeat(np.arange(len(which)), count)
+        owner = np.repeat(np.arange(len(own)), count)
         b = np.repeat(nearest, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        core = at[owner] - BLOCK * b
-        first, last = np.maximum(lo[owner], core - BLOCK + 1), np.minimum(hi[owner], core)
-        n = last - first + 1
-        shared = mix(_rank_of(self.levels, self.length - BLOCK + 1, core) * U(0x9E3779B97F4A7C15) + b.astype(U))
-        ends = _rank_of(self.levels, self.length, first), _rank_of(self.levels, self.length, last)
-        cover = mix(mix(ends[0] + U(5)) * U(0x9E3779B97F4A7C15) + ends[1] + (n * 64 + core - last).astype(U))
-        return which[owner], first, n, shared, cover
-
-    def windows_at(self, which: np.ndarray, lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Place number, position and the two half ranks of the n windows from lo on, of the places ``which``."""
-        owner = np.repeat(which, n)
-        p = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        half = self.length // 2
-        return owner, p, mix(_rank_of(self.levels, half, p)), mix(_rank_of(self.levels, self.length - half, p + half))
+        core = at[owner] - size * b
+        first, last = np.maximum(lo[owner], core - size + 1), np.minimum(hi[owner], core)
+        return own[owner], first, last - first + 1
 
 
 def _stretches(column: pa.Array, length: int) -> Iterator[tuple[int, int, int, Places]]:
@@ -154,185 +162,113 @@ def _starts(column: pa.Array, i: int, j: int) -> np.ndarray:
 
 
 class BitSet:
-    """A set of 64-bit values as bits of fixed number: no value is missed, some are let through."""
+    """A set of 64-bit values as bits: no value is missed, some others are let through."""
 
     def __init__(self, bits: np.ndarray):
-        self.bits = bits
+        self.bits, self.mask = bits, U(8 * len(bits) - 1)
 
     def has(self, x: np.ndarray) -> np.ndarray:
-        at = x & U(BITS - 1)
+        at = x & self.mask
         return (self.bits[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & 1 == 1
 
 
 def bit_set(values: DataFrame) -> BitSet:
-    """From the one long column of ``values``: parts of the set are built by tasks and joined by key."""
-    part = BITS // 256
-
-    def build(rows: pd.DataFrame) -> pd.DataFrame:
-        bits = np.zeros(part, bool)
-        bits[rows["at"].to_numpy()] = True
-        return pd.DataFrame({"k": [int(rows["k"].iloc[0])], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
-
-    at = values.select(F.pmod(F.col(values.columns[0]), F.lit(BITS)).alias("x")).distinct()
-    rows = at.select(F.floor(F.col("x") / part).cast("int").alias("k"), F.pmod("x", F.lit(part)).cast("int").alias("at"))
-    bits = np.zeros(BITS // 8, np.uint8)
-    for r in rows.groupBy("k").applyInPandas(build, "k int, bits binary").toLocalIterator():
-        bits[r["k"] * part // 8 : (r["k"] + 1) * part // 8] = np.frombuffer(r["bits"], np.uint8)
-    return BitSet(bits)
-
+    """From the one long column of ``values``; tasks build parts of 32,768 bits."""
+    size = BITS[0]
+    n = 8 * values.count()
+    while size < min(n, BITS[1]):
+        size *= 2
+    at = F.col(values.columns[0]).bitwiseAND(F.lit(size - 1))
+    parts = values.groupBy(F.shiftright(at, 15).alias("k")).agg(F.bitmap_construct_agg(at.bitwiseAND(F.lit(32767))).alias("bits"))
+    bits = np.zeros((size >> 15, 4096), np.uint8)
+    for r in parts.toLocalIterator():
+        bits[r["k"]] = np.frombuffer(r["bits"], np.uint8)
+    return BitSet(bits.reshape(-1))
 
-def _place_id(ids: np.ndarray, lo: np.ndarray) -> np.ndarray:
-    return mix(ids.astype(np.int64).view(U) * U(0x9E3779B97F4A7C15) + lo.astype(np.int64).view(U))
-
-
-def _rows(length: int, keep: Callable[[Places], np.ndarray] | None, full: bool):
-    """Places of texts as rows ``id, lo, n, g, c`` (or ranks ``g`` alone)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for i, j, s, places in _stretches(batch.column(1), length):
-                k = np.arange(len(places.lo)) if keep is None else np.flatnonzero(keep(places))
-                g = pa.array(places.g[k].view(np.int64))
-                if not full:
-                    yield pa.RecordBatch.from_arrays([g], names=["g"])
-                    continue
-                row = places.row[k]
-                lo = places.lo[k] - _starts(batch.column(1), i, j)[row] + s
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i + row]), pa.array(lo), pa.array(places.n[k]), g, pa.array(places.surroundings(k).view(np.int64))], names=["id", "lo", "n", "g", "c"])
 
-    return run
+def _unit_id(ids: np.ndarray, version: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    return mix((ids.astype(np.int64).view(U) * U(0x9E3779B97F4A7C15) ^ version.astype(np.int64).view(U)) + lo.astype(np.int64).view(U))
 
 
-def _blocks(length: int, asked: Callable[[], BitSet], twice: Callable[[], BitSet] | None):
-    """Blocks ``id, p, n, core, cover`` of the asked places; with ``twice``, only those that may be repeated."""
+def _picked(length: int):
+    """32-byte ranks ``g`` of the picked places of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for i, j, s, places in _stretches(batch.column(1), length):
-                if not len(places.lo):
-                    continue
-                offset = _starts(batch.column(1), i, j)[places.row] - s
-                owner, p, n, core, cover = places.blocks(np.flatnonzero(asked().has(_place_id(ids[i + places.row], places.lo - offset))))
-                if twice:
-                    k = np.flatnonzero(twice().has(_pair(core, cover)))
-                    owner, p, n, core, cover = owner[k], p[k], n[k], core[k], cover[k]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[i + places.row[owner]]), pa.array(p - offset[owner]), pa.array(n), pa.array(core.view(np.int64)), pa.array(cover.view(np.int64))], names=["id", "p", "n", "core", "cover"]
-                )
+            for _, _, _, places in _stretches(batch.column(0), length):
+                yield pa.RecordBatch.from_arrays([pa.array(places.g.view(np.int64))], names=["g"])
 
     return run
 
 
-def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return mix(a * U(0x9E3779B97F4A7C15) + b)
-
-
-def _windows(length: int, bits: Callable[[], BitSet] | None, within: Callable[[], BitSet] | None, twice: Callable[[], BitSet] | None):
-    """Windows ``id, p, a, b`` of the asked places: those in a bit set, or in the list of the row.
-
-    With ``within``, only windows of asked blocks; with ``twice``, only those that may be repeated."""
+def _ranked(length: int, size: int, twice: Callable[[], BitSet], asked: list[Callable[[], BitSet]]):
+    """Units ``id, v, lo, n, core, cover`` of texts ``id, v, text``, those that the sets let through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for i, j, s, places in _stretches(batch.column(1), length):
-                if not len(places.lo):
-                    continue
-                offset = _starts(batch.column(1), i, j)[places.row] - s
-                lo = places.lo - offset
-                if bits:
-                    which = bits().has(_place_id(ids[i + places.row], lo))
-                else:
-                    asked = batch.column(2).slice(i, j - i)
-                    which = np.isin(_place_id(places.row, lo), np.concatenate([_place_id(np.full(len(x), r), np.array(x.as_py(), np.int64)) for r, x in enumerate(asked)]))
-                which = np.flatnonzero(which)
-                if within:
-                    own, first, n, _, _ = places.blocks(which)
-                    k = np.flatnonzero(within().has(_place_id(ids[i + places.row[own]], first - offset[own])))
-                    owner, p, a, b = places.windows_at(own[k], first[k], n[k])
-                else:
-                    owner, p, a, b = places.windows_at(which, places.lo[which], places.n[which])
-                if twice:
-                    k = np.flatnonzero(twice().has(_pair(a, b)))
-                    owner, p, a, b = owner[k], p[k], a[k], b[k]
-                for t in range(0, len(p), 50_000):
-                    o = owner[t : t + 50_000]
+            ids, version = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for i, j, s, places in _stretches(batch.column(2), length):
+                offset = _starts(batch.column(2), i, j) - s
+                row = i + places.row
+
+                def within(which, places=places, offset=offset, row=row):
+                    return lambda own, lo: which().has(_unit_id(ids[row[own]], version[row[own]], lo - offset[places.row[own]]))
+
+                first = lambda own, lo, places=places: twice().has(places.g[own])
+                both = (lambda own, lo, a=first, b=within(asked[0]): a(own, lo) & b(own, lo)) if asked else first
+                own, lo, n, core, cover = places.units(size, [both, *map(within, asked[1:])])
+                at = places.row[own]
+                for t in range(0, len(own), 50_000):
+                    k = slice(t, t + 50_000)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[i + places.row[o]]), pa.array(p[t : t + 50_000] - offset[o]), pa.array(a[t : t + 50_000].view(np.int64)), pa.array(b[t : t + 50_000].view(np.int64))],
-                        names=["id", "p", "a", "b"],
-                    )
+                        [
+                            pa.array(ids[i + at[k]]), pa.array(version[i + at[k]]), pa.array((lo[k] - offset[at[k]]).astype(np.int64)),
+                            pa.array(n[k].astype(np.int32)), pa.array(core[k].view(np.int64)), pa.array(cover[k].view(np.int64)),
+                        ],
+                        names=["id", "v", "lo", "n", "core", "cover"],
+                    )
 
     return run
 
 
-def _hashed(make: Callable[[np.ndarray, np.ndarray], np.ndarray]):
-    """One 64-bit value of the two long columns of each row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(make(x.column(0).to_numpy(), x.column(1).to_numpy()).view(np.int64))], names=["x"])
-
-    return run
-
-
-def _other_than_first(at: str) -> Column:
-    return (F.col("id") != F.col("first.id")) | (F.col(at) != F.col(f"first.{at}"))
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for x in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(_unit_id(*(x.column(k).to_numpy() for k in range(3))).view(np.int64))], names=["x"])
 
 
 def repeated_runs(texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``id, start, stop``: byte runs of ``texts (id, text)`` that an earlier place repeats; they may overlap.
+    """``id, v, start, stop``: byte runs of ``texts (id, v, text)`` that an earlier place repeats; they may overlap.
 
-    Every round is written to the checkpoint folder, so only its own shuffle is on disk meanwhile."""
+    Each round's units are written to the shared folder and deleted after it."""
     sc = texts.sparkSession.sparkContext
-    ranks = texts.mapInArrow(_rows(length, None, False), "g long")
-    twice = cut(ranks.groupBy("g").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("g"))
-    seen = sc.broadcast(bit_set(twice))  # of fixed size
-    places = texts.mapInArrow(_rows(length, lambda x: seen.value.has(x.g), True), "id long, lo long, n long, g long, c long")
-    places = cut(places.join(twice, "g"))
-    classes = cut(places.groupBy("g", "c").agg(F.min(F.struct("id", "lo")).alias("first")))
-    repeats = places.join(classes, ["g", "c"]).where(_other_than_first("lo"))
-    runs = cut(repeats.select("id", F.col("lo").alias("start"), (F.col("lo") + F.col("n") + (length - 1)).alias("stop")))
-    split = classes.groupBy("g").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("g")
-    firsts = cut(classes.join(split, "g").select("first.id", "first.lo"))
-    del places, classes, repeats, split
-
-    schema = "id long, p long, a long, b long"
-    fits = firsts.count() <= ENTRIES
-    if fits:
-        asked = sc.broadcast(bit_set(firsts.mapInArrow(_hashed(_place_id), "x long")))  # of fixed size
-        blocks = lambda twice: texts.mapInArrow(_blocks(length, lambda: asked.value, twice), "id long, p long, n long, core long, cover long")
-        covers = cut(blocks(None).groupBy("core", "cover").agg(F.min(F.struct("id", "p")).alias("first"), F.count(F.lit(1)).alias("times")))
-        cores = covers.groupBy("core").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("core")
-        left = cut(covers.join(cores, "core").select("first.id", "first.p"))
-        copied = cut(covers.where("times > 1").select("core", "cover", "first"))
-        del covers, cores
-        may = sc.broadcast(bit_set(copied.select("core", "cover").mapInArrow(_hashed(_pair_of), "x long")))  # of fixed size
-        again = blocks(lambda: may.value).join(copied, ["core", "cover"]).where(_other_than_first("p"))
-        runs = cut(runs.union(again.select("id", F.col("p").alias("start"), (F.col("p") + F.col("n") + (length - 1)).alias("stop"))))
-        del copied, again
-        some = sc.broadcast(bit_set(left.mapInArrow(_hashed(_place_id), "x long")))  # of fixed size
-        windows = lambda twice: texts.mapInArrow(_windows(length, lambda: asked.value, lambda: some.value, twice), schema)
-    else:  # more places than a set of fixed size serves: their lists go to the texts, and round 3 is left out
-        listed = texts.join(firsts.groupBy("id").agg(F.collect_list("lo").alias("asked")), "id").select("id", "text", "asked")
-        windows = lambda twice: listed.mapInArrow(_windows(length, None, None, twice), schema)
-    best = cut(windows(None).groupBy("a", "b").agg(F.min(F.struct("id", "p")).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times"))
-    more = sc.broadcast(bit_set(best.select("a", "b").mapInArrow(_hashed(_pair_of), "x long")))  # of fixed size
-    later = windows(lambda: more.value).join(best, ["a", "b"]).where(_other_than_first("p"))
-    return cut(runs.union(later.select("id", F.col("p").alias("start"), (F.col("p") + length).alias("stop"))))
-
-
-def _pair_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return _pair(a.view(U), b.view(U))
+    tables = Tables(texts.sparkSession)
+    ranks = texts.select("text").mapInArrow(_picked(length), "g long")
+    seen = sc.broadcast(bit_set(tables.write(ranks.groupBy("g").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("g"), "ranks")))
+    tables.drop("ranks")
+    asked, runs = [], []
+    for size in ROUNDS:
+        sets = [lambda a=a: a.value for a in asked]
+        units = tables.write(texts.mapInArrow(_ranked(length, size, lambda: seen.value, sets), "id long, v long, lo long, n int, core long, cover long"), "units")
+        firsts = tables.write(units.groupBy("core", "cover").agg(F.min(F.struct("id", "v", "lo")).alias("first"), F.count(F.lit(1)).alias("times")), "firsts")
+        later = units.join(firsts.where("times > 1").select("core", "cover", "first"), ["core", "cover"]).where(F.struct("id", "v", "lo") != F.col("first"))
+        runs.append(tables.write(later.select("id", "v", F.col("lo").alias("start"), (F.col("lo") + F.col("n") + (length - 1)).alias("stop")), f"runs-{size}"))
+        if size != ROUNDS[-1]:
+            split = firsts.groupBy("core").agg(F.count(F.lit(1)).alias("covers")).where("covers > 1").select("core")
+            left = tables.write(firsts.join(split, "core").select("first.id", "first.v", "first.lo").mapInArrow(_hashed, "x long"), "left")
+            asked.append(sc.broadcast(bit_set(left)))
+        tables.drop("units", "firsts", "left")
+    out = runs[0]
+    for r in runs[1:]:
+        out = out.union(r)
+    return out
 
 
 def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of each text in order, those that meet made one."""
     for batch in batches:
-        out = [_union(a.values.to_numpy(), b.values.to_numpy()) for a, b in zip(batch.column(1), batch.column(2), strict=True)]
+        out = [_union(a.values.to_numpy(), b.values.to_numpy()) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
         lists = [pa.array([x[k] for x in out], pa.list_(pa.int64())) for k in (0, 1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["id", "start", "stop"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["id", "v", "start", "stop"])
 
 
 def _union(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -370,15 +306,24 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     A byte goes if a string of ``length`` bytes over it also starts earlier (smaller id, or same
     document and earlier start); strings are judged on the input and never cross documents.
     ``kept`` are the remaining bytes (a cut may split a character), ``spans`` the maximal removed
-    runs. Null and empty texts lose nothing. Rows of one id are one document: a repeated row
-    loses the same bytes and doesn't count against itself. A null id counts as the smallest. An
-    empty table gives an empty result; other columns are ignored.
+    runs. Null and empty texts lose nothing. A document is an id with a text: a repeated row loses
+    the same bytes and doesn't count against itself; different texts of one id are documents of
+    their own, in the order of a hash of the text. Null ids count as the smallest. An empty table
+    gives an empty result; other columns are ignored.
     """
     least = F.lit(-(2**63)).cast("long")
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), least).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    runs = repeated_runs(texts, length).groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
-    runs = cut(runs.select("id", "runs.start", "runs.stop").mapInArrow(_united, "id long, start array<long>, stop array<long>"))
-    out = texts.join(runs, "id", "left").select("id", "text", "start", "stop").mapInArrow(_cut_out, "id long, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, kept binary")
+    # an id that may have several texts tells them apart by a hash; for all others the version is 0
+    hashed = texts.select("id", F.xxhash64("text").alias("h")).groupBy("id").agg(F.min("h").alias("a"), F.max("h").alias("b"))
+    texts = marked(texts, "id", hashed.where("a <> b").select("id"), "several").select("id", F.when(F.col("several"), F.xxhash64("text")).otherwise(F.lit(0)).alias("v"), "text")
+    runs = repeated_runs(texts, length)
+    lists = runs.groupBy("id", "v").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))  # at most as long as the text
+    lists = lists.select("id", "v", "runs.start", "runs.stop").mapInArrow(_united, "id long, v long, start array<long>, stop array<long>")
+    some = marked(texts, "id", runs.select("id"), "some")  # texts without a run skip the join
+    found = some.where("some").join(lists, ["id", "v"], "left").select("id", "text", "start", "stop")
+    none = F.lit(None).cast("array<long>")
+    found = found.union(some.where("NOT some").select("id", "text", none, none))
+    out = found.mapInArrow(_cut_out, "id long, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, kept binary")
     return out.withColumn("id", F.nullif("id", least))
 
 

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from barloom.llm import near_dedup
+from barloom.llm import near_dedup, substring_dedup
 from barloom.llm.components import connected_components
 from barloom.llm.exact_dedup import exact_dedup, kept_documents
 from barloom.llm.near_dedup import near_duplicates
@@ -96,3 +96,23 @@ def test_substrings_match_brute_force(spark, nasty, none):
     got = {r.id: bytes(r.kept) for r in remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == cut_by_hand(docs, 100)
     assert remove_repeats(nasty).count() == nasty.count() and remove_repeats(none).count() == 0
+
+
+@pytest.mark.parametrize("bits", [(1 << 15, 1 << 15), (1 << 20, 1 << 30)])
+def test_substrings_of_null_and_repeated_ids(spark, monkeypatch, bits):
+    """Rows without an id and texts of one id are documents of their own; bit sets far too small change nothing."""
+    monkeypatch.setattr(substring_dedup, "BITS", bits)
+    rng = random.Random(8)
+    words = lambda n: " ".join(f"v{rng.randrange(10**5)}" for _ in range(n))
+    shared = words(40)
+    docs = [(None, "a " + shared), (None, "b " + shared + " end"), (5, "c " + words(50)), (5, "d " + shared), (5, "d " + shared), (None, None), (7, words(60))]
+    docs += [(i, words(3) + shared[i % 60 : 130 + i % 60] + words(2)) for i in range(20, 60)]
+    rows = remove_repeats(spark.createDataFrame([(*d, 1, "z") for d in docs], "doc_id long, text string, v long, start string")).collect()
+    assert len(rows) == len(docs) and sorted(r.n_bytes for r in rows) == sorted(len((t or "").encode()) for _, t in docs)
+    whole = [r for r in rows if shared.encode() in bytes(r.kept)]
+    assert len(whole) == 1 and whole[0].id is None  # one of the two texts without an id is the first
+    by_id = {r.id: bytes(r.kept) for r in rows}
+    order = [(0 if d is None else d, t) for d, t in docs if d != 5 and t] + [(5, docs[3][1])]
+    want = cut_by_hand([(k, t) for k, (_, t) in enumerate(sorted(order, key=lambda x: x[0]))], 100)
+    assert all(by_id[d] == want[k] for k, (d, _) in enumerate(sorted(order, key=lambda x: x[0])) if d >= 7)
+    assert len({bytes(r.kept) for r in rows if r.id == 5}) == 2  # the repeated row loses what the other one loses
