@@ -1,9 +1,12 @@
+import itertools
+import random
+
 from pyspark.sql import functions as F
 
 from barloom.llm.license_scan import scan_licenses
 from barloom.llm.source_mix import mix_sources, mixed_documents
 from barloom.llm.topk_search import top_k
-from barloom.llm.url_filter import filter_urls
+from barloom.llm.url_filter import filter_urls, mine_rules
 
 
 def test_mix_meets_targets(spark, nasty, none, labels):
@@ -30,6 +33,39 @@ def test_urls(spark, none):
     assert filter_urls(pages).count() == len(rows) and filter_urls(pages.limit(0)).count() == 0
 
 
+def test_deep_paths_mine_as_fast(spark):
+    """A family of urls with 30 path parts: rules of up to three tokens, not all subsets."""
+    rng = random.Random(4)
+    deep = [f"d{i}" for i in range(30)]
+    rows = [(i, "http://x.com/de/" + "/".join(deep)) for i in range(50)]
+    rows += [(100 + i, "http://x.com/" + rng.choice(["de", "fr"]) + "/" + "/".join(d for d in deep if rng.random() < 0.9)) for i in range(20)]
+    rows += [(200, "http://y.net/q/d1"), (201, "http://y.net/" + "z" * 100_000), (202, "http://y.net/a b/d1?x"), (203, "http://q.de/a/b")]
+    got = {r.page_id: r for r in filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert len(got) == len(rows) and got[0].verdict == "block" and got[200].verdict in ("allow", "block") and len(got[201].path) == 100_001
+
+
+def test_mined_rules_match_brute_force(spark):
+    rng = random.Random(6)
+    rows = [(tuple(sorted({f"p:t{rng.randrange(6)}" for _ in range(4)} | {"h:a", "h:b"})), rng.choice(["allow", "block"])) for _ in range(60)]
+    rows = [(t, "block" if {"p:t1", "p:t2"} <= set(t) else v) for t, v in rows]
+    got = {(tuple(r["tokens"]), r["verdict"], r["freq"], round(r["confidence"], 9)) for x in mine_rules(spark.createDataFrame(rows, "tokens array<string>, verdict string"), support=0.05, confidence=0.9).collect() for r in x["rules"]}
+    want, least = set(), 3
+    names = sorted({x for t, _ in rows for x in t})
+    sets = {x: frozenset(i for i, (t, _) in enumerate(rows) if x in t) for x in names}
+    kept = [x for x in names if len(sets[x]) >= least and x == min(y for y in names if sets[y] == sets[x])]
+    alone = {x for x in kept if len({rows[i][1] for i in sets[x]}) == 1}
+    for k in (1, 2, 3):
+        for combo in itertools.combinations(kept, k):
+            if k > 1 and alone & set(combo):
+                continue
+            fit = frozenset.intersection(*[sets[x] for x in combo])
+            for v in ("allow", "block"):
+                n = sum(rows[i][1] == v for i in fit)
+                if n >= least and n / len(fit) >= 0.9:
+                    want.add((combo, v, n, round(n / len(fit), 9)))
+    assert got == want and any(len(c) == 2 for c, *_ in want)
+
+
 def test_licences(nasty, none, spark):
     docs = spark.createDataFrame([(1, "intro\nReleased under the MIT License.\nmore"), (2, "A driving licence is needed."), (3, None), (4, "Licensed under the Apache License, Version 2.0.")], "doc_id long, text string")
     got = {(r.doc_id, r.paragraph, r.family) for r in scan_licenses(docs.union(nasty.select("doc_id", "text").where("doc_id > 5"))).collect()}
