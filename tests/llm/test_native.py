@@ -3,11 +3,13 @@ import random
 
 from pyspark.sql import functions as F
 
-from barloom.llm.license_scan import scan_licenses
+from barloom.llm.license_scan import TEMPLATES, scan_licenses, word_pairs
 from barloom.llm.source_mix import mix_sources, mixed_documents
 from barloom.llm.topk_search import top_k
 from barloom.llm.url_filter import filter_urls, mine_rules
 
+LONG = " ".join(f"word{i}" for i in range(3000))
+
 
 def test_mix_meets_targets(spark, nasty, none, labels):
     docs = spark.createDataFrame([(i, "w " * (1 + i % 7), f"s{i % 4}") for i in range(400)], "doc_id long, text string, source string")
@@ -67,10 +69,24 @@ def test_mined_rules_match_brute_force(spark):
 
 
 def test_licences(nasty, none, spark):
-    docs = spark.createDataFrame([(1, "intro\nReleased under the MIT License.\nmore"), (2, "A driving licence is needed."), (3, None), (4, "Licensed under the Apache License, Version 2.0.")], "doc_id long, text string")
-    got = {(r.doc_id, r.paragraph, r.family) for r in scan_licenses(docs.union(nasty.select("doc_id", "text").where("doc_id > 5"))).collect()}
-    assert got == {(1, 1, "MIT"), (2, 0, "unknown"), (4, 0, "Apache-2.0")}
-    assert scan_licenses(none).count() == 0
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
+    rows = [
+        (1, "intro\nReleased under the MIT License.\nmore"), (2, "We had lunch and drove home.\nIt rained."), (3, None), (4, "Licensed under the Apache License, Version 2.0."), (5, "Some words.\n" + bsd + "\nMore words."),
+        (6, "Licensed under CC BY 4.0."), (7, "This is free and unencumbered software released into the public domain."), (8, "Licensed under the GPLv3."), (8, "Licensed under the GPLv3."), (None, "SPDX-License-Identifier: MPL-2.0"),
+        (9, LONG + "\nReleased under the MIT License.\n" + LONG),
+    ]
+    docs = spark.createDataFrame([(*r, "z", 1.0) for r in rows], "doc_id long, text string, family string, probability double")
+    docs = docs.unionByName(nasty.select("doc_id", "text", F.lit("z").alias("family"), F.lit(1.0).alias("probability")).where("doc_id > 9"))
+    found = scan_licenses(docs).collect()
+    got = sorted((r.doc_id or 0, r.kind, r.paragraph, r.family) for r in found if r.family != "unknown" and r.kind == "line")
+    assert [x for x in got if x[0] != 5] == [(0, "line", 0, "MPL-2.0"), (1, "line", 1, "MIT"), (4, "line", 0, "Apache-2.0"), (6, "line", 0, "CC-BY-4.0"), (7, "line", 0, "Public-Domain"), (8, "line", 0, "GPL-3.0"), (8, "line", 0, "GPL-3.0"), (9, "line", 1, "MIT")]
+    assert ("block", 1, "BSD-3-Clause") in {(r.kind, r.paragraph, r.family) for r in found if r.doc_id == 5}
+    assert not [r for r in found if r.doc_id == 2] and scan_licenses(none).count() == 0
+    texts = {r[0]: r[1] for r in rows}
+    for r in found:  # the share of the best template, by hand
+        if r.family != "unknown" and r.kind == "line":
+            own = set(word_pairs(texts[r.doc_id].split("\n")[r.paragraph]))
+            assert abs(r.agreement - max(len(own & set(word_pairs(t))) / len(set(word_pairs(t))) for f, t in TEMPLATES if f == r.family)) < 1e-9
 
 
 def test_top_k_matches_brute_force(spark):
