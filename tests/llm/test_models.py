@@ -65,7 +65,7 @@ def test_terms_match_brute_force(spark):
         if i % 4 == 0:  # toxic: a word of its own, and an expression of two ordinary words
             w[7], w[20:22] = "slur", ["w1", "w2"]
         texts.append((" ".join(w), int(i % 4 == 0)))
-    rows = spark.createDataFrame(texts, "text string, toxic long").mapInArrow(toxicity._counted, "w long, u long, t long, o long")
+    rows = spark.createDataFrame(texts, "text string, toxic long").mapInArrow(toxicity._counted, toxicity._COUNTS)
     got = sorted((0 if r.u == 0 else 2 if r.u == 2 else 1, r.f, round(r.value, 6)) for r in toxicity.model_terms(rows).collect())
     c = collections.Counter
     word, pair, left, lefts = [c(), c()], [c(), c()], [c(), c()], set()
