@@ -3,17 +3,20 @@
 1. One pass over the texts gives each row the size and a 128-bit hash of its shingle set, a
    signature of universal hash minima and the band keys. Rows with the same set form a class.
 2. Classes that share a band key are candidates. Buckets of up to ``SMALL`` classes give their
-   pairs (at most SMALL - 1 a row); signatures drop pairs far under the threshold.
-3. A larger bucket gives no pairs. Its members are dealt into blocks, each pair of blocks is one
-   unit of work that compares whole shingle sets by matrix products and returns a spanning forest
-   of the links it finds, so a bucket with a third of all rows is dealt over many tasks and its
-   output stays in proportion to its size. Nothing is capped.
-4. Links are confirmed on the whole shingle sets of both texts; components follow by alternating
+   pairs (at most SMALL - 1 a row); a larger bucket gives one pair for each class, with its hub (the
+   least class), so a family of near copies is one star. Signatures drop pairs far under the threshold.
+3. Links are confirmed on the whole shingle sets of both texts; components follow by alternating
    large-star and small-star.
+4. What is in another component than its bucket's hub may still be linked with members of the bucket.
+   These classes alone are dealt into blocks and meet the blocks of the whole bucket; each pair of
+   blocks is one unit of work that compares whole shingle sets by matrix products and returns a
+   spanning forest of the links it finds. Nothing is capped: pairs that are left out are in one
+   component already.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,16 +24,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm._spark import cut, table
+from barloom.llm._spark import cut, maybe_in, table
 from barloom.llm._text import U, grams, mix, slices, stream, words
 from barloom.llm.components import connected_components
 
-#: Bands and rows of a band: a pair at similarity 0.85 is missed by all with probability 1e-5.
-BANDS, ROWS = 24, 6
-HASHES = BANDS * ROWS
-#: Buckets with more classes than this are compared block by block.
-SMALL, BLOCK = 16, 128
-_BASE = "id long, n long, s1 long, s2 long, keys array<long>, signature binary"
+#: Rows of a band, and the chance at most that all bands miss a pair at the threshold.
+ROWS, MISS = 6, 2e-5
+#: Buckets with more classes than this become stars; classes and shingles of a block at most.
+SMALL, BLOCK, SHINGLES = 16, 128, 1 << 18
+_BASE = "id long, x long, n long, s1 long, s2 long, keys array<long>, signature binary"
+
+
+def bands(percent: int) -> int:
+    """Bands that keep the chance of a miss at the threshold under ``MISS``: 23 at 0.85, 36 at 0.80."""
+    return math.ceil(math.log(MISS) / math.log(1 - (percent / 100) ** ROWS))
 
 
 def _sets(data: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -43,33 +50,35 @@ def _sets(data: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.n
     return g[new], np.bincount(row[new], minlength=len(at) - 1)
 
 
-def _signed(size: int):
-    factors, shifts = stream(HASHES, 11) | U(1), stream(HASHES, 12)
+def _signed(size: int, percent: int):
+    n_bands = bands(percent)
+    hashes = n_bands * ROWS
+    factors, shifts = stream(hashes, 11) | U(1), stream(hashes, 12)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, at in slices(batch.column(1)):
+            for i, j, data, at in slices(batch.column(2)):
                 g, n = _sets(data, at, size)
                 full = np.flatnonzero(n)
                 begin = (np.cumsum(n) - n)[full]
-                minima = np.empty((HASHES, len(full)), U)
+                minima = np.empty((hashes, len(full)), U)
                 s1, s2 = np.zeros(len(n), U), np.zeros(len(n), U)
                 if len(full):
-                    for k in range(HASHES):
+                    for k in range(hashes):
                         h = g * factors[k]
                         h += shifts[k]
                         minima[k] = np.minimum.reduceat(h, begin)
                     s1[full], s2[full] = np.add.reduceat(mix(g + U(77)), begin), np.add.reduceat(mix(g ^ U(0xABCDEF0123456789)), begin)
-                keys = np.zeros((BANDS, len(full)), U)
-                for k in range(HASHES):
+                keys = np.zeros((n_bands, len(full)), U)
+                for k in range(hashes):
                     keys[k // ROWS] = mix(keys[k // ROWS] * U(31) + minima[k] + U(k))
                 lists, marks = [None] * len(n), [None] * len(n)
                 keys, low = keys.T.astype(np.int64), np.ascontiguousarray((minima >> U(40)).astype(np.uint16).T)
                 for x, r in enumerate(full):
                     lists[r], marks[r] = keys[x], low[x].tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(lists, pa.list_(pa.int64())), pa.array(marks, pa.binary())],
-                    names=["id", "n", "s1", "s2", "keys", "signature"],
+                    [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(n, pa.int64()), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(lists, pa.list_(pa.int64())), pa.array(marks, pa.binary())],
+                    names=["id", "x", "n", "s1", "s2", "keys", "signature"],
                 )
 
     return run
@@ -81,7 +90,7 @@ def _plausible(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(batch.num_rows, HASHES) for k in (2, 3))
+                a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for k in (2, 3))
                 batch = batch.filter(pa.array((a == b).mean(axis=1) >= least))
             yield batch.select([0, 1])
 
@@ -155,42 +164,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     100 * intersection >= percent * union of their sets of ``size``-word shingles; a text with
     fewer words has its whole sequence as one shingle; a null or empty text has none and links
     with nothing. ``component_id`` is the smallest id reachable; ties and repeated rows fall into
-    one component. Rows with a null id are left out of links and keep a null component; an empty
-    table gives an empty result; other columns are ignored.
+    one component. Rows decide, not ids: different texts of one id link as they are. Rows with a
+    null id are left out of links and keep a null component; an empty table gives an empty result;
+    other columns are ignored.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    base = cut(texts.mapInArrow(_signed(size), _BASE))
-    classes = base.where("n > 0 AND id IS NOT NULL").groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"))
-    reps = classes.select(F.col("rep").alias("id")).distinct()
-    signed = base.where("n > 0").join(reps, "id").dropDuplicates(["id"]).select("id", "keys", "signature")
-    member = signed.select("id", F.posexplode("keys").alias("band", "key")).select("id", F.xxhash64("band", "key").alias("key"))
-    crowded = member.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    member = cut(member.join(crowded, "key"))
-
-    few = member.where(F.col("m") <= SMALL)
-    pairs = few.select("key", F.col("id").alias("a")).join(few.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b").distinct()
-    mark = lambda name: base.where("n > 0").select(F.col("id").alias(name), F.col("signature").alias(f"sig_{name}")).dropDuplicates([name])
-    slack = 5 * (percent / 100 * (1 - percent / 100) / HASHES) ** 0.5  # five standard errors under the threshold
-    pairs = cut(pairs.join(mark("a"), "a").join(mark("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_plausible(percent / 100 - slack), "a long, b long"))
-
-    many = member.where(F.col("m") > SMALL)
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).union(many.select("id")).distinct()
-    whole = cut(texts.join(wanted, "id").dropDuplicates(["id"]))
-    text = lambda name: whole.select(F.col("id").alias(name), F.col("text").alias(f"text_{name}"))
-    links = pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_linked(size, percent), "a long, b long")
-
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    dealt = many.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    packed = dealt.join(whole, "id").groupBy("key", "block").agg(F.first("blocks").alias("blocks"), F.collect_list(F.struct("id", "text")).alias("rows"))
-    # every block once with itself (no other) and once with each later one
-    left = packed.withColumn("other", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)))
-    right = packed.select("key", F.col("block").alias("other"), F.col("rows").alias("others"))
-    met = left.join(right, ["key", "other"], "left").select("rows", F.when(F.col("block") != F.col("other"), F.col("others")).alias("others"))
-    links = links.union(met.mapInArrow(_forest(size, percent), "a long, b long"))
-
-    comps = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    classes = classes.join(comps, F.col("rep") == F.col("node"), "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("found"))
-    return base.select("id", "s1", "s2", "n").join(classes, ["s1", "s2", "n"], "left").select(
+    return _found(docs, id_col, text_col, size, percent).select(
         F.col("id").alias("doc_id"),
         F.col("n").alias("n_shingles"),
         F.when(F.col("id").isNotNull(), F.coalesce("found", "id")).alias("component_id"),
@@ -198,10 +176,66 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     )
 
 
-def kept_documents(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
-    """The rows of ``docs`` whose id stays (one of each component), all columns."""
-    stay = near_duplicates(docs, id_col=id_col, **how).where("kept").select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, F.col(id_col).eqNullSafe(F.col("_stay"))).drop("_stay")
+def _found(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+    """``id, x, n, c, component, found`` of every row: hash of the text, size and key of its set, component and its least id."""
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("x", F.xxhash64("text"))
+    base = cut(texts.select("id", "x", "text").mapInArrow(_signed(size, percent), _BASE).withColumn("c", F.xxhash64("s1", "s2", "n")))
+    full = base.where("n > 0 AND id IS NOT NULL")
+    classes = cut(full.groupBy("c").agg(F.min(F.struct("id", "x")).alias("rep")).select("c", "rep.id", "rep.x"))
+    signed = full.join(classes, ["c", "id", "x"]).groupBy("c").agg(F.min("keys").alias("keys"), F.min("signature").alias("signature"))
+    signed = cut(signed)
+    member = signed.select("c", F.posexplode("keys").alias("band", "key")).select("c", F.xxhash64("band", "key").alias("key"))
+    crowded = member.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("hub")).where("m > 1")
+    member = cut(member.join(crowded, "key"))
+
+    few, many = member.where(F.col("m") <= SMALL), member.where(F.col("m") > SMALL)
+    pairs = few.select("key", F.col("c").alias("a")).join(few.select("key", F.col("c").alias("b")), "key").where("a < b").select("a", "b")
+    pairs = pairs.union(many.where("c <> hub").select(F.col("hub").alias("a"), F.col("c").alias("b"))).distinct()
+    mark = lambda name: signed.select(F.col("c").alias(name), F.col("signature").alias(f"sig_{name}"))
+    slack = 5 * (percent / 100 * (1 - percent / 100) / (bands(percent) * ROWS)) ** 0.5  # five standard errors under the threshold
+    pairs = cut(pairs.join(mark("a"), "a").join(mark("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_plausible(percent / 100 - slack), "a long, b long"))
+
+    wanted = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
+    text_of = lambda some: maybe_in(texts, "x", some.select("x")).join(some, ["id", "x"]).select("c", "text").dropDuplicates(["c"])
+    whole = cut(text_of(classes.join(wanted, "c")))
+    text = lambda name: whole.select(F.col("c").alias(name), F.col("text").alias(f"text_{name}"))
+    links = cut(pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_linked(size, percent), "a long, b long"))
+    comps = cut(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+
+    if not many.isEmpty():
+        comp = lambda of, name: comps.select(F.col("node").alias(of), F.col("component").alias(name))
+        placed = many.join(comp("c", "own"), "c", "left").join(comp("hub", "hubs"), "hub", "left")
+        rest = F.coalesce("own", "c") != F.coalesce("hubs", "hub")
+        placed = cut(placed.select("key", "c", rest.alias("rest")))
+        open_keys = placed.where("rest").select("key").distinct()
+        placed = placed.join(open_keys, "key")  # buckets whose classes are all in the hub's component are done
+        sized = placed.join(classes, "c").join(full.select("c", "n").distinct(), "c")
+        blocks = sized.groupBy("key", "rest").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / SHINGLES)).cast("int").alias("blocks"))
+        dealt = sized.join(blocks, ["key", "rest"]).withColumn("block", F.pmod(F.xxhash64("c", "key"), F.col("blocks")).cast("int"))
+        own = cut(text_of(sized.select("c", "id", "x").distinct()))
+        packed = dealt.join(own, "c").groupBy("key", "rest", "block").agg(F.collect_list(F.struct(F.col("c").alias("id"), "text")).alias("rows"))
+        left = packed.where("rest").select("key", F.col("block").alias("mine"), "rows")
+        right = packed.select("key", "rest", "block", F.col("rows").alias("others"))
+        met = left.join(right, "key").where("NOT rest OR block >= mine").select("rows", F.when(~(F.col("rest") & (F.col("block") == F.col("mine"))), F.col("others")).alias("others"))
+        links = links.union(met.mapInArrow(_forest(size, percent), "a long, b long"))
+        comps = cut(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+
+    found = classes.join(comps, F.col("c") == F.col("node"), "left").select("c", "id", F.coalesce("component", "c").alias("component"))
+    least = found.groupBy("component").agg(F.min("id").alias("found"))
+    found = found.join(least, "component").select("c", "component", "found")
+    return base.select("id", "x", "n", "c").join(found, "c", "left")
+
+
+def kept_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that stay (one of each component), all columns. Rows without words or without
+    an id all stay; of a component the least id stays with the least set, and a repeated row repeats."""
+    found = _found(docs, id_col, text_col, size, percent)
+    no_class = F.col("n").eqNullSafe(0) | F.col("id").isNull()
+    best = found.where(~no_class).groupBy("component").agg(F.min(F.when(F.col("id") == F.col("found"), F.struct("id", "c", "x"))).alias("best"))
+    stay = best.select("best.id", "best.x").union(found.where(no_class).select("id", "x")).distinct()
+    stay = stay.select(F.xxhash64("id", "x").alias("_row"))
+    own = F.xxhash64(F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string")))
+    return docs.withColumn("_row", own).join(stay.distinct(), "_row").drop("_row")
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,6 +59,14 @@ def test_near_matches_brute_force(spark, monkeypatch, small):
     assert got == brute(docs, 85)
 
 
+def test_near_decides_on_rows(spark):
+    """Two texts of one id, a repeated row and rows without an id; chains reach past the hub of a large bucket."""
+    base = " ".join(f"k{i}" for i in range(100))
+    rows = [(1, base), (1, "other " + " ".join(f"m{i}" for i in range(50))), (2, base.upper()), (None, base), (None, "x y"), (4, base), (4, base), (5, None)]
+    kept = near_dedup.kept_documents(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n long")).collect()
+    assert sorted((r.doc_id or 0, (r.text or "")[:4]) for r in kept) == [(0, "k0 k"), (0, "x y"), (1, "k0 k"), (1, "othe"), (5, "")]
+
+
 def test_near_edges(nasty, none):
     rows = near_duplicates(nasty).collect()
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in rows}
