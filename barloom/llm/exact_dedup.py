@@ -13,28 +13,43 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm._spark import UPPER, table
 
-_HASHED = "id long, text string, h binary, sha string"
+_HASHED = "row binary, id long, text string, h binary, sha string"
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [x.lower() for x in pc.fill_null(batch.column(1), "").cast(pa.binary()).to_pylist()]  # bytes.lower(): A-Z only
+        texts = [x.lower() for x in pc.fill_null(batch.column(2), "").cast(pa.binary()).to_pylist()]  # bytes.lower(): A-Z only
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
+                batch.column(1),
                 pa.array(texts, pa.binary()).cast(pa.string()),
                 pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in texts], pa.binary()),
                 pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string()),
             ],
-            names=["id", "text", "h", "sha"],
+            names=["row", "id", "text", "h", "sha"],
         )
 
 
+def _row_key(id_col: str, text_col: str) -> Column:
+    """128 bits of id and raw text: rows alike in both are one."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("null")), F.lit(":"), F.coalesce(F.col(text_col).cast("string"), F.lit("null:")))))
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, keep: str) -> tuple[DataFrame, DataFrame]:
+    """Rows, and the groups of equal texts with the row that stays: least or largest id, then row key; null ids last."""
+    known = F.col("id").isNotNull()
+    best = F.min(F.struct(~known, "id", "row")) if keep == "smallest" else F.max(F.struct(known, "id", "row"))
+    rows = docs.select(_row_key(id_col, text_col), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_hashed, _HASHED)
+    groups = rows.groupBy("h", "sha", "text").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
+    return rows, groups.select("h", "sha", F.col("best.id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size")
+
+
 def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
     """Say of every row which row of its group of equal texts stays.
 
@@ -43,13 +58,9 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     id count in ``group_size`` and carry the same decision. A null id stays only where its group
     has no other. An empty table gives an empty result; other columns are ignored.
     """
-    best = {"smallest": F.min, "largest": F.max}[keep]
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_hashed, _HASHED)
-    groups = (
-        rows.groupBy("h", "sha", "text")
-        .agg(best("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .select("h", "sha", "keep_id", "group_size")
-    )
+    if keep not in ("smallest", "largest"):
+        raise ValueError(keep)
+    rows, groups = _groups(docs, id_col, text_col, keep)
     return rows.select("id", "h", "sha").join(groups, ["h", "sha"]).select(
         F.col("id").alias("doc_id"),
         "keep_id",
@@ -60,9 +71,10 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 
 def kept_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
-    """The rows of ``docs`` that stay, all columns; a row repeated with the same id stays once."""
-    stay = exact_dedup(docs, id_col=id_col, text_col=text_col, keep=keep).where("kept").select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, F.col(id_col).eqNullSafe(F.col("_stay"))).drop("_stay").dropDuplicates([id_col])
+    """One row of ``docs`` for each text, all columns. Rows decide, not ids: different texts of one id, or of
+    null ids, all stay; of rows alike in id and text one stays."""
+    _, groups = _groups(docs, id_col, text_col, keep)
+    return docs.withColumn("_row", _row_key(id_col, text_col)).join(groups.select(F.col("keep_row").alias("_row")), "_row").dropDuplicates(["_row"]).drop("_row")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,6 +129,13 @@ def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), batch.column(1)], names=["x", "y"])
 
 
+def _scores(texts: pa.Array, model: Model | float) -> np.ndarray:
+    scores = [np.zeros(0)]
+    for _, _, data, at in slices(texts):
+        scores.append(model.forward(*encode_passages(data, at))["score"] if isinstance(model, Model) else np.full(len(at) - 1, model))
+    return np.concatenate(scores)
+
+
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, folds: int, held_fold: int) -> Model | float:
     """The fitted model; without labels of both classes, the share of good ones (0.5 without any)."""
     marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(F.crc32(F.col("doc_id").cast("string")) % folds != held_fold)
@@ -158,12 +165,8 @@ def score_quality(
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col=id_col, text_col=text_col, folds=folds, held_fold=held_fold))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = model.value
         for batch in batches:
-            scores = [np.zeros(0)]
-            for _, _, data, at in slices(batch.column(1)):
-                scores.append(own.forward(*encode_passages(data, at))["score"] if isinstance(own, Model) else np.full(len(at) - 1, own))
-            score = np.concatenate(scores)
+            score = _scores(batch.column(1), model.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(score), pa.array((score >= limit).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     fold = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % folds
@@ -171,10 +174,17 @@ def score_quality(
     return rows.mapInArrow(scored, "doc_id long, held_out boolean, score double, predicted int")
 
 
-def kept_documents(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
-    """The rows of ``docs`` that the classifier doesn't reject, all columns."""
-    stay = score_quality(docs, labels, id_col=id_col, **how).where("predicted = 1").select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, F.col(id_col).eqNullSafe(F.col("_stay"))).drop("_stay")
+def kept_documents(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_fold: int = 0, limit: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that the classifier doesn't reject, all columns: scored and filtered in one pass
+    without a shuffle, row by row, so two texts of one id are judged each by itself."""
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col=id_col, text_col=text_col, folds=folds, held_fold=held_fold))
+    place = docs.columns.index(text_col)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(batch.column(place), model.value) >= limit))
+
+    return docs.mapInArrow(kept, docs.schema)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,8 +70,10 @@ def mix_sources(
     most: float = 2.0,
     seed: int = 17,
     whole: bool = False,
+    row_col: str | None = None,
 ) -> DataFrame:
-    """Words that the mix takes of every row: ``doc_id, size, source_size, target, taken, copies``.
+    """Words that the mix takes of every row: ``doc_id, size, source_size, target, taken, copies``
+    (and ``row``, where ``row_col`` names a key of the row).
 
     ``quality`` (``doc_id, quality``) scales the sampling weights; a missing or null mark weighs 2.
     ``taken`` is epochs * size plus the part of the last epoch; the row on which the budget ends is
@@ -80,7 +82,8 @@ def mix_sources(
     0 and take 0, ties in the key go by id. An empty table gives an empty result; other columns
     are ignored, and rows are never dropped.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
+    own = F.col(row_col) if row_col else F.lit(None).cast("binary")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), own.alias("row"))
     if quality is None:
         rows = rows.withColumn("q", F.lit(None).cast("int"))
     else:
@@ -101,7 +104,7 @@ def mix_sources(
     starts = leaves.withColumn("in_upper", F.coalesce(F.sum("words").over(upto("place", "upper", by="part")), zero)).join(uppers, ["place", "upper"])
     starts = starts.select("place", "part", (F.col("upper_before") + F.col("in_upper")).alias("start"))
 
-    in_leaf = Window.partitionBy("place", "part").orderBy(F.col("v").desc(), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    in_leaf = Window.partitionBy("place", "part").orderBy(F.col("v").desc(), "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
     local = placed.withColumn("in_leaf", F.coalesce(F.sum("size").over(in_leaf), zero))
     epochs = F.coalesce(F.floor(F.col("target") / F.nullif(F.col("source_size").cast("double"), F.lit(0.0))), zero)
     rest = F.col("target") - F.col("epochs") * F.col("source_size")
@@ -115,15 +118,24 @@ def mix_sources(
         local.join(starts, ["place", "part"])
         .withColumn("epochs", epochs)
         .withColumn("taken", F.when(F.col("size") > 0, F.col("epochs") * F.col("size") + last).otherwise(zero).cast("long"))
-        .select("doc_id", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), "taken", F.ceil(F.col("taken") / F.nullif(F.col("size"), zero)).alias("copies"))
+        .select("doc_id", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), "taken", F.ceil(F.col("taken") / F.nullif(F.col("size"), zero)).alias("copies"), *(["row"] if row_col else []))
     )
 
 
-def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, whole documents only, all columns."""
-    taken = mix_sources(docs, id_col=id_col, whole=True, **how).where("copies > 0")
-    times = taken.groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").cast("int").alias("_copies"))
-    return docs.join(times, F.col(id_col) == F.col("_id")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_id", "_copies", "_copy")
+def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, whole documents only, all columns.
+
+    Rows decide, not ids: each is taken as often as a row of its id, source and text is; rows alike in
+    all three share their copies evenly, the first ones by chance one more."""
+    key = F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.coalesce(F.col(source_col).cast("string"), F.lit("null")), F.coalesce(F.col(text_col).cast("string"), F.lit("null"))))
+    keyed = docs.withColumn("_row", F.unhex(key))
+    taken = mix_sources(keyed, id_col=id_col, text_col=text_col, source_col=source_col, whole=True, row_col="_row", **how).where("copies > 0")
+    times = taken.groupBy(F.col("row").alias("_row")).agg(F.sum("copies").alias("_all"), F.count(F.lit(1)).alias("_taken"))
+    one = keyed.join(times, "_row")
+    same = F.row_number().over(Window.partitionBy("_row").orderBy(F.lit(1)))  # rows alike, nearly always one
+    copies = F.when(same <= F.col("_taken"), F.floor(F.col("_all") / F.col("_taken")) + (same <= F.col("_all") % F.col("_taken")).cast("int")).otherwise(0).cast("int")
+    one = one.withColumn("_copies", copies).where("_copies > 0")
+    return one.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_row", "_all", "_taken", "_copies", "_copy")
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,3 +13,21 @@ def test_stages_in_order(spark, tmp_path):
         if name != pipeline.STAGES[-1][0]:
             assert docs.columns == columns
     assert counts[0] > counts[1] >= counts[2] >= counts[3] and counts[5] == counts[4]
+
+
+def test_stages_on_hard_rows(spark, nasty, none, labels, tmp_path):
+    """Nulls, empty texts, repeated rows and clashing columns pass every stage; texts without an id stay apart."""
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    more = spark.createDataFrame([(None, f"text {i} without an id, of its own " + "word " * i, "a", True, 1, 0.5, "z") for i in range(3)], nasty.schema)
+    rows = nasty.union(more)
+    for name, stage in pipeline.STAGES[1:]:  # on so few labels the classifier may reject anything
+        out = stage(spark, rows, str(tmp_path))
+        assert stage(spark, none, str(tmp_path)).count() == 0
+        if name != "bpe":
+            assert out.columns == rows.columns
+        if name in ("exact_dedup", "near_dedup"):
+            assert out.where("doc_id IS NULL").count() == 4
+        if name == "source_mix":
+            assert out.where("doc_id IS NULL").select("text").distinct().count() >= 2
+    assert pipeline.STAGES[0][1](spark, rows, str(tmp_path)).columns == rows.columns
+    assert pipeline.STAGES[0][1](spark, none, str(tmp_path)).count() == 0
