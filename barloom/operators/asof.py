@@ -40,9 +40,18 @@ def asof_chain(primary: DataFrame, slower: list[tuple[DataFrame, str]], by: tupl
     return primary
 
 
+#: Blocks of members that the grid of ``spine_fill`` is made from.
+BLOCKS = 64
+
+
 def spine_fill(series: DataFrame, value: str, by: str = "symbol") -> DataFrame:
-    """Every time of any member for every member: its value then, else its last earlier one, else 0."""
-    grid = series.select("ts").distinct().crossJoin(series.select(by).distinct())
+    """Every time of any member for every member: its value then, else its last earlier one, else 0.
+
+    The result itself has times x members rows; it is made by an equal join of times with blocks of members."""
+    member = series.select(by).distinct().withColumn("_block", F.pmod(F.xxhash64(by), F.lit(BLOCKS)))
+    members = member.groupBy("_block").agg(F.collect_list(by).alias("_members"))
+    times = series.select("ts").distinct().withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BLOCKS - 1).cast("long"))))
+    grid = times.join(members, "_block").select("ts", F.explode("_members").alias(by))
     rows = grid.join(series.select(by, "ts", value), [by, "ts"], "left")
     w = Window.partitionBy(by).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn(value, F.coalesce(F.last(value, ignorenulls=True).over(w), F.lit(0.0)))

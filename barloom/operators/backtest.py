@@ -70,28 +70,35 @@ class Account:
         if stop > 0 and (sign * (price - stop) <= 0 or (how.leverage > 1 and sign * (stop - self.liquidation(price, sign)) <= 0)):
             self.notes.append((ts, "stop_beyond_entry"))
             return
-        size = how.size or 0.0
-        if size <= 0:
-            risk = abs(price - stop)
-            budget = self.cash * how.risk_per_trade * (max(how.leverage, 1.0) if how.scale_risk else 1.0)
-            size = budget / risk if stop > 0 and risk > 0.001 else USUAL_SIZE
-        if price > 0 and not how.allow_negative_cash:
-            most = max(0.0, self.cash * how.leverage / (price * (1 + max(how.commission_pct, 0.0))))
-            if most <= 0:
-                self.notes.append((ts, "insufficient_cash"))
-                return
-            if size > most:
-                if how.size and (how.reject_oversized or not how.cap_explicit_size):
-                    self.notes.append((ts, "explicit_size_rejected"))
-                    return
-                self.notes.append((ts, "affordability_cap"))
-                size = most
+        size, note = self._sized(price, stop)
+        if note:
+            self.notes.append((ts, note))
+        if not size:
+            return
         fee = size * price * how.commission_pct
         self.commission += fee
         self.slippage += abs(price - raw) * size
         self.cash -= sign * size * price + fee
         self.at = Position(sign * size, price, ts, stop, target, fee)
 
+    def _sized(self, price: float, stop: float) -> tuple[float, str | None]:
+        """Units to trade, 0 for none, and a note where cash or the order's own size limits them."""
+        how, risk = self.how, abs(price - stop)
+        wanted = how.size if (how.size or 0.0) > 0 else None
+        if wanted is None:
+            factor = max(how.leverage, 1.0) if how.scale_risk else 1.0
+            wanted = self.cash * how.risk_per_trade * factor / risk if stop > 0 and risk > 0.001 else USUAL_SIZE
+        if how.allow_negative_cash or price <= 0:
+            return wanted, None
+        unit_cost = price * (1 + max(how.commission_pct, 0.0))
+        affordable = max(0.0, self.cash * how.leverage / unit_cost)
+        if not affordable:
+            return 0.0, "insufficient_cash"
+        if wanted <= affordable:
+            return wanted, None
+        fixed = bool(how.size) and (how.reject_oversized or not how.cap_explicit_size)
+        return (0.0, "explicit_size_rejected") if fixed else (affordable, "affordability_cap")
+
     def leave(self, raw: float, ts: Any, reason: str) -> None:
         p, how = self.at, self.how
         sign, n = (1 if p.size > 0 else -1), abs(p.size)
@@ -228,22 +235,34 @@ def _tree(cond: dict, types: dict[str, str], columns: dict) -> tuple:
     return "cross", (f"{cond['left']}:{cond['right']}:{cond['operator']}", *names, cond["operator"] == "crosses_above")
 
 
+def signals(strategy: Strategy, prepared: DataFrame) -> tuple[dict[str, tuple], dict]:
+    """Rule trees of each side, and the columns that they and the kernel read (stops, targets, ``_ready``)."""
+    types, columns = types_of(prepared), {}
+    sides = {s: (_tree(x["entry"], types, columns), _tree(x["exit"], types, columns) if x.get("exit") else None) for s, x in strategy.sides.items()}
+    for s in sides:
+        columns[f"{s}_stop"], columns[f"{s}_target"] = risk_prices(strategy, s)
+    columns["_ready"] = F.lit(True)
+    for n in strategy.required():
+        if n in prepared.columns:
+            columns["_ready"] &= F.col(n).isNotNull()
+    return sides, columns
+
+
 def run(strategy: Strategy, prepared: DataFrame, how: Execution | dict[str, Execution] = Execution(), *, by: tuple[str, ...] = KEY, skip_warm_up: bool = True) -> DataFrame:  # noqa: B008
     """Rows ``kind`` = equity, trade or note of every group of ``prepared`` (``plans.strategy.prepare``).
 
     With ``skip_warm_up`` a run starts at the first bar on which all required columns have a value.
     ``how`` may differ by symbol."""
-    types = types_of(prepared)
-    columns: dict = {}
-    sides = {s: (_tree(x["entry"], types, columns), _tree(x["exit"], types, columns) if x.get("exit") else None) for s, x in strategy.sides.items()}
-    for s in sides:
-        columns[f"{s}_stop"], columns[f"{s}_target"] = risk_prices(strategy, s)
-    need = [n for n in strategy.required() if n in prepared.columns]
-    ready = F.lit(True)
-    for n in need:
-        ready &= F.col(n).isNotNull()
-    rows = prepared.withColumns({**columns, "_ready": ready}).select(*by, "ts", "open", "high", "low", "close", "_ready", *columns)
-    schema = T.StructType([*[prepared.schema[k] for k in by], T.StructField("kind", T.StringType()), *[T.StructField(n, t) for n, t in EQUITY + TRADE], T.StructField("code", T.StringType())])
+    sides, columns = signals(strategy, prepared)
+    rows = prepared.withColumns(columns).select(*by, "ts", "open", "high", "low", "close", *columns)
+    return run_rows(rows, lambda keys: sides, how, by=by, skip_warm_up=skip_warm_up)
+
+
+def run_rows(rows: DataFrame, sides_of: Callable[[dict], dict[str, tuple]], how: Execution | dict[str, Execution], *, by: tuple[str, ...], skip_warm_up: bool = True) -> DataFrame:
+    """``run`` over rows that hold the columns of ``signals``; ``sides_of`` gives the rule trees of a group's keys.
+
+    A group is one series of one run and is held by one task: some hundred bytes a bar, so a million bars fit."""
+    schema = T.StructType([*[rows.schema[k] for k in by], T.StructField("kind", T.StringType()), *[T.StructField(n, t) for n, t in EQUITY + TRADE], T.StructField("code", T.StringType())])
     names = [f.name for f in schema.fields]
 
     def kernel(frame: pd.DataFrame) -> pd.DataFrame:
@@ -253,7 +272,7 @@ def run(strategy: Strategy, prepared: DataFrame, how: Execution | dict[str, Exec
             good = np.flatnonzero(frame["_ready"].to_numpy(bool))
             frame = frame.iloc[good[0] :].reset_index(drop=True) if len(good) else frame.iloc[:0]
         own = how.get(keys.get("symbol"), Execution()) if isinstance(how, dict) else how
-        account, equity = simulate(frame, {s: (rule(a, frame), rule(b, frame) if b else None) for s, (a, b) in sides.items()}, own)
+        account, equity = simulate(frame, {s: (rule(a, frame), rule(b, frame) if b else None) for s, (a, b) in sides_of(keys).items()}, own)
         parts = [equity.assign(kind="equity")]
         if account.trades:
             parts.append(pd.DataFrame(account.trades).assign(kind="trade"))

@@ -1,9 +1,9 @@
 """Volume and time profiles over 100 price buckets: by session, by several sessions, by bars.
 
 Bars explode into their buckets and sums run per group and bucket, so a group is never gathered;
-only the 100 sums of a group form an array, on which the point of control and the value area are
-array expressions. The profile that ends at every bar has a range of its own each time; it is
-computed by numpy per series.
+only the 100 sums of a group form an array. A bar's weights by bucket, and the value areas of arrays,
+are numpy over Arrow batches of many bars or groups at a time. The profile that ends at every bar
+has a range of its own each time; it is computed per series, over many windows at a time.
 """
 
 from __future__ import annotations
@@ -22,30 +22,49 @@ BUCKETS, SHARE, MARGIN, OUTSIDE = 100, 0.68, 0.02, 0.1
 _SIGMA = 2 * math.sqrt(math.log(2))
 
 
-def _value_area(profile: Column, poc: Column, total: Column) -> Column:
-    """Inclusive bucket numbers and sum of the area that grows from the point of control: down only
-    if below holds more than above, until it holds the share or all buckets."""
-    at = lambda p, i: F.element_at(p, (i + 1).cast("int"))
-    start = F.struct(poc.alias("lo"), poc.alias("hi"), at(profile, poc).alias("sum"))
-
-    def step(s: Column, _: Column) -> Column:
-        lo, hi = s["lo"], s["hi"]
-        below = F.when(lo > 0, at(profile, F.greatest(lo - 1, F.lit(0)))).otherwise(-1.0)
-        above = F.when(hi < BUCKETS - 1, at(profile, F.least(hi + 1, F.lit(BUCKETS - 1)))).otherwise(-1.0)
-        done = (s["sum"] >= total * SHARE) | ((lo == 0) & (hi == BUCKETS - 1))
+def spread_volume(start, size, tp, sigma, volume, high, low) -> np.ndarray:
+    """Volume of bars (any shape) by bucket, as a further axis: normal around the typical price, a tenth of
+    the density outside the bar's range. A bar without deviation puts all into the nearest bucket; where all
+    densities vanish it adds nothing."""
+    start, size, tp, sigma, volume, high, low = (np.asarray(x, float)[..., None] for x in (start, size, tp, sigma, volume, high, low))
+    centre = start + size / 2 + np.arange(BUCKETS) * size
+    z = (centre - tp) / np.where(sigma > 0, sigma, 1.0)
+    weight = np.exp(-0.5 * z * z)
+    weight *= np.where((centre + size / 2 < low) | (centre - size / 2 > high), OUTSIDE, 1.0)
+    nearest = np.argmin(np.round(np.abs(centre - tp), 9), axis=-1)[..., None] == np.arange(BUCKETS)
+    weight = np.where(sigma > 0, weight, nearest)
+    total = weight.sum(axis=-1, keepdims=True)
+    return np.where(total > 0, weight / np.where(total > 0, total, 1.0), 0.0) * np.where(volume > 0, volume, 0.0)
+
+
+def value_areas(profiles: np.ndarray, poc: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inclusive first and last bucket, and sum, of the areas that grow from the points of control, all rows at
+    once: down only where below holds more than above, until an area holds the share or all buckets."""
+    row, lo, hi = np.arange(len(poc)), poc.copy(), poc.copy()
+    padded = np.pad(profiles, ((0, 0), (1, 1)), constant_values=-1.0)
+    got = profiles[row, poc]
+    for _ in range(BUCKETS - 1):
+        grows = (got < total * SHARE) & ((lo > 0) | (hi < BUCKETS - 1))
+        if not grows.any():
+            break
+        below, above = padded[row, lo], padded[row, hi + 2]
         down = (below > above) | (hi == BUCKETS - 1)
-        return (
-            F.when(done, s)
-            .when(down, F.struct((lo - 1).alias("lo"), hi.alias("hi"), (s["sum"] + below).alias("sum")))
-            .otherwise(F.struct(lo.alias("lo"), (hi + 1).alias("hi"), (s["sum"] + above).alias("sum")))
-        )
+        got = got + np.where(grows, np.where(down, below, above), 0.0)
+        lo, hi = lo - (grows & down), hi + (grows & ~down)
+    return lo, hi, got
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(BUCKETS - 1)), start, step)
 
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _volume_by_bucket(start: pd.Series, size: pd.Series, tp: pd.Series, sigma: pd.Series, volume: pd.Series, high: pd.Series, low: pd.Series) -> pd.Series:
+    return pd.Series(list(spread_volume(start, size, tp, sigma, volume, high, low)), dtype=object)
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once; a column named in a lambda would be computed per element."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+
+@F.pandas_udf(T.StructType([T.StructField("lo", T.IntegerType()), T.StructField("hi", T.IntegerType()), T.StructField("sum", T.DoubleType())]))
+def _value_area(profile: pd.Series, poc: pd.Series, total: pd.Series) -> pd.DataFrame:
+    if not len(poc):
+        return pd.DataFrame({"lo": [], "hi": [], "sum": []})
+    lo, hi, got = value_areas(np.stack(profile.to_list()), poc.to_numpy(np.int64), total.to_numpy(float))
+    return pd.DataFrame({"lo": lo, "hi": hi, "sum": got})
 
 
 def _bucketed(bars: DataFrame, keys: list[str]) -> DataFrame:
@@ -69,18 +88,7 @@ def _weights(df: DataFrame, price_sigma: bool) -> DataFrame:
     tp = (F.col("high") + F.col("low") + F.col("close")) / 3
     log_range = F.when((F.col("low") > 0) & (F.col("high") > F.col("low")), F.ln(F.col("high") / F.nullif(F.col("low"), F.lit(0.0))) / _SIGMA)
     df = df.withColumns({"_tp": tp, "_sigma": F.coalesce(log_range * (tp if price_sigma else 1.0), F.lit(0.0)), "_v": F.when(F.col("volume") > 0, F.col("volume").cast("double")).otherwise(0.0)})
-    numbers = F.sequence(F.lit(0), F.lit(BUCKETS - 1))
-
-    def density(i: Column) -> Column:
-        z = (_centre(i) - F.col("_tp")) / F.nullif("_sigma", F.lit(0.0))
-        out = (_centre(i) + F.col("_size") / 2 < F.col("low")) | (_centre(i) - F.col("_size") / 2 > F.col("high"))
-        return F.exp(-0.5 * z * z) * F.when(out, OUTSIDE).otherwise(1.0)
-
-    nearest = F.array_min(F.transform(numbers, lambda i: F.struct(F.round(F.abs(_centre(i) - F.col("_tp")), 9).alias("d"), i.alias("i"))))["i"]
-    alone = _let(nearest, lambda n: F.transform(numbers, lambda i: F.when(i == n, F.col("_v")).otherwise(0.0)))
-    share = lambda pdf, total: F.transform(pdf, lambda x: F.when(total > 0, x / F.nullif(total, F.lit(0.0)) * F.col("_v")).otherwise(0.0))
-    spread = _let(F.transform(numbers, density), lambda pdf: _let(F.aggregate(pdf, F.lit(0.0), lambda a, x: a + x), lambda total: share(pdf, total)))
-    return df.withColumn("_part", F.when(F.col("_sigma") > 0, spread).otherwise(alone))
+    return df.withColumn("_part", _volume_by_bucket("_min", "_size", "_tp", "_sigma", "_v", "high", "low"))
 
 
 def _touched(df: DataFrame) -> DataFrame:
@@ -108,8 +116,7 @@ def profile(bars: DataFrame, keys: list[str], *, time: bool = False, price_sigma
         .select(*keys, F.transform("_a", lambda s: s["_x"]).alias("profile"))
     )
     out = df.groupBy(*keys).agg(*whole).join(sums, keys).withColumn("_poc", (F.array_position("profile", F.array_max("profile")) - 1).cast("int"))
-    found = F.struct(F.col("profile").alias("x"), F.col("_poc").alias("p"), F.col("_total").alias("t"))
-    out = out.withColumn("_area", _let(found, lambda v: _value_area(v["x"], v["p"], v["t"])))
+    out = out.withColumn("_area", _value_area("profile", "_poc", "_total"))
     flat, none = F.col("_hi") <= F.col("_lo"), F.col("_total") <= 0
     edge = lambda side, sign: _centre(F.col(f"_area.{side}")) + sign * F.col("_size") / 2
     return out.select(
@@ -170,54 +177,39 @@ def add_composite_profile(bars: DataFrame, n: int) -> DataFrame:
     return _onto(bars, _named(p, "cvp", f"_{n}d"))
 
 
-def _numpy_profile(h: np.ndarray, low: np.ndarray, c: np.ndarray, v: np.ndarray) -> tuple[float, float, float]:
-    hi, lo = h.max(), low.min()
-    if hi <= lo:
-        return hi, hi, lo
+def window_profiles(h: np.ndarray, low: np.ndarray, c: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Point of control and value area of windows of bars (a row each)."""
+    hi, lo, v = h.max(axis=1), low.min(axis=1), np.where(v > 0, v, 0.0)
     start = lo - (hi - lo) * MARGIN
     size = ((hi + (hi - lo) * MARGIN) - start) / BUCKETS
-    centre = start + size / 2 + np.arange(BUCKETS) * size
-    v = np.where(v > 0, v, 0.0)
-    if v.sum() <= 0:
-        return c[-1], hi, lo
-    tp = (h + low + c) / 3
-    sigma = np.where((low > 0) & (h > low), np.log(np.where((low > 0) & (h > low), h, 1) / np.where(low > 0, low, 1)) / _SIGMA, 0.0)
-    total = np.zeros(BUCKETS)
-    wide = (sigma > 0) & (v > 0)
-    if wide.any():
-        z = (centre - tp[wide, None]) / sigma[wide, None]
-        pdf = np.exp(-0.5 * z * z)
-        pdf[(centre + size / 2 < low[wide, None]) | (centre - size / 2 > h[wide, None])] *= OUTSIDE
-        s = pdf.sum(axis=1, keepdims=True)
-        total += np.where(s > 0, pdf / np.where(s > 0, s, 1) * v[wide, None], 0).sum(axis=0)
-    for i in np.flatnonzero((sigma <= 0) & (v > 0)):
-        total[np.argmin(np.round(np.abs(centre - tp[i]), 9))] += v[i]
-    total = np.round(total, 8)
-    a = b = int(np.argmax(total))
-    poc, got = a, total[a]
-    while got < v.sum() * SHARE and (a > 0 or b < BUCKETS - 1):
-        below, above = total[a - 1] if a else -1.0, total[b + 1] if b < BUCKETS - 1 else -1.0
-        if below > above or b == BUCKETS - 1:
-            a -= 1
-            got += below
-        else:
-            b += 1
-            got += above
-    return centre[poc], centre[b] + size / 2, centre[a] - size / 2
+    ranged = (low > 0) & (h > low)
+    sigma = np.where(ranged, np.log(np.where(ranged, h, 1.0) / np.where(ranged, low, 1.0)) / _SIGMA, 0.0)
+    total = np.round(spread_volume(*np.broadcast_arrays(start[:, None], size[:, None], (h + low + c) / 3), sigma, v, h, low).sum(axis=1), 8)
+    poc, traded = total.argmax(axis=1), v.sum(axis=1)
+    a, b, _ = value_areas(total, poc, traded)
+    centre = lambda i: start + size / 2 + i * size
+    out = np.stack([centre(poc), centre(b) + size / 2, centre(a) - size / 2], axis=1)
+    out[traded <= 0] = np.stack([c[:, -1], hi, lo], axis=1)[traded <= 0]
+    flat = hi <= lo
+    out[flat] = np.stack([hi, hi, lo], axis=1)[flat]
+    return out
 
 
 def add_rolling_profile(bars: DataFrame, n: int) -> DataFrame:
-    """Adds ``rvp_poc_{n}, rvp_vah_{n}, rvp_val_{n}``: the profile of the last n bars at every bar."""
+    """Adds ``rvp_poc_{n}, rvp_vah_{n}, rvp_val_{n}``: the profile of the last n bars at every bar.
+
+    A series is one group of a task; its windows are computed in blocks of bounded size."""
     names = [f"rvp_{c}_{n}" for c in ("poc", "vah", "val")]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ts", kind="stable")
-        h, low, c = (rows[x].to_numpy(float) for x in ("high", "low", "close"))
-        v = rows["volume"].fillna(0).to_numpy(float)
-        out = np.full((len(rows), 3), np.nan)
-        for i in range(n - 1, len(rows)):
-            s = slice(i - n + 1, i + 1)
-            out[i] = _numpy_profile(h[s], low[s], c[s], v[s])
+        columns = [rows[x].fillna(0).to_numpy(float) if x == "volume" else rows[x].to_numpy(float) for x in ("high", "low", "close", "volume")]
+        out, step = np.full((len(rows), 3), np.nan), max(1, (1 << 21) // (n * BUCKETS))
+        if len(rows) >= n:
+            views = [np.lib.stride_tricks.sliding_window_view(x, n) for x in columns]
+            for i in range(0, len(rows) - n + 1, step):
+                block = window_profiles(*(x[i : i + step] for x in views))
+                out[n - 1 + i : n - 1 + i + len(block)] = block
         return rows.assign(**{k: out[:, j] for j, k in enumerate(names)})
 
     schema = T.StructType([*bars.schema.fields, *[T.StructField(k, T.DoubleType()) for k in names]])

@@ -1,7 +1,7 @@
 """Parameter search and walk-forward: every combination and fold is a group of its own.
 
-Combinations that share indicator columns share one preparation; rows are replicated only for the
-columns that rules read, and all runs of all combinations, folds and symbols are groups of a grouped pass.
+All combinations share one preparation; rows are replicated only with the columns that rules read, and
+all runs of all combinations, folds and symbols are groups of a grouped pass.
 """
 
 from __future__ import annotations
@@ -53,31 +53,65 @@ def sample(ranges: dict[str, dict], n: int, seed: int) -> list[dict[str, Any]]:
 def folds(total: int, n: int, train_ratio: float = 0.7, *, anchored: bool = False, min_train: int = 20, min_test: int = 1) -> list[dict[str, int]]:
     """Bar ranges of train and test, ends not included; too short ones are left out.
 
-    Rolling folds start half a fold apart and test on one fold; a last one reaches the end.
-    Anchored ones train from the start."""
+    A fold is a train start and the cut where its test part begins, which is one n-th of the bars long.
+    Anchored folds train from the start and cut at every n-th. Rolling ones start half an n-th apart,
+    train on ``train_ratio`` of one, and where bars are left a last fold, cut where the one before is
+    cut, tests on two n-ths."""
     if total < 3 or n < 2:
         return []
-    size, out = total // n, []
-    if anchored:
-        out = [{"train_start": 0, "train_end": (i + 1) * size, "test_start": (i + 1) * size, "test_end": min((i + 2) * size, total)} for i in range(n)]
-    else:
-        for i in range(n - 1):
-            start = i * (size // 2)
-            end = start + int(size * train_ratio)
-            out.append({"train_start": start, "train_end": end, "test_start": end, "test_end": min(end + size, total)})
-        if out and out[-1]["test_end"] < total:
-            last = out[-1]
-            out.append({"train_start": max(0, last["test_start"] - size), "train_end": last["test_start"], "test_start": last["test_start"], "test_end": min(total, last["test_end"] + size)})
-    return [f for f in out if f["train_end"] - f["train_start"] >= min_train and f["test_end"] - f["test_start"] >= min_test]
+    size = total // n
+    starts = [0] * n if anchored else [k * (size // 2) for k in range(n - 1)]
+    trained = [size * (k + 1) for k in range(n)] if anchored else [int(size * train_ratio)] * len(starts)
+    spans = [(start, start + train, size) for start, train in zip(starts, trained, strict=True)]
+    _, cut, _ = spans[-1]
+    if not anchored and cut + size < total:
+        spans.append((max(0, cut - size), cut, 2 * size))
+    ranges = [(start, cut, min(cut + length, total)) for start, cut, length in spans]
+    names = ("train_start", "train_end", "test_start", "test_end")
+    return [dict(zip(names, (a, b, b, c), strict=True)) for a, b, c in ranges if b - a >= min_train and c - b >= min_test]
+
+
+def prepared_runs(document: str | dict, bars: DataFrame, combinations: list[dict]) -> tuple[DataFrame, Callable[[dict], dict], list[tuple[int, str]]]:
+    """Rows of all bars for every combination (``combo``), the rule trees by keys, and the combinations that fail.
+
+    Indicators are computed once for all combinations in one plan over the bars; each combination then is a
+    struct of its few rule, stop and target columns, and rows are replicated with that struct alone."""
+    parsed, failed = {}, []
+    for i, c in enumerate(combinations):
+        try:
+            parsed[i] = plan.parse(document, c)
+        except plan.StrategyError as e:
+            failed.append((i, str(e)))
+    df, trees, runs, read = bars, {}, [], {}
+    for i, s in parsed.items():
+        own = plan.prepare(s, df)
+        trees[i], read[i] = backtest.signals(s, own)
+        kept = [c for c in own.columns if c not in {x["name"] for x in (*s.indicators, *s.features)}]
+        df = own.withColumn(f"_run{i}", F.struct(F.lit(i).alias("combo"), *[v.alias(k) for k, v in read[i].items()])).select(*kept, f"_run{i}")
+    names = list(dict.fromkeys(n for columns in read.values() for n in columns))
+    for i in parsed:
+        fields = dict(zip(df.schema[f"_run{i}"].dataType.names, df.schema[f"_run{i}"].dataType.fields, strict=True))
+        kind = {n: next(df.schema[f"_run{j}"].dataType[n].dataType for j in parsed if n in read[j]) for n in names}
+        runs.append(F.struct(F.col(f"_run{i}.combo").alias("combo"), *[(F.col(f"_run{i}.{n}") if n in fields else F.lit(None)).cast(kind[n]).alias(n) for n in names]))
+    if not runs:
+        raise ValueError(f"no combination is valid: {failed[0][1] if failed else 'none given'}")
+    rows = df.select(*KEY, "ts", "open", "high", "low", "close", F.explode(F.array(*runs)).alias("_run")).select(*KEY, "ts", "open", "high", "low", "close", "_run.*")
+    return rows, lambda keys: trees[int(keys["combo"])], failed
 
 
 def run_combinations(document: str | dict, bars: DataFrame, combinations: list[dict], how: backtest.Execution = backtest.Execution()) -> DataFrame:  # noqa: B008
-    """Kernel rows of all combinations, with ``combo``; each is one plan over the shared bars."""
-    runs = []
-    for i, c in enumerate(combinations):
-        s = plan.parse(document, c)
-        runs.append(backtest.run(s, plan.prepare(s, bars), how).withColumn("combo", F.lit(i)))
-    return reduce(DataFrame.unionByName, runs)
+    """Kernel rows of all combinations that are valid, with ``combo``: one plan, one grouped pass."""
+    rows, trees, _ = prepared_runs(document, bars, combinations)
+    return backtest.run_rows(rows, trees, how, by=(*KEY, "combo"))
+
+
+def grid_search(document: str | dict, bars: DataFrame, combinations: list[dict], factor: float, metric: str = "sharpe", how: backtest.Execution = backtest.Execution()) -> DataFrame:  # noqa: B008
+    """Ranked results of all combinations; one that fails is a row without results, with its ``error``."""
+    rows, trees, failed = prepared_runs(document, bars, combinations)
+    found = ranked(results(backtest.run_rows(rows, trees, how, by=(*KEY, "combo")), factor), metric).withColumn("error", F.lit(None).cast("string"))
+    if failed:
+        found = found.unionByName(bars.sparkSession.createDataFrame(failed, "combo int, error string"), allowMissingColumns=True)
+    return found
 
 
 def results(rows: DataFrame, factor: float, by: tuple[str, ...] = (*KEY, "combo")) -> DataFrame:
@@ -96,39 +130,46 @@ def best(found: DataFrame, metric: str = "sharpe", by: tuple[str, ...] = KEY) ->
     return ranked(found, metric, by).where("rank = 1")
 
 
+def fold_bars(bars: DataFrame, ranges: Callable[[int], list[dict[str, int]]] | list[dict[str, int]]) -> DataFrame:
+    """Keys and ``ts`` of all bars with each ``fold`` and ``part`` (train, test) they are in."""
+    of = ranges if callable(ranges) else lambda n: ranges
+    spans = F.udf(lambda n: [(i, p, f[f"{p}_start"], f[f"{p}_end"]) for i, f in enumerate(of(n)) for p in ("train", "test")], "array<struct<fold:int,part:string,a:int,b:int>>")
+    series = Window.partitionBy(*KEY)
+    counts = bars.groupBy(*[F.col(k).alias(f"_{k}") for k in KEY]).agg(F.count(F.lit(1)).alias("_n")).select(*[f"_{k}" for k in KEY], spans("_n").alias("_spans"))  # a row a series
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in KEY])
+    placed = bars.select(*KEY, "ts", (F.row_number().over(series.orderBy("ts")) - 1).alias("_i")).join(counts, same)
+    placed = placed.withColumn("_s", F.explode(F.filter("_spans", lambda x: (x["a"] <= F.col("_i")) & (F.col("_i") < x["b"]))))
+    return placed.select(*KEY, "ts", F.col("_s.fold").alias("fold"), F.col("_s.part").alias("part"))
+
+
 def walk_forward(document: str | dict, bars: DataFrame, combinations: list[dict], ranges: Callable[[int], list[dict[str, int]]] | list[dict[str, int]], factor: float, metric: str = "sharpe", how: backtest.Execution = backtest.Execution()) -> DataFrame:  # noqa: B008
     """``fold`` by series: the best combination on train bars, its metrics there (``is_``) and on test bars (``oos_``).
 
     ``ranges`` gives the folds of a series from its number of bars; a list holds for all series alike.
-    Indicators see all earlier bars (they look back alone); train and test parts of all folds and
-    combinations are groups of one grouped pass a combination."""
-    by = (*KEY, "fold", "part")
-    of = ranges if callable(ranges) else lambda n: ranges
-    spans = F.udf(lambda n: [(i, p, f[f"{p}_start"], f[f"{p}_end"]) for i, f in enumerate(of(n)) for p in ("train", "test")], "array<struct<fold:int,part:string,a:int,b:int>>")
-    # one row per series
-    series = bars.groupBy(*[F.col(k).alias(f"_{k}") for k in KEY]).agg(F.count(F.lit(1)).alias("_n")).select(*[f"_{k}" for k in KEY], spans("_n").alias("_spans"))
-    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in KEY])
-    runs = []
-    for i, c in enumerate(combinations):
-        s = plan.parse(document, c)
-        rows = plan.prepare(s, bars).withColumn("_i", F.row_number().over(Window.partitionBy(*KEY).orderBy("ts")) - 1)
-        rows = rows.join(series, same).drop(*[f"_{k}" for k in KEY])
-        rows = rows.withColumn("_s", F.explode(F.filter("_spans", lambda x: (x["a"] <= F.col("_i")) & (F.col("_i") < x["b"]))))
-        rows = rows.withColumns({"fold": F.col("_s.fold"), "part": F.col("_s.part")}).drop("_s", "_i", "_spans")
-        runs.append(backtest.run(s, rows, how, by=by).withColumn("combo", F.lit(i)))
-    found = results(reduce(DataFrame.unionByName, runs), factor, (*by, "combo"))
-    train = best(found.where("part = 'train'"), metric, (*KEY, "fold"))
-    test = found.where("part = 'test'")
+    Indicators see all earlier bars (they look back alone). Train parts of all folds and combinations are
+    groups of one grouped pass; only the best combination of a fold runs on its test bars."""
+    by = (*KEY, "combo", "fold")
+    placed = fold_bars(bars, ranges).select(*[F.col(k).alias(f"_{k}") for k in (*KEY, "ts")], "fold", "part")
+    rows, trees, _ = prepared_runs(document, bars, combinations)
+    rows = rows.join(placed, reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in (*KEY, "ts")])).drop(*[f"_{k}" for k in (*KEY, "ts")])
+    measured = lambda part: results(backtest.run_rows(part.drop("part"), trees, how, by=by), factor, by)
     shown = ("total_return", "sharpe", "max_drawdown", "win_rate", "trades")
-    return train.select(*KEY, "fold", "combo", *[F.col(c).alias(f"is_{c}") for c in shown]).join(test.select(*KEY, "fold", "combo", *[F.col(c).alias(f"oos_{c}") for c in shown]), [*KEY, "fold", "combo"])
+    train = best(measured(rows.where("part = 'train'")), metric, (*KEY, "fold")).select(*by, *[F.col(c).alias(f"is_{c}") for c in shown])
+    test = measured(rows.where("part = 'test'").join(train.select(*by), list(by))).select(*by, *[F.col(c).alias(f"oos_{c}") for c in shown])
+    return train.join(test, list(by)).select(*KEY, "fold", "combo", *[f"is_{c}" for c in shown], *[f"oos_{c}" for c in shown])
 
 
 def fold_summary(walked: DataFrame) -> DataFrame:
-    """Compound return, means and in-to-out-of-sample correlation over folds."""
-    r = F.when((F.stddev_pop("is_sharpe") > 0) & (F.stddev_pop("oos_sharpe") > 0), F.corr("is_sharpe", "oos_sharpe")).otherwise(0.0)
+    """Compound return, means, and correlations of in- and out-of-sample values over folds, of values and of their
+    ranks (ties share their mean rank); 0 where one side doesn't vary."""
+    both = lambda x, y: F.when((F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0), F.corr(x, y)).otherwise(0.0)
+    of = Window.partitionBy(*KEY)
+    place = lambda c: F.rank().over(of.orderBy(c)) + (F.count(F.lit(1)).over(of.partitionBy(*KEY, c)) - 1) / 2
+    walked = walked.withColumns({"_is": place("is_sharpe"), "_oos": place("oos_sharpe")})
+    r = both("is_sharpe", "oos_sharpe")
     return walked.groupBy(*KEY).agg(
         F.count(F.lit(1)).alias("folds"), (F.product(1 + F.col("oos_total_return")) - 1).alias("oos_total_return"), F.avg("oos_sharpe").alias("oos_sharpe"),
-        F.avg("oos_max_drawdown").alias("oos_max_drawdown"), F.avg("oos_win_rate").alias("oos_win_rate"), F.sum("oos_trades").alias("oos_trades"), r.alias("is_oos_correlation"),
+        F.avg("oos_max_drawdown").alias("oos_max_drawdown"), F.avg("oos_win_rate").alias("oos_win_rate"), F.sum("oos_trades").alias("oos_trades"), r.alias("is_oos_correlation"), both("_is", "_oos").alias("is_oos_rank_correlation"),
     )
 
 

@@ -428,7 +428,7 @@ _RANGES = {"fast": {"min": 5, "max": 10, "step": 5}, "slow": {"min": 20, "max":
 
 @query()
 def grid_search(spark, d):
-    return search.ranked(search.results(search.run_combinations(CROSSING, B.event_bars(spark, d), search.grid(_RANGES)), 1638.0))
+    return search.grid_search(CROSSING, B.event_bars(spark, d), search.grid(_RANGES), 1638.0)
 
 
 @query()

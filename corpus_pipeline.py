@@ -8,13 +8,10 @@ twice).
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from barloom.llm import bpe, exact_dedup, near_dedup, quality, source_mix
-from barloom.llm._spark import table
+from barloom.llm._spark import Tables, table
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,10 +53,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each is written to the shared folder and read back."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="barloom-")
-    folder = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+    tables, docs, before = Tables(spark), table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
+        docs = tables.write(stage(spark, docs, sf_dir), name)
+        if before:
+            tables.drop(before)  # the stage that read it is written
+        before = name
     return docs

@@ -5,9 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom import queries_more
-from barloom.operators import backtest
+from barloom.operators import backtest, search
+from barloom.operators.asof import spine_fill
 from barloom.operators.backtest import Execution, simulate
 from barloom.operators.search import folds, grid, sample
+from barloom.plans import strategy
 
 FLAT = (100, 100, 100, 100)
 
@@ -40,7 +42,7 @@ def test_golden(side, stop, target, second, third, entry, exit_, pnl, reason, fi
 
 
 def test_entry_gap_under_stop_is_dropped():
-    account, equity = run([FLAT, (94, 94, 94, 94), FLAT], stop=95)
+    account, equity = run([FLAT, (90, 90, 90, 90), FLAT], stop=95)
     assert not account.trades and equity["value"].iloc[-1] == 10_000
 
 
@@ -55,9 +57,10 @@ def test_size_at_fill_and_leverage():
 
 
 def test_costs():
-    account, equity = run([FLAT, FLAT, FLAT], size=100.0, slippage_pct=0.01, allow_negative_cash=True)
+    account, equity = run([FLAT, FLAT, FLAT], size=100.0, slippage_pct=0.01)
     assert (account.trades[0]["entry_price"], account.trades[0]["exit_price"]) == (101, 99)
-    assert equity["value"].iloc[-1] == pytest.approx(9800)
+    assert account.slippage == pytest.approx(198.02, abs=0.005) and account.notes[0][1] == "affordability_cap"
+    assert equity["value"].iloc[-1] == pytest.approx(9801.98, abs=0.005)
     account, _ = run([FLAT, FLAT, (90,) * 4], "short", borrow_fee_annual_pct=0.05)
     assert account.trades[0]["borrow_cost"] > 0 and account.trades[0]["pnl"] < 100
 
@@ -80,23 +83,40 @@ def test_grid_and_folds():
     assert [x["train_end"] for x in folds(300, 3, anchored=True)] == [100, 200]
 
 
-def test_folds_cover_every_bar_of_each_series(spark, monkeypatch):
+def test_folds_cover_every_bar_of_each_series(spark):
     """Two series of different lengths: each has folds from its own number of bars, up to its last one."""
-    seen = {}
-
-    def run(s, rows, how, by):
-        seen["ends"] = {r.symbol: (r.n, r.first, r.last) for r in rows.groupBy("symbol").agg(F.countDistinct("ts").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last")).collect()}
-        raise StopIteration
-
     bars = queries_more.B.event_bars(spark, "/root/testdata/sf0.1")
     symbols = sorted(r.symbol for r in bars.select("symbol").distinct().collect())
     bars = bars.where((F.col("symbol") != symbols[0]) | (F.col("ts") < F.lit(bars.agg(F.expr("min(ts) + interval 10 days")).first()[0]))).persist()
-    monkeypatch.setattr(backtest, "run", run)
-    monkeypatch.setattr(queries_more.B, "event_bars", lambda *_: bars)
-    with pytest.raises(StopIteration):
-        queries_more.walk_forward(spark, "")
-    want = {r.symbol: (r.n, r.first, r.last) for r in bars.groupBy("symbol").agg(F.count("ts").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last")).collect()}
-    assert len(want) > 1 and seen["ends"] == want
+    ends = lambda df: {r.symbol: (r.n, r.first, r.last) for r in df.groupBy("symbol").agg(F.countDistinct("ts").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last")).collect()}
+    want = ends(bars)
+    assert len(want) > 1 and ends(search.fold_bars(bars, lambda n: folds(n, 3))) == want
+
+
+def test_one_preparation_equals_one_by_one(spark):
+    """All combinations in one plan give what each gives alone; one that is no valid strategy is a row."""
+    bars = queries_more.B.event_bars(spark, "/root/testdata/sf0.001").persist()
+    combos = [*grid({"fast": {"values": [5, 8]}, "slow": {"values": [20]}}), {"fast": -1, "slow": 20}]
+    together = search.run_combinations(queries_more.CROSSING, bars, combos)
+    for i, c in enumerate(combos[:2]):
+        s = strategy.parse(queries_more.CROSSING, c)
+        alone = backtest.run(s, strategy.prepare(s, bars))
+        key = lambda df: sorted(map(str, df.collect()))
+        assert key(together.where(F.col("combo") == i).drop("combo")) == key(alone)
+    found = search.grid_search(queries_more.CROSSING, bars, combos, 1638.0).collect()
+    assert [r.combo for r in found if r.error] == [2] and {r.combo for r in found if not r.error} == {0, 1}
+
+
+def test_portfolio_curve_matches_the_grid(spark):
+    rows = [("a", 1, 10.0), ("a", 3, 0.0), ("b", 2, 5.0), ("b", 90_000, None), ("b", 200_000, 1.5), ("c", 3, 7.25)]
+    df = spark.createDataFrame(rows, "symbol string, at long, value double").select("symbol", F.timestamp_seconds("at").alias("ts"), "value")
+    got = [(r.value, round(r.drawdown, 9)) for r in queries_more.portfolio.portfolio_equity(df, 4.0).orderBy("ts").collect()]
+    want, peak = [], 4.0
+    sums = [r.v for r in spine_fill(df, "value").groupBy("ts").agg(F.sum("value").alias("v")).orderBy("ts").collect()]
+    for v in (v or 4.0 for v in sums):
+        want.append((v, round(max((peak - v) / peak, 0), 9)))
+        peak = max(peak, v)
+    assert got == want
 
 
 def test_portfolio_runs_every_symbol(spark, monkeypatch):
