@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,14 +26,30 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm._spark import table
+from barloom.llm._spark import cut, table
 
 VOCABULARY = "word_bpe_49k.json"
 #: Characters of a piece, of the first window on each side of a join, and words a task remembers.
-LEAF, WINDOW, REMEMBERED = 1 << 16, 64, 100_000
+LEAF, WINDOW, REMEMBERED = 1 << 16, 64, 150_000
+#: Tasks that pieces are dealt to at most.
+TASKS = 2048
 #: Characters at either end of a window in which no agreement counts: more than a special token has.
 GUARD = 16
-_SPACES = b" \t\n\x0b\x0c\r"
+#: Stops after an ASCII letter start a token; they are no part of one with letters.
+_STOPS = re.compile(rb"(.*[A-Za-z])([.,;:!?]+)", re.DOTALL)
+#: Words that the tokenizer's normaliser and splitter leave as they are: only its merges apply to them.
+_LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Letters of two bytes as the vocabulary writes them: bytes of Latin-1 signs as these, others from U+0100 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    hidden = [b for b in range(256) if b not in shown]
+    sign = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+    return {c: "".join(sign[b] for b in chr(c).encode()) for c in range(0xDF, 0x100)}
+
+
+_BYTES = _byte_letters()
 
 
 def vocabulary_path() -> str:
@@ -52,20 +69,39 @@ def tokenizer(path: str):
     return t
 
 
+def _parts(word: bytes) -> tuple[bytes, ...]:
+    """Pieces whose ids together are the word's: stops after an ASCII letter are tokens of their own, and
+    capitals of an ASCII piece don't matter to the tokenizer, so that fewer pieces need to be encoded."""
+    if b"<|" in word:
+        return (word,)
+    m = _STOPS.fullmatch(word)
+    head = m[1] if m else word
+    head = head.lower() if head.isascii() else head
+    return (head, m[2]) if m else (head,)
+
+
 class Encoder:
     """Encodes texts by words, remembering a bounded number of them."""
 
     def __init__(self, path: str):
         self.tokens, self.known = tokenizer(path), {}
+        self.model = self.tokens.model
 
     def learn(self, texts: list[bytes]) -> None:
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = list({w for t in texts for w in t.split() if w not in self.known})
-        for i in range(0, len(new), 2000):
-            part = new[i : i + 2000]
-            made = self.tokens.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.known.update(zip(part, (np.array(e.ids, np.uint32).tobytes() for e in made), strict=True))
+        known = self.known
+        new = {w: _parts(w) for w in {w for t in texts for w in t.split()} - known.keys()}
+        rest = []
+        for p in {p for parts in new.values() for p in parts} - known.keys():
+            text = p.decode()
+            if _LETTERS.fullmatch(text):
+                known[p] = np.array([t.id for t in self.model.tokenize(text.translate(_BYTES))], np.uint32).tobytes()
+            else:
+                rest.append(p)
+        made = self.tokens.encode_batch_fast([p.decode() for p in rest], add_special_tokens=False)
+        known.update(zip(rest, (np.array(e.ids, np.uint32).tobytes() for e in made), strict=True))
+        known.update((w, b"".join(map(known.__getitem__, parts))) for w, parts in new.items())
 
     def encode(self, text: bytes) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; ``learn`` has seen the text."""
@@ -121,11 +157,12 @@ def tree(path: str, pieces: list[Piece]) -> np.ndarray:
     return pieces[0].ids
 
 
-def halves(text: str, leaf: int) -> list[str]:
-    if len(text) <= leaf:
+def halves(text: str, depth: int) -> list[str]:
+    """2^depth pieces of nearly equal length."""
+    if not depth:
         return [text]
     m = len(text) // 2
-    return halves(text[:m], leaf) + halves(text[m:], leaf)
+    return halves(text[:m], depth - 1) + halves(text[m:], depth - 1)
 
 
 def _digest(ids: bytes, path: str) -> tuple[int, str, str]:
@@ -158,22 +195,23 @@ def _leaves(path: str | None):
     return run
 
 
-def _cut_up(leaf: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for ident, key, times, text in batch.itertuples(index=False, name=None):
-                parts = halves(text, leaf)
-                yield pd.DataFrame({"id": pd.Series([ident] * len(parts), dtype="Int64"), "key": key, "times": times, "place": range(len(parts)), "leaf": parts})
+def _cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for ident, key, times, depth, text in batch.itertuples(index=False, name=None):
+            parts = halves(text, depth)
+            yield pd.DataFrame({"id": pd.Series([ident] * len(parts), dtype="Int64"), "key": key, "times": times, "depth": depth, "place": range(len(parts)), "leaf": parts})
 
-    return run
+
+_PIECE = "id long, key long, times long, depth int, place int, leaf string, ids binary, starts binary"
 
 
 def _joined(path: str | None):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("place")
         pieces = [Piece(t, np.frombuffer(i, np.uint32), np.frombuffer(s, np.int32).astype(np.int64)) for t, i, s in zip(rows["leaf"], rows["ids"], rows["starts"], strict=True)]
-        ids = tree(path or vocabulary_path(), pieces)
-        return pd.DataFrame({"id": pd.Series([rows["id"].iloc[0]], dtype="Int64"), "times": [int(rows["times"].iloc[0])], "ids": [ids.tobytes()]})
+        made = join(path or vocabulary_path(), *pieces)
+        out = rows.iloc[:1].drop(columns="pair").astype({"id": "Int64"})
+        return out.assign(depth=out["depth"] - 1, place=out["place"] // 2, leaf=[made.text], ids=[made.ids.tobytes()], starts=[made.starts.astype(np.int32).tobytes()])
 
     return run
 
@@ -183,16 +221,27 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", p
 
     Equals the library's own encoding without special tokens added. A null or empty text has no
     ids. Rows may repeat and ids may be null; an empty table gives an empty result; other columns
-    are ignored. A long text is one group of its own pieces when they are joined.
+    are ignored. Pieces of long texts are rows, and so is every join of two neighbours, so the joins
+    of one level of the tree run side by side; a text of two levels less rests until its turn.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     long = F.length("text") > leaf
     short = rows.where(~long).mapInArrow(_short(path), "id long, ids binary")
-    whole = rows.where(long).groupBy("id", F.xxhash64("text").alias("key"), "text").agg(F.count(F.lit(1)).alias("times")).select("id", "key", "times", "text")
-    cut_up = whole.mapInPandas(_cut_up(leaf), "id long, key long, times long, place int, leaf string")
-    made = cut_up.repartition("id", "key", "place").mapInPandas(_leaves(path), "id long, key long, times long, place int, leaf string, ids binary, starts binary")
-    joined = made.groupBy("id", "key").applyInPandas(_joined(path), "id long, times long, ids binary")
-    repeated = joined.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("id", "ids")
+    whole = rows.where(long).groupBy("id", F.xxhash64("text").alias("key"), "text").agg(F.count(F.lit(1)).alias("times"))
+    depth = F.ceil(F.log2(F.length("text") / leaf)).cast("int")
+    whole = cut(whole.select("id", "key", "times", depth.alias("depth"), "text"))
+    levels, n = whole.agg(F.max("depth"), F.sum(F.pow(F.lit(2.0), F.col("depth")))).first()
+    if not levels:
+        return short.select(F.col("id").alias("doc_id"), "ids")
+    tasks = int(min(n, TASKS))
+    cut_up = whole.mapInPandas(_cut_up, "id long, key long, times long, depth int, place int, leaf string")
+    # dealt one by one, not by a hash of few keys; a fixed number that adaptive execution doesn't merge
+    made = cut(cut_up.repartition(tasks).mapInPandas(_leaves(path), _PIECE))
+    for level in range(levels, 0, -1):
+        two = made.where(F.col("depth") == level).withColumn("pair", F.shiftright("place", 1)).repartition(max(1, tasks // 2), "id", "key", "pair")
+        joined = two.groupBy("id", "key", "pair").applyInPandas(_joined(path), _PIECE)
+        made = cut(joined.union(made.where(F.col("depth") < level)))
+    repeated = made.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("id", "ids")
     return short.union(repeated).select(F.col("id").alias("doc_id"), "ids")
 
 
