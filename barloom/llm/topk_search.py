@@ -1,9 +1,9 @@
 """Exact top-k search by tiled matrix products.
 
 Vectors are packed into tiles of bounded size. Every block of queries meets every shard of
-candidates; one task multiplies one tile pair at a time and keeps the k best of each query
-(partial selection), and a window merges these partial lists per query. Spark's window group
-limit cuts the lists once more before the shuffle, so a query never gathers more than k rows per task.
+candidates; a task multiplies one pair of tiles at a time and keeps the k best of each query
+(partial selection). The lists of a block are merged up a tree, ``FAN`` shards at a time, so a
+query's lists never come together in one task but at the top, where few are left.
 """
 
 from __future__ import annotations
@@ -12,13 +12,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm._spark import table
 
-#: Rows of a packed tile of candidates and of queries.
-SHARD_ROWS, BLOCK_ROWS = 4096, 1024
+#: Rows of a packed tile of candidates and of queries, queries that are multiplied at a time, lists merged
+#: at a time, and tasks that pairs of tiles are dealt to at most.
+SHARD_ROWS, BLOCK_ROWS, STEP, FAN, TASKS = 4096, 8192, 512, 16, 10_000
+_LISTS = "dim int, block int, shard int, q_ids binary, ids binary, scores binary"
 
 
 def _quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -30,59 +32,101 @@ def _quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) ->
     )
 
 
-def _packed(rows: DataFrame, per_tile: int, name: str) -> DataFrame:
-    """Tiles ``dim, name, ids, data`` (int64 bytes): rows are dealt by hash, not by value."""
+def _packed(rows: DataFrame, per_tile: int, name: str) -> tuple[DataFrame, int]:
+    """Tiles ``dim, name, ids, data`` (32-bit integers where they fit, else 64-bit), and their number: rows are
+    dealt by hash, not by value."""
     tiles = max(1, -(-rows.count() // per_tile))
 
     def pack(part: pd.DataFrame) -> pd.DataFrame:
         ids = part["id"].to_numpy(np.int64)
         data = np.stack([np.asarray(v, np.int64) for v in part["q"]]) if int(part["dim"].iloc[0]) else np.zeros((len(ids), 0), np.int64)
+        if not data.size or np.abs(data).max() < 2**31:
+            data = data.astype(np.int32)
         return pd.DataFrame({"dim": [int(part["dim"].iloc[0])], name: [int(part[name].iloc[0])], "ids": [ids.tobytes()], "data": [data.tobytes()]})
 
     dealt = rows.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int"))
-    return dealt.groupBy("dim", name).applyInPandas(pack, f"dim int, {name} int, ids binary, data binary")
+    return dealt.groupBy("dim", name).applyInPandas(pack, f"dim int, {name} int, ids binary, data binary"), tiles
+
+
+def _unpacked(ids: bytes, data: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    own = np.frombuffer(ids, np.int64)
+    kind = np.int32 if len(data) == 4 * len(own) * dim else np.int64
+    return own, np.frombuffer(data, kind).reshape(len(own), dim)
+
+
+def _best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query: highest scores, then smallest ids; sorted so."""
+    order = np.lexsort((ids, -score, query))
+    query, ids, score = query[order], ids[order], score[order]
+    place = np.arange(len(query)) - np.searchsorted(query, query)
+    return query[place < k], ids[place < k], score[place < k]
 
 
 def _tile_top(k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pairs in batches:
-            for dim, q_ids, q_data, c_ids, c_data in zip(pairs["dim"], pairs["q_ids"], pairs["q_data"], pairs["ids"], pairs["data"], strict=True):
-                qi, ci = np.frombuffer(q_ids, np.int64), np.frombuffer(c_ids, np.int64)
-                q, c = np.frombuffer(q_data, np.int64).reshape(len(qi), dim), np.frombuffer(c_data, np.int64).reshape(len(ci), dim)
-                order = np.argsort(ci, kind="stable")
-                ci, c = ci[order], c[order]
-                bound = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(dim, 1)
-                exact = bound < 2**53  # then float64 products and sums are whole numbers without rounding
-                score = (q.astype(np.float64) @ c.T.astype(np.float64)).astype(np.int64) if exact else q @ c.T
-                same = qi[:, None] == ci[None, :]
-                for i in range(len(qi)):
-                    at = np.flatnonzero(~same[i])
-                    s = score[i, at]
-                    if len(s) > k:  # all that reach the k-th score, then smallest ids among ties
-                        least = np.partition(s, len(s) - k)[len(s) - k]
-                        near = np.flatnonzero(s >= least)
-                        at, s = at[near], s[near]
-                    best = np.lexsort((ci[at], -s))[:k]
-                    yield pd.DataFrame({"query_id": np.full(len(best), qi[i]), "vec_id": ci[at[best]], "score": s[best]})
+            for dim, block, shard, q_ids, q_data, c_ids, c_data in pairs[["dim", "block", "shard", "q_ids", "q_data", "ids", "data"]].itertuples(index=False, name=None):
+                (qi, q), (ci, c) = _unpacked(q_ids, q_data, dim), _unpacked(c_ids, c_data, dim)
+                largest = [float(np.abs(x.astype(np.float64)).max(initial=0)) for x in (q, c)]
+                exact = largest[0] * largest[1] * max(dim, 1) < 2**53  # then float64 products and sums are whole numbers without rounding
+                kind = np.float64 if exact else np.int64
+                right, found = c.T.astype(kind), []
+                for i in range(0, len(qi), STEP):
+                    score = q[i : i + STEP].astype(kind) @ right
+                    same = qi[i : i + STEP, None] == ci[None, :]
+                    least = score.min(initial=0) - 1 if exact else np.iinfo(np.int64).min
+                    score[same] = least
+                    if len(ci) > k:  # all that reach the k-th score
+                        near = score >= np.partition(score, len(ci) - k, axis=1)[:, len(ci) - k, None]
+                    else:
+                        near = np.ones(score.shape, bool)
+                    row, at = np.nonzero(near & ~same)
+                    found.append(_best(row + i, ci[at], score[row, at].astype(np.int64), k))
+                row, ids, score = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pd.DataFrame({"dim": [dim], "block": [block], "shard": [shard], "q_ids": [qi[row].tobytes()], "ids": [ids.tobytes()], "scores": [score.tobytes()]})
+
+    return run
+
+
+def _merged(k: int):
+    def run(lists: pd.DataFrame) -> pd.DataFrame:
+        query, ids, score = (np.concatenate([np.frombuffer(x, np.int64) for x in lists[c]]) for c in ("q_ids", "ids", "scores"))
+        query, ids, score = _best(query, ids, score, k)
+        return pd.DataFrame({"dim": lists["dim"].iloc[:1], "block": lists["block"].iloc[:1], "shard": lists["shard"].iloc[:1], "q_ids": [query.tobytes()], "ids": [ids.tobytes()], "scores": [score.tobytes()]})
 
     return run
 
 
+def _spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for lists in batches:
+        for q_ids, ids, scores in zip(lists["q_ids"], lists["ids"], lists["scores"], strict=True):
+            query = np.frombuffer(q_ids, np.int64)
+            rank = np.arange(len(query)) - np.searchsorted(query, query) + 1
+            yield pd.DataFrame({"query_id": query, "rank": rank.astype(np.int32), "vec_id": np.frombuffer(ids, np.int64), "score": np.frombuffer(scores, np.int64)})
+
+
 def top_k(queries: DataFrame, candidates: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, scale: int = 1024) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k candidates with the highest integer inner product.
 
     Components become floor(scale * x). A row is no candidate of a query with its own id; ties go
     to the smaller id; vectors null or with a null or non-finite component take no part, and
-    vectors meet only vectors of their length. Ids null take no part. Fewer than k candidates give
-    all; empty tables give an empty result. A repeated row counts as often as it stands there.
+    vectors meet only vectors of their length. Ids null take no part. Scores are 64-bit: components
+    whose products leave that range wrap around as longs do. Fewer than k candidates give all; empty
+    tables give an empty result. A candidate row that repeats counts as often as it stands there;
+    queries of one id are one query each, and share its list of k.
     """
-    shards = _packed(_quantised(candidates, id_col, vector_col, scale), SHARD_ROWS, "shard")
-    blocks = _packed(_quantised(queries, id_col, vector_col, scale), BLOCK_ROWS, "block").select("dim", "block", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
+    shards, n_shards = _packed(_quantised(candidates, id_col, vector_col, scale), SHARD_ROWS, "shard")
+    blocks, n_blocks = _packed(_quantised(queries, id_col, vector_col, scale).dropDuplicates(["id", "dim"]), BLOCK_ROWS, "block")
+    blocks = blocks.select("dim", "block", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
     per_block = blocks.groupBy("dim").agg(F.collect_set("block").alias("blocks"))
-    pairs = shards.join(per_block, "dim").withColumn("block", F.explode("blocks")).drop("blocks").join(blocks, ["dim", "block"])
-    lists = pairs.select("dim", "q_ids", "q_data", "ids", "data").mapInPandas(_tile_top(k), "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return lists.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    pairs = shards.join(per_block, "dim").withColumn("block", F.explode("blocks")).drop("blocks")
+    # a fixed number of tasks, as adaptive execution would put small inputs with long products into one
+    pairs = pairs.join(blocks, ["dim", "block"]).repartition(min(n_shards * n_blocks, TASKS), "block", "shard", "dim")
+    lists = pairs.select("dim", "block", "shard", "q_ids", "q_data", "ids", "data").mapInPandas(_tile_top(k), _LISTS)
+    while n_shards > 1:
+        n_shards = -(-n_shards // FAN)
+        lists = lists.withColumn("shard", F.floor(F.col("shard") / FAN).cast("int")).groupBy("dim", "block", "shard").applyInPandas(_merged(k), _LISTS)
+    return lists.mapInPandas(_spread, "query_id long, rank int, vec_id long, score long")
 
 
 def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
