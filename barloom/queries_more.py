@@ -244,19 +244,82 @@ def frame_validation(spark, d):
 
 
 # ---------------------------------------------------------------- runs
+def sig(expr: str, name: str) -> str:
+    """Seven significant digits, for values of any size."""
+    return f"printf('%.6e', ({expr})::DOUBLE)::DOUBLE AS {name}"
+
+
+def significant(df, *columns):
+    return df.withColumns({c: F.format_string("%.6e", F.col(c)).cast("double") for c in columns})
+
+
+def kernel_sql(source: str) -> str:
+    """CTEs that end in ``bt``, a row a bar of each run of CROSSING: cash, position and the trade that ended there.
+
+    ``source`` gives ``k (g, symbol, source, interval, ts, open, high, low, close, f, s, stop_pct, cash0, comm, slip)``,
+    bars of run ``g`` with both means. A recursion walks over the bars: the exit and then the entry that are
+    pending fill at the open, the position may end inside the bar, rules are looked at at the close."""
+    return f"""{source},
+k1 AS (SELECT *, row_number() OVER (PARTITION BY g, symbol ORDER BY ts) AS i, count(*) OVER (PARTITION BY g, symbol) AS n,
+  coalesce((f - s) / nullif(s, 0) < -0.1 AND NOT coalesce(close > open, false) AND abs(close - open) / nullif(high - low, 0) BETWEEN 0.2 AND 1.0, false) AS down, coalesce((f - s) / nullif(s, 0) >= 0, false) AS done,
+  round(close * (1 - stop_pct), 2) AS stop_l, round(close + abs(close - close * (1 - stop_pct)) * 2.0, 2) AS target_l, round(close * (1 + stop_pct), 2) AS stop_s, round(close - abs(close - close * (1 + stop_pct)) * 2.0, 2) AS target_s
+  FROM (SELECT *, min(CASE WHEN f IS NOT NULL AND s IS NOT NULL AND high > low THEN ts END) OVER (PARTITION BY g, symbol) AS ready FROM k) WHERE ts >= ready),
+bt AS (
+  SELECT g, symbol, 0::BIGINT AS i, any_value(cash0)::DOUBLE AS cash, 0::DOUBLE AS size, 0::DOUBLE AS price, NULL::TIMESTAMP AS since, 0::DOUBLE AS stop, 0::DOUBLE AS target, 0::DOUBLE AS fee, 0::BIGINT AS held,
+    false AS leave, 0 AS ent, 0::DOUBLE AS ps, 0::DOUBLE AS pt, NULL::DOUBLE AS ax, NULL::DOUBLE AS ay, NULL::DOUBLE AS bx, NULL::DOUBLE AS bz,
+    NULL::DOUBLE AS t_exit, NULL::DOUBLE AS t_entry, NULL::TIMESTAMP AS t_since, NULL::DOUBLE AS t_size, NULL::DOUBLE AS t_fee, NULL::DOUBLE AS t_fee2, NULL::BIGINT AS t_held, NULL::VARCHAR AS t_why
+  FROM k1 GROUP BY g, symbol
+  UNION ALL
+  SELECT g, symbol, i, CASE WHEN ends THEN cash3 + (sg * abs(size3) * px5 - abs(size3) * px5 * comm) ELSE cash3 END, CASE WHEN ends THEN 0 ELSE size3 END, price2, since2, stop2, target2, fee2, held3,
+    CASE WHEN size3 > 0 THEN coalesce(bx >= bz AND f < s, false) WHEN size3 < 0 THEN done ELSE false END,
+    CASE WHEN size3 <> 0 THEN 0 WHEN up THEN 1 WHEN down THEN -1 ELSE 0 END, CASE WHEN up THEN stop_l ELSE stop_s END, CASE WHEN up THEN target_l ELSE target_s END,
+    CASE WHEN size3 = 0 THEN f ELSE ax END, CASE WHEN size3 = 0 THEN s ELSE ay END, CASE WHEN size3 > 0 THEN f ELSE bx END, CASE WHEN size3 > 0 THEN s ELSE bz END,
+    CASE WHEN c1 THEN px1 WHEN hit IS NOT NULL THEN px3 WHEN ends THEN px5 END, CASE WHEN c1 THEN price ELSE price2 END, CASE WHEN c1 THEN since ELSE since2 END, CASE WHEN c1 THEN size ELSE size2 END, CASE WHEN c1 THEN fee ELSE fee2 END,
+    CASE WHEN c1 THEN fee1 WHEN hit IS NOT NULL THEN fee3 WHEN ends THEN abs(size3) * px5 * comm END, CASE WHEN c1 THEN held ELSE held3 END, CASE WHEN c1 THEN 'signal' WHEN hit IS NOT NULL THEN why WHEN ends THEN 'end_of_backtest' END
+  FROM (SELECT *, bi = n AND size3 <> 0 AS ends, close * (1 - sg * slip) AS px5, size3 = 0 AND coalesce(ax <= ay AND f > s, false) AS up
+  FROM (SELECT *, CASE WHEN hit IS NULL THEN cash2 ELSE cash2 + (sg * abs(size2) * px3 - fee3) END AS cash3, CASE WHEN hit IS NULL THEN size2 ELSE 0 END AS size3
+  FROM (SELECT *, hit * (1 - sg * slip) AS px3, abs(size2) * (hit * (1 - sg * slip)) * comm AS fee3
+  FROM (SELECT *, CASE WHEN size2 = 0 THEN NULL WHEN stop2 > 0 AND sg * (open - stop2) <= 0 THEN open WHEN target2 > 0 AND sg * (open - target2) >= 0 THEN open
+      WHEN stop2 > 0 AND sg * (worst - stop2) <= 0 THEN stop2 WHEN target2 > 0 AND sg * (best - target2) >= 0 THEN target2 END AS hit,
+    CASE WHEN stop2 > 0 AND sg * (open - stop2) <= 0 THEN 'stop_loss_gap' WHEN target2 > 0 AND sg * (open - target2) >= 0 THEN 'take_profit_gap' WHEN stop2 > 0 AND sg * (worst - stop2) <= 0 THEN 'stop_loss' ELSE 'take_profit' END AS why
+  FROM (SELECT *, sign(size2) AS sg, CASE WHEN size2 > 0 THEN low ELSE high END AS worst, CASE WHEN size2 > 0 THEN high ELSE low END AS best, CASE WHEN size2 <> 0 THEN held2 + 1 ELSE held2 END AS held3
+  FROM (SELECT *, CASE WHEN qty > 0 THEN cash1 - (ent * qty * ep + qty * ep * comm) ELSE cash1 END AS cash2, CASE WHEN qty > 0 THEN ent * qty ELSE size1 END AS size2, CASE WHEN qty > 0 THEN ep ELSE price END AS price2, CASE WHEN qty > 0 THEN bts ELSE since END AS since2,
+    CASE WHEN qty > 0 THEN ps ELSE stop END AS stop2, CASE WHEN qty > 0 THEN pt ELSE target END AS target2, CASE WHEN qty > 0 THEN qty * ep * comm ELSE fee END AS fee2, CASE WHEN qty > 0 THEN 0 ELSE held END AS held2
+  FROM (SELECT *, CASE WHEN ent = 0 OR size1 <> 0 OR (ps > 0 AND ent * (ep - ps) <= 0) THEN 0 ELSE least(CASE WHEN ps > 0 AND abs(ep - ps) > 0.001 THEN cash1 * 0.02 * 1.0 / abs(ep - ps) ELSE 100 END, greatest(0, cash1 / (ep * (1 + comm)))) END AS qty
+  FROM (SELECT *, open * (1 + ent * slip) AS ep, CASE WHEN c1 THEN cash + (sign(size) * abs(size) * px1 - fee1) ELSE cash END AS cash1, CASE WHEN c1 THEN 0 ELSE size END AS size1
+  FROM (SELECT *, abs(size) * px1 * comm AS fee1
+  FROM (SELECT bt.* EXCLUDE (i), b.i AS i, b.i AS bi, b.n, b.ts AS bts, b.open, b.high, b.low, b.close, b.f, b.s, b.down, b.done, b.stop_l, b.target_l, b.stop_s, b.target_s, b.comm, b.slip, bt.leave AND bt.size <> 0 AS c1, b.open * (1 - sign(bt.size) * b.slip) AS px1
+    FROM bt JOIN k1 b ON b.g = bt.g AND b.symbol = bt.symbol AND b.i = bt.i + 1))))))))))),
+eq AS (SELECT k1.g, k1.symbol, k1.source, k1."interval", k1.ts, k1.close, bt.cash + bt.size * k1.close AS value, bt.size AS position, k1.cash0 FROM bt JOIN k1 USING (g, symbol, i)),
+tr AS (SELECT k1.g, k1.symbol, k1.source, k1."interval", t_since AS entry_ts, k1.ts AS exit_ts, t_entry, t_exit, abs(t_size) AS size, sign(t_size) * (t_exit - t_entry) * abs(t_size) AS gross, sign(t_size) * (t_exit - t_entry) * abs(t_size) - t_fee - t_fee2 AS net, t_fee, t_fee2, t_held,
+  CASE WHEN t_size > 0 THEN 'long' ELSE 'short' END AS direction, t_why FROM bt JOIN k1 USING (g, symbol, i) WHERE t_exit IS NOT NULL)"""
+
+
+def _means(fast: int, slow: int, group: int = 0, *, cash: str = "10000.0", comm: float = 0.0, slip: float = 0.0) -> str:
+    return f"""SELECT {group} AS g, {IDS}, open, high, low, close, {over("avg(close)", fast)} AS f, {over("avg(close)", slow)} AS s, 0.2::DOUBLE AS stop_pct, ({cash})::DOUBLE AS cash0, {comm}::DOUBLE AS comm, {slip}::DOUBLE AS slip FROM bars"""
+
+
+_COSTS = kernel_sql(f"{BARS_1H}, k AS ({_means(10, 30, comm=0.001, slip=0.0005)})")
+
+
 def _run(spark, d):
     s = strategy.parse(CROSSING)
     return backtest.run(s, strategy.prepare(s, B.event_bars(spark, d)), backtest.Execution(commission_pct=0.001, slippage_pct=0.0005))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_COSTS} SELECT symbol, source, "interval", entry_ts, exit_ts, {r("t_entry", "entry_price")}, {r("t_exit", "exit_price")}, {r("size", "size")}, {r("gross", "gross_pnl", 2)}, {r("net", "pnl", 2)}, {r("t_fee", "entry_commission", 2)}, {r("t_fee2", "exit_commission", 2)},
+    0::DOUBLE AS borrow_cost, {r("net / (t_entry * size)", "pnl_pct", 4)}, t_held AS duration_bars, direction, t_why AS exit_reason FROM tr"""
+)
 def backtest_trades(spark, d):
-    return backtest.trades(_run(spark, d))
+    return rounded(backtest.trades(_run(spark, d)))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_COSTS} SELECT {IDS}, close, {r("value", "value")}, {r("(peak - value) / peak", "drawdown")}, {r("position", "position")} FROM (SELECT *, greatest(cash0, max(value) OVER ({W})) AS peak FROM eq)"""
+)
 def backtest_equity(spark, d):
-    return backtest.equity(_run(spark, d))
+    return rounded(backtest.equity(_run(spark, d)))
 
 
 LEVEL = {
@@ -293,11 +356,11 @@ _K = 'symbol, source, "interval"'
 @query(
     f"""WITH {_RET}, a AS (SELECT {_K}, arg_min(value, ts) AS v0, arg_max(value, ts) AS v1, count(ret) AS n, avg(ret) AS mean, stddev_samp(ret) AS sd, avg(CASE WHEN ret < 0 THEN ret * ret END) AS down, max((peak - value) / peak) AS dd FROM c GROUP BY {_K}),
     b AS (SELECT *, (v1 - v0) / v0 AS t FROM a), e AS (SELECT *, pow(1 + t, 252.0 / n) - 1 AS y FROM b)
-    SELECT {_K}, {r("t", "total_return")}, {r("y / (1 + abs(y))", "annualised_squashed")}, {r("mean / sd * sqrt(252)", "sharpe")}, {r("mean / sqrt(down) * sqrt(252)", "sortino")}, {r("dd", "max_drawdown")} FROM e"""
+    SELECT {_K}, {r("t", "total_return")}, {sig("y", "annualised_return")}, {sig("CASE WHEN dd > 0 THEN y / dd ELSE 0 END", "calmar")}, {r("mean / sd * sqrt(252)", "sharpe")}, {r("mean / sqrt(down) * sqrt(252)", "sortino")}, {r("dd", "max_drawdown")} FROM e"""
 )
 def equity_metrics(spark, d):
-    m = metrics.equity_metrics(_curve(spark, d), 252.0)
-    return rounded(m.withColumn("annualised_squashed", F.col("annualised_return") / (1 + F.abs("annualised_return"))).drop("annualised_return", "calmar"))
+    m = significant(metrics.equity_metrics(_curve(spark, d), 252.0), "annualised_return", "calmar")
+    return m.withColumns({c: F.round(c, 6) for c in ("total_return", "sharpe", "sortino", "max_drawdown")})
 
 
 @query(
@@ -322,10 +385,9 @@ def monthly_returns(spark, d):
     return metrics.monthly_returns(_weeks(spark, d))
 
 
-@query(f"WITH {_MONTHS}, y AS (SELECT {_K}, substr(month, 1, 4) AS year, product(1 + ret) - 1 AS ret FROM mo GROUP BY {_K}, 4) SELECT {_K}, year, {r('ret / (1 + abs(ret))', 'ret', 3)} FROM y")
+@query(f"WITH {_MONTHS}, y AS (SELECT {_K}, substr(month, 1, 4) AS year, product(1 + ret) - 1 AS ret FROM mo GROUP BY {_K}, 4) SELECT {_K}, year, round(ret, 4) AS ret FROM y")
 def yearly_returns(spark, d):
-    y = metrics.yearly_returns(_weeks(spark, d))
-    return y.withColumn("ret", F.round(F.col("ret") / (1 + F.abs("ret")), 3))
+    return metrics.yearly_returns(_weeks(spark, d))
 
 
 _DIFF = f"{BARS_1H}, t AS (SELECT {IDS}, close - open AS pnl, row_number() OVER ({W}) % 7 AS duration_bars, ts AS entry_ts, ts AS exit_ts FROM bars)"
@@ -414,29 +476,77 @@ def portfolio_equity(spark, d):
     return rounded(portfolio.portfolio_equity(B.event_bars(spark, d), 100.0, "close"))
 
 
-@query()
+_SHARES = kernel_sql(
+    f"""{BARS_1H}, w AS (SELECT symbol AS sym, CASE WHEN symbol = 'CLICK' THEN 2.0 ELSE 1.0 END AS w FROM (SELECT DISTINCT symbol FROM bars)), shares AS (SELECT sym, 100000.0 * w / sum(w) OVER () AS c FROM w),
+    k AS ({_means(10, 30, cash="(SELECT any_value(c) FROM shares WHERE sym = bars.symbol)")})"""
+)
+
+
+@query(
+    f"""WITH RECURSIVE {_SHARES}, t AS (SELECT DISTINCT ts FROM eq), z AS (SELECT DISTINCT symbol FROM eq), v AS (SELECT t.ts, coalesce(e.value, 0) AS v FROM t CROSS JOIN z ASOF LEFT JOIN eq e ON e.symbol = z.symbol AND t.ts >= e.ts),
+    p AS (SELECT ts, CASE WHEN sum(v) = 0 THEN 100000 ELSE sum(v) END AS value FROM v GROUP BY ts), q AS (SELECT *, greatest(coalesce(max(value) OVER (ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 100000), 100000) AS peak FROM p)
+    SELECT ts, {r("value", "value", 4)}, {r("greatest((peak - value) / peak, 0)", "drawdown")} FROM q"""
+)
 def portfolio_run(spark, d):
     s = strategy.parse(CROSSING)
     bars = B.event_bars(spark, d)
     weights = {"CLICK": 2.0} | {r.symbol: 1.0 for r in bars.where("symbol != 'CLICK'").select("symbol").distinct().orderBy("symbol").collect()}
     rows = portfolio.run_portfolio(s, strategy.prepare(s, bars), weights, backtest.Execution(cash=100_000.0))
-    return portfolio.portfolio_equity(backtest.equity(rows), 100_000.0)
+    return portfolio.portfolio_equity(backtest.equity(rows), 100_000.0).select("ts", F.round("value", 4).alias("value"), F.round("drawdown", 6).alias("drawdown"))
 
 
 _RANGES = {"fast": {"min": 5, "max": 10, "step": 5}, "slow": {"min": 20, "max": 30, "step": 10}}
 
 
-@query()
+def measures_sql(factor: float, keys: str) -> str:
+    """CTEs that end in ``ms``: metrics of each run of ``eq`` and ``tr`` by keys."""
+    return f"""e1 AS (SELECT *, lag(value) OVER k AS pv, max(value) OVER k AS peak FROM eq WINDOW k AS (PARTITION BY {keys} ORDER BY ts)),
+e2 AS (SELECT *, CASE WHEN pv IS NULL THEN NULL WHEN pv > 0 THEN (value - pv) / pv ELSE 0 END AS ret, CASE WHEN peak > 0 THEN (peak - value) / peak ELSE 0 END AS dd FROM e1),
+e3 AS (SELECT {keys}, arg_min(value, ts) AS v0, arg_max(value, ts) AS v1, count(ret) AS n, avg(ret) AS mean, stddev_samp(ret) AS sd, avg(CASE WHEN ret < 0 THEN ret * ret END) AS down, max(dd) AS max_drawdown FROM e2 GROUP BY {keys}),
+e4 AS (SELECT *, CASE WHEN v0 > 0 THEN (v1 - v0) / v0 ELSE 0 END AS total_return FROM e3),
+e5 AS (SELECT *, CASE WHEN n > 0 AND total_return > -1 THEN pow(1 + total_return, {factor} / n) - 1 ELSE 0 END AS annualised_return FROM e4),
+t1 AS (SELECT {keys}, count(*) AS trades, count(*) FILTER (round(net, 2) > 0) / count(*) AS win_rate, sum(CASE WHEN round(net, 2) > 0 THEN round(net, 2) ELSE 0 END) AS up, sum(CASE WHEN round(net, 2) < 0 THEN -round(net, 2) ELSE 0 END) AS lost FROM tr GROUP BY {keys}),
+ms AS (SELECT e5.*, CASE WHEN n >= 2 AND sd >= 1e-12 THEN mean / sd * sqrt({factor}) ELSE 0 END AS sharpe, CASE WHEN n >= 2 AND down > 0 THEN mean / sqrt(down) * sqrt({factor}) ELSE 0 END AS sortino, CASE WHEN max_drawdown > 0 THEN annualised_return / max_drawdown ELSE 0 END AS calmar,
+  coalesce(trades, 0) AS trades, coalesce(win_rate, 0) AS win_rate, CASE WHEN lost > 0 THEN up / lost WHEN up > 0 THEN NULL WHEN trades > 0 THEN 0 END AS profit_factor FROM e5 LEFT JOIN t1 USING ({keys}))"""
+
+
+_COMBOS = search.grid(_RANGES)
+_GRID = kernel_sql(f"{BARS_1H}, k AS ({' UNION ALL '.join(_means(c['fast'], c['slow'], i) for i, c in enumerate(_COMBOS))})") + ", " + measures_sql(1638.0, 'g, symbol, source, "interval"')
+
+
+@query(
+    f"""WITH RECURSIVE {_GRID} SELECT symbol, source, "interval", g AS combo, {r("total_return", "total_return")}, {sig("annualised_return", "annualised_return")}, {sig("calmar", "calmar")}, {r("sharpe", "sharpe", 5)}, {r("sortino", "sortino", 5)}, {r("max_drawdown", "max_drawdown")},
+    trades, {r("win_rate", "win_rate")}, {r("profit_factor", "profit_factor", 4)}, row_number() OVER (PARTITION BY symbol ORDER BY sharpe DESC, g)::INT AS rank, NULL::VARCHAR AS error FROM ms"""
+)
 def grid_search(spark, d):
-    return search.grid_search(CROSSING, B.event_bars(spark, d), search.grid(_RANGES), 1638.0)
+    found = search.grid_search(CROSSING, B.event_bars(spark, d), _COMBOS, 1638.0)
+    digits = {"sharpe": 5, "sortino": 5, "profit_factor": 4, "total_return": 6, "max_drawdown": 6, "win_rate": 6}
+    return significant(found, "annualised_return", "calmar").withColumns({c: F.round(c, n) for c, n in digits.items()})
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_GRID}, c AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{k}', {float(v)})" for i, x in enumerate(_COMBOS) for k, v in x.items())}) t(g, param, x)), m AS (SELECT param, x, avg(sharpe) AS m FROM ms JOIN c USING (g) GROUP BY param, x),
+    d AS (SELECT param, max(m) - min(m) AS d FROM m GROUP BY param) SELECT param, {r("CASE WHEN sum(d) OVER () > 0 THEN d / sum(d) OVER () ELSE 0 END", "sensitivity", 5)} FROM d"""
+)
 def parameter_sensitivity(spark, d):
-    combos = search.grid(_RANGES)
-    return search.sensitivity(search.results(search.run_combinations(CROSSING, B.event_bars(spark, d), combos), 1638.0), combos)
+    found = search.sensitivity(search.results(search.run_combinations(CROSSING, B.event_bars(spark, d), _COMBOS), 1638.0), _COMBOS)
+    return found.select("param", F.round("sensitivity", 5).alias("sensitivity"))
+
+
+_WALK = search.grid({"fast": {"values": [5, 10]}, "slow": {"values": [30]}})
+_FOLDS = kernel_sql(
+    f"""{BARS_1H}, cs AS ({" UNION ALL ".join(_means(c["fast"], c["slow"], i) for i, c in enumerate(_WALK))}), nr AS (SELECT *, row_number() OVER (PARTITION BY g, symbol ORDER BY ts) - 1 AS nth FROM cs),
+    z0 AS (SELECT symbol, count(*) AS n, count(*) // 3 AS z, floor((count(*) // 3) * 0.7::DOUBLE)::BIGINT AS tr FROM bars GROUP BY symbol), z1 AS (SELECT *, z // 2 + tr AS b1 FROM z0),
+    fd AS (SELECT symbol, 0 AS fold, 0 AS a, tr AS b, least(tr + z, n) AS c FROM z1 UNION ALL SELECT symbol, 1, z // 2, b1, least(b1 + z, n) FROM z1 UNION ALL SELECT symbol, 2, greatest(0, b1 - z), b1, least(b1 + 2 * z, n) FROM z1 WHERE b1 + z < n),
+    k AS (SELECT g * 100 + fold * 10 + CASE WHEN nth < b THEN 0 ELSE 1 END AS g, nr.* EXCLUDE (g, nth) FROM nr JOIN fd USING (symbol) WHERE nth >= a AND nth < c AND b - a >= 20 AND c - b >= 1)"""
+) + ", " + measures_sql(1638.0, 'g, symbol, source, "interval"')
+_SHOWN = ("total_return", "sharpe", "max_drawdown", "win_rate", "trades")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_FOLDS}, tn AS (SELECT *, row_number() OVER (PARTITION BY symbol, g // 10 % 10 ORDER BY sharpe DESC, g) AS place FROM ms WHERE g % 10 = 0)
+    SELECT tn.symbol, tn.source, tn."interval", (tn.g // 10 % 10)::INT AS fold, (tn.g // 100)::INT AS combo, {", ".join(r(f"{t}.{c}", f"{n}_{c}", 5) if c != "trades" else f"{t}.{c} AS {n}_{c}" for t, n in (("tn", "is"), ("o", "oos")) for c in _SHOWN)}
+    FROM tn JOIN ms o ON o.symbol = tn.symbol AND o.g = tn.g + 1 WHERE place = 1"""
+)
 def walk_forward(spark, d):
-    return search.walk_forward(CROSSING, B.event_bars(spark, d), search.grid({"fast": {"values": [5, 10]}, "slow": {"values": [30]}}), lambda n: search.folds(n, 3), 1638.0)
+    return rounded(search.walk_forward(CROSSING, B.event_bars(spark, d), _WALK, lambda n: search.folds(n, 3), 1638.0), 5)
