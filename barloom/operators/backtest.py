@@ -146,6 +146,8 @@ Rule = Callable[[int, dict], bool]
 def rule(tree: Any, frame: pd.DataFrame) -> Rule:
     """A function of the bar's number and the memory of crossings. All members of a group are looked at."""
     kind, what = tree
+    if kind == "custom":
+        return _asked(frame, *what)
     if kind == "column":
         flags = frame[what].to_numpy(bool)
         return lambda i, memory: bool(flags[i])
@@ -169,6 +171,25 @@ def rule(tree: Any, frame: pd.DataFrame) -> Rule:
     return lambda i, memory: join([p(i, memory) for p in parts])
 
 
+def _asked(frame: pd.DataFrame, make: Callable[[], Any], want: str) -> Rule:
+    """A rule that asks a strategy object; its answer of a bar is kept for the other rules of that bar."""
+
+    def look(i: int, memory: dict) -> bool:
+        if "strategy" not in memory:
+            memory["strategy"], memory["own"] = make(), {}
+        if memory.get("asked") != i:
+            memory["asked"], memory["answer"] = i, memory["strategy"].on_bar(i, frame, memory["own"])
+        answer = memory["answer"]
+        if want == "exit" or answer in (None, "exit"):
+            return want == "exit" and answer == "exit"
+        side, stop, target = answer
+        if side == want:
+            memory["levels"] = float(stop or 0.0), float(target or 0.0)
+        return side == want
+
+    return look
+
+
 def simulate(frame: pd.DataFrame, sides: dict[str, tuple], how: Execution) -> tuple[Account, pd.DataFrame]:
     """One run over a series sorted by time. ``sides``: direction -> (entry rule, exit rule or None);
     the frame has ``{side}_stop`` and ``{side}_target`` of each bar.
@@ -199,7 +220,8 @@ def simulate(frame: pd.DataFrame, sides: dict[str, tuple], how: Execution) -> tu
         else:
             for side in ("long", "short"):
                 if side in sides and sides[side][0](i, memory):
-                    enter = (1 if side == "long" else -1, float(np.nan_to_num(risk[side][0][i])), float(np.nan_to_num(risk[side][1][i])))
+                    stop, target = memory.pop("levels", None) or (float(np.nan_to_num(x[i])) for x in risk[side])
+                    enter = (1 if side == "long" else -1, stop, target)
                     break
         if i == len(c) - 1 and account.at.size:
             account.leave(c[i], ts[i], "end_of_backtest")
@@ -285,6 +307,14 @@ def run_rows(rows: DataFrame, sides_of: Callable[[dict], dict[str, tuple]], how:
     return rows.groupBy(*by).applyInPandas(kernel, schema)
 
 
+def run_custom(make: Callable[[], Any], prepared: DataFrame, how: Execution = Execution(), *, by: tuple[str, ...] = KEY) -> DataFrame:  # noqa: B008
+    """``run`` for a strategy that is an object: ``make()`` gives one for each group, with ``on_bar(i, frame, memory)``
+    that returns ``None``, ``"exit"`` or ``(side, stop, target)`` at the close of bar i. Orders fill at the next open."""
+    rows = prepared.withColumns({"_ready": F.lit(True), **{f"{s}_{p}": F.lit(0.0) for s in ("long", "short") for p in ("stop", "target")}})
+    sides = {side: (("custom", (make, side)), ("custom", (make, "exit"))) for side in ("long", "short")}
+    return run_rows(rows, lambda keys: sides, how, by=by, skip_warm_up=False)
+
+
 def equity(result: DataFrame, by: tuple[str, ...] = KEY) -> DataFrame:
     return result.where("kind = 'equity'").select(*by, *[n for n, _ in EQUITY])
 

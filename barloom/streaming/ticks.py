@@ -21,11 +21,17 @@ def stream_bars(ticks: DataFrame, interval: str, *, symbol: str = "symbol", pric
 
 
 def upsert_batches(folder: str) -> Callable[[DataFrame, int], None]:
-    """For ``writeStream.foreachBatch``: each batch is merged with what stands and written as a new version."""
+    """For ``writeStream.foreachBatch``: each batch is merged with the newest version before it and written as one of
+    its own number. A batch that is run again writes the same version again; numbers may have gaps."""
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = batch if number == 0 else upsert(spark.read.parquet(f"{folder}/v{number - 1}"), batch)
+        root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in files.listStatus(root)] if files.exists(root) else []
+        done = [int(n[1:]) for n in names if n[1:].isdigit() and files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS"))]
+        before = max((n for n in done if n < number), default=None)
+        rows = batch if before is None else upsert(spark.read.parquet(f"{folder}/v{before}"), batch)
         rows.write.mode("overwrite").parquet(f"{folder}/v{number}")
 
     return run
