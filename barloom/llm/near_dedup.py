@@ -8,7 +8,8 @@
 3. Links are confirmed on the whole shingle sets of both texts; components follow by alternating
    large-star and small-star.
 4. What is in another component than its bucket's hub may still be linked with members of the bucket.
-   These classes alone are dealt into blocks and meet the blocks of the whole bucket; each pair of
+   Buckets whose hubs are in one component form a group; only its classes outside that component are
+   dealt into blocks that meet the blocks of the whole group. Each pair of
    blocks is one unit of work that compares whole shingle sets by matrix products and returns a
    spanning forest of the links it finds. Nothing is capped: pairs that are left out are in one
    component already.
@@ -181,7 +182,7 @@ def _found(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("x", F.xxhash64("text"))
     base = cut(texts.select("id", "x", "text").mapInArrow(_signed(size, percent), _BASE).withColumn("c", F.xxhash64("s1", "s2", "n")))
     full = base.where("n > 0 AND id IS NOT NULL")
-    classes = cut(full.groupBy("c").agg(F.min(F.struct("id", "x")).alias("rep")).select("c", "rep.id", "rep.x"))
+    classes = cut(full.groupBy("c").agg(F.min(F.struct("id", "x")).alias("rep"), F.min("n").alias("n")).select("c", "rep.id", "rep.x", "n"))
     signed = full.join(classes, ["c", "id", "x"]).groupBy("c").agg(F.min("keys").alias("keys"), F.min("signature").alias("signature"))
     signed = cut(signed)
     member = signed.select("c", F.posexplode("keys").alias("band", "key")).select("c", F.xxhash64("band", "key").alias("key"))
@@ -205,11 +206,11 @@ def _found(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int)
     if not many.isEmpty():
         comp = lambda of, name: comps.select(F.col("node").alias(of), F.col("component").alias(name))
         placed = many.join(comp("c", "own"), "c", "left").join(comp("hub", "hubs"), "hub", "left")
-        rest = F.coalesce("own", "c") != F.coalesce("hubs", "hub")
-        placed = cut(placed.select("key", "c", rest.alias("rest")))
+        # buckets of all bands whose hubs are in one component are one group, so a class is in it once
+        group, rest = F.coalesce("hubs", "hub"), F.coalesce("own", "c") != F.coalesce("hubs", "hub")
+        placed = cut(placed.select(group.alias("key"), "c", rest.alias("rest")).distinct())
         open_keys = placed.where("rest").select("key").distinct()
-        placed = placed.join(open_keys, "key")  # buckets whose classes are all in the hub's component are done
-        sized = placed.join(classes, "c").join(full.select("c", "n").distinct(), "c")
+        sized = placed.join(open_keys, "key").join(classes, "c")  # a group all in its hubs' component is done
         blocks = sized.groupBy("key", "rest").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / SHINGLES)).cast("int").alias("blocks"))
         dealt = sized.join(blocks, ["key", "rest"]).withColumn("block", F.pmod(F.xxhash64("c", "key"), F.col("blocks")).cast("int"))
         own = cut(text_of(sized.select("c", "id", "x").distinct()))
