@@ -3,7 +3,7 @@
 A document is a bag of passages of ``PASSAGE`` words. Every passage of the whole text is encoded
 (shares of byte classes, word lengths, repetition); a hidden layer and gated attention weigh the
 passages, and the weighted representation gives the document's score. Only document labels are
-learned from, on a bounded sample of labelled rows (``SAMPLE``); scoring is one pass over all
+learned from, on a bounded sample of labelled rows (``SAMPLE`` rows, ``CHARACTERS`` of text); scoring is one pass over all
 texts without a shuffle, in slices of bounded size.
 """
 
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from barloom.llm._spark import table
 from barloom.llm._text import slices, words
 
-#: Words of a passage, labelled rows that the fit sees at most, hidden and attention units.
-PASSAGE, SAMPLE, HIDDEN, GATES = 64, 3000, 24, 12
+#: Words of a passage, labelled rows and characters of their texts that the fit sees at most, hidden and attention units.
+PASSAGE, SAMPLE, CHARACTERS, HIDDEN, GATES = 64, 3000, 1 << 26, 24, 12
 
 #: Byte classes: every ASCII sign by itself, then digits, capitals, small letters, spaces, line
 #: ends, other control bytes, first and further bytes of other letters.
@@ -142,7 +142,10 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, fol
     marks = marks.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("quality").cast("double").alias("_y"))
     few = F.broadcast(marks.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE))  # at most SAMPLE rows
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).join(few, "_id")
-    sample = rows.select("_text", "_y", "_id").orderBy("_id").select("_text", "_y").mapInArrow(_encoded, "x binary, y double").toPandas()
+    sizes = rows.select("_id", F.length("_text").alias("n")).toPandas().fillna(0).sort_values(["_id", "n"])  # at most SAMPLE ids
+    fits = sizes.loc[sizes["n"].cumsum() <= CHARACTERS, "_id"]  # whole texts, until they fill the bound
+    chosen = F.broadcast(docs.sparkSession.createDataFrame([(int(i),) for i in dict.fromkeys(fits)], "_id long"))
+    sample = rows.join(chosen, "_id").select("_text", "_y", "_id").orderBy("_id").select("_text", "_y").mapInArrow(_encoded, "x binary, y double").toPandas()
     y = sample["y"].to_numpy(float)
     if not len(y) or y.min() == y.max():
         return float(y.mean()) if len(y) else 0.5
