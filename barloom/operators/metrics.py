@@ -164,13 +164,15 @@ def sort_trades(trades: DataFrame, field: str = "entry_ts", descending: bool = F
 
 def correlations(series: DataFrame, value: str, member: str = "symbol", *, spearman: bool = False) -> DataFrame:
     """``a, b, correlation`` of all pairs of members: values meet by place in time, the longer series is cut;
-    0 without variance."""
+    0 without variance. Each pair is computed once and given both ways."""
     w = Window.partitionBy(member).orderBy("ts")
     rows = series.select(F.col(member).alias("m"), F.row_number().over(w).alias("i"), F.col(value).alias("x"))
-    pairs = rows.select(F.col("m").alias("a"), "i", F.col("x").alias("xa")).join(rows.select(F.col("m").alias("b"), "i", F.col("x").alias("xb")), "i")
+    pairs = rows.select(F.col("m").alias("a"), "i", F.col("x").alias("xa")).join(rows.select(F.col("m").alias("b"), "i", F.col("x").alias("xb")), "i").where("a <= b")
     if spearman:
         p = Window.partitionBy("a", "b")
         average = lambda c: F.rank().over(p.orderBy(F.col(c).desc())) + (F.count(F.lit(1)).over(Window.partitionBy("a", "b", c)) - 1) / 2
         pairs = pairs.select("a", "b", average("xa").alias("xa"), average("xb").alias("xb"))
     flat = (F.stddev_pop("xa") <= 1e-12) | (F.stddev_pop("xb") <= 1e-12)
-    return pairs.groupBy("a", "b").agg(F.when(flat, 0.0).otherwise(F.coalesce(F.corr("xa", "xb"), F.lit(0.0))).alias("correlation"))
+    found = pairs.groupBy("a", "b").agg(F.when(flat, 0.0).otherwise(F.coalesce(F.corr("xa", "xb"), F.lit(0.0))).alias("correlation"))
+    both = F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b"))).otherwise(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    return found.select(F.explode(both).alias("p"), "correlation").select("p.a", "p.b", "correlation")
