@@ -47,6 +47,7 @@ class Strategy:
     risk: dict[str, dict]
     metadata: dict
     warnings: list[str] = field(default_factory=list)
+    declared: dict[str, dict] = field(default_factory=dict)
 
     def columns(self) -> dict[str, str | list[str]]:
         """Alias of each indicator: its column, or the columns that stand in for each other."""
@@ -87,9 +88,10 @@ class Strategy:
 
     def normalised(self) -> dict:
         return {
-            "schema_version": "2.0", "name": self.name, "description": self.description, "parameters": self.parameters,
+            "schema_version": "2.0", "name": self.name, "description": self.description, "parameters": {n: {**self.declared.get(n, {}), "default": v} for n, v in self.parameters.items()},
             "timeframes": {"primary": self.primary, "informative": [{"alias": a, "interval": i} for a, i in self.informative.items()]},
-            "indicators": self.indicators, "features": self.features, "sides": self.sides, "risk": self.risk, "metadata": self.metadata,
+            "indicators": self.indicators, "features": self.features, "risk": self.risk, "metadata": self.metadata,
+            "sides": {s: {k: {"condition": c} for k, c in x.items() if c} for s, x in self.sides.items()},
         }
 
     def key(self, **inputs: Any) -> str:
@@ -139,7 +141,8 @@ def parse(document: str | dict, overrides: dict[str, Any] | None = None) -> Stra
             bad(f"$.{key}", f"more than {most}")
 
     values: dict[str, Any] = {}
-    for name, p in (raw.get("parameters") or {}).items():
+    declared = dict(raw.get("parameters") or {})
+    for name, p in declared.items():
         value = (overrides or {}).get(name, p.get("default"))
         kind = _TYPES.get(p.get("type"))
         if kind is None or not isinstance(value, kind) or (isinstance(value, bool) and p["type"] != "bool"):
@@ -269,7 +272,7 @@ def parse(document: str | dict, overrides: dict[str, Any] | None = None) -> Stra
         warnings.append("no stop-loss")
     if errors:
         raise StrategyError(errors)
-    return Strategy(str(raw["name"]), str(raw.get("description") or ""), values, frames.get("primary"), slow, indicators, features, sides, risk, raw.get("metadata") or {}, warnings)
+    return Strategy(str(raw["name"]), str(raw.get("description") or ""), values, frames.get("primary"), slow, indicators, features, sides, risk, raw.get("metadata") or {}, warnings, declared)
 
 
 def explain(s: Strategy) -> str:
@@ -294,14 +297,36 @@ def capabilities() -> dict:
 
 
 def json_schema() -> dict:
-    """JSON Schema of a document's outer form."""
-    side = {"type": "object", "properties": {k: {"type": "object", "required": ["condition"]} for k in ("entry", "exit")}, "required": ["entry"]}
+    """JSON Schema of a document: parameters, timeframes, indicators, features, nested conditions and risk."""
+    text, whole, number = {"type": "string", "minLength": 1}, {"type": "integer"}, {"type": "number"}
+    slot = {"type": "string", "pattern": _SLOT.pattern}
+    or_slot = lambda x: {"anyOf": [x, slot]}
+    thing = lambda required=(), **properties: {"type": "object", "required": list(required), "properties": properties}
+    many = lambda items, **limits: {"type": "array", "items": items, **limits}
+    operand = {"anyOf": [text, number, {"type": "boolean"}, {"type": "object"}]}
+    condition = {
+        "anyOf": [
+            *[thing([k], **{k: many({"$ref": "#/$defs/condition"}, minItems=1)}) for k in ("all", "any")],
+            thing(["not"], **{"not": {"$ref": "#/$defs/condition"}}),
+            thing(["left", "operator"], left=operand, operator={"enum": sorted(formula.OPERATORS)}, right={"anyOf": [operand, many(or_slot(number), minItems=2, maxItems=2)]}),
+        ]
+    }
+    rule = thing(["condition"], condition={"$ref": "#/$defs/condition"})
+    side = thing(["entry"], entry=rule, exit=rule)
+    positive = or_slot({"type": "number", "exclusiveMinimum": 0})
+    risk = lambda kinds: thing(["type"], type={"enum": list(kinds)}, multiplier=positive, pct=positive, ratio=positive, indicator=text)
+    parameter = thing(["type", "default"], type={"enum": list(_TYPES)}, minimum=number, maximum=number, description={"type": "string"})
+    interval = {"enum": list(SECONDS)}
     return {
-        "$schema": "https://json-schema.org/draft/2020-12/schema", "type": "object", "required": ["schema_version", "name", "sides"],
+        "$schema": "https://json-schema.org/draft/2020-12/schema", "type": "object", "required": ["schema_version", "name", "sides"], "$defs": {"condition": condition},
         "properties": {
-            "schema_version": {"const": "2.0"}, "name": {"type": "string"}, "description": {"type": "string"}, "parameters": {"type": "object", "maxProperties": LIMITS["parameters"]},
-            "timeframes": {"type": "object"}, "indicators": {"type": "array", "maxItems": LIMITS["indicators"]}, "features": {"type": "array", "maxItems": LIMITS["features"]},
-            "sides": {"type": "object", "properties": {"long": side, "short": side}}, "risk": {"type": "object"}, "metadata": {"type": "object"},
+            "schema_version": {"const": "2.0"}, "name": text, "description": {"type": "string"},
+            "parameters": {"type": "object", "maxProperties": LIMITS["parameters"], "additionalProperties": parameter},
+            "timeframes": thing(primary=interval, informative=many(thing(["alias", "interval"], alias=text, interval=interval), maxItems=INFORMATIVE)),
+            "indicators": many(thing(["name", "type"], name=text, type=text, period=or_slot(whole), timeframe=text, sources=many(text, minItems=2)), maxItems=LIMITS["indicators"]),
+            "features": many(thing(["name", "type"], name=text, type={"enum": list(FEATURES)}, source=text, window=or_slot({"type": "integer", "minimum": 1}), shift=or_slot({"type": "integer", "minimum": 0}), expr={"type": "object"}), maxItems=LIMITS["features"]),
+            "sides": {**thing(long=side, short=side), "minProperties": 1, "additionalProperties": False},
+            "risk": thing(stop_loss=risk(STOPS), take_profit=risk(TARGETS)), "metadata": {"type": "object"},
         },
     }
 

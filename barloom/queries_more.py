@@ -510,6 +510,18 @@ ms AS (SELECT e5.*, CASE WHEN n >= 2 AND sd >= 1e-12 THEN mean / sd * sqrt({fact
   coalesce(trades, 0) AS trades, coalesce(win_rate, 0) AS win_rate, CASE WHEN lost > 0 THEN up / lost WHEN up > 0 THEN NULL WHEN trades > 0 THEN 0 END AS profit_factor FROM e5 LEFT JOIN t1 USING ({keys}))"""
 
 
+@query(
+    f"""WITH RECURSIVE {_COSTS}, {measures_sql(1638.0, 'g, symbol, source, "interval"')}, fe AS (SELECT symbol, sum(round(t_fee, 2) + round(t_fee2, 2)) AS fees, sum(round(net, 2)) AS net FROM tr GROUP BY symbol)
+    SELECT symbol, source, "interval", {r("total_return", "total_return")}, {r("sharpe", "sharpe", 5)}, {r("max_drawdown", "max_drawdown")}, trades, {r("win_rate", "win_rate")}, {r("coalesce(net, 0)", "net", 2)}, {r("coalesce(fees, 0)", "fees", 2)},
+    trades < 30 AS few_trades, abs(v1 - v0 - coalesce(net, 0)) <= 0.01 * greatest(trades, 1) AS reconciles FROM ms LEFT JOIN fe USING (symbol)"""
+)
+def run_report(spark, d):
+    rows = _run(spark, d)
+    m = metrics.report(backtest.equity(rows), backtest.trades(rows), backtest.notes(rows), 1638.0)
+    m = m.withColumns({c: F.round(c, n) for c, n in {"total_return": 6, "sharpe": 5, "max_drawdown": 6, "win_rate": 6, "net": 2, "fees": 2}.items()})
+    return m.select("symbol", "source", "interval", "total_return", "sharpe", "max_drawdown", "trades", "win_rate", "net", "fees", "few_trades", "reconciles")
+
+
 _COMBOS = search.grid(_RANGES)
 _GRID = kernel_sql(f"{BARS_1H}, k AS ({' UNION ALL '.join(_means(c['fast'], c['slow'], i) for i, c in enumerate(_COMBOS))})") + ", " + measures_sql(1638.0, 'g, symbol, source, "interval"')
 

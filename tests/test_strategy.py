@@ -45,3 +45,17 @@ def test_faults_have_paths(change, path):
 def test_schema_and_capabilities():
     assert strategy.json_schema()["required"] == ["schema_version", "name", "sides"]
     assert "vp_poc" in strategy.capabilities()["indicators"]
+
+
+def test_normal_form_is_a_document_again():
+    s = strategy.parse(CROSSING, {"fast": 7})
+    n = s.normalised()
+    assert n["parameters"]["fast"] == {"type": "int", "default": 7, "minimum": 2, "maximum": 50}
+    again = strategy.parse({k: v for k, v in n.items() if v is not None and k != "timeframes"})
+    assert again.parameters == s.parameters and again.sides.keys() == s.sides.keys()
+
+
+def test_schema_covers_conditions_and_risk():
+    schema = strategy.json_schema()
+    assert {tuple(x["required"]) for x in schema["$defs"]["condition"]["anyOf"]} == {("all",), ("any",), ("not",), ("left", "operator")}
+    assert schema["properties"]["risk"]["properties"]["stop_loss"]["properties"]["type"]["enum"] and json.dumps(schema)
