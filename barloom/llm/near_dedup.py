@@ -9,8 +9,8 @@
    large-star and small-star.
 4. What is in another component than its bucket's hub may still be linked with members of the bucket.
    Buckets whose hubs are in one component form a group; only its classes outside that component are
-   dealt into blocks that meet the blocks of the whole group. Each pair of
-   blocks is one unit of work that compares whole shingle sets by matrix products and returns a
+   dealt into blocks that meet one block of the component, and what that leaves outside it all blocks
+   of the group. Each pair of blocks is one unit of work that compares whole shingle sets by matrix products and returns a
    spanning forest of the links it finds. Nothing is capped: pairs that are left out are in one
    component already.
 """
@@ -203,22 +203,27 @@ def _found(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int)
     links = cut(pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_linked(size, percent), "a long, b long"))
     comps = cut(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
 
-    if not many.isEmpty():
+    for narrow in (True, False) if not many.isEmpty() else ():
         comp = lambda of, name: comps.select(F.col("node").alias(of), F.col("component").alias(name))
         placed = many.join(comp("c", "own"), "c", "left").join(comp("hub", "hubs"), "hub", "left")
         # buckets of all bands whose hubs are in one component are one group, so a class is in it once
         group, rest = F.coalesce("hubs", "hub"), F.coalesce("own", "c") != F.coalesce("hubs", "hub")
         placed = cut(placed.select(group.alias("key"), "c", rest.alias("rest")).distinct())
-        open_keys = placed.where("rest").select("key").distinct()
+        open_keys = cut(placed.where("rest").select("key").distinct())
+        if open_keys.isEmpty():
+            break
         sized = placed.join(open_keys, "key").join(classes, "c")  # a group all in its hubs' component is done
         blocks = sized.groupBy("key", "rest").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / SHINGLES)).cast("int").alias("blocks"))
         dealt = sized.join(blocks, ["key", "rest"]).withColumn("block", F.pmod(F.xxhash64("c", "key"), F.col("blocks")).cast("int"))
-        own = cut(text_of(sized.select("c", "id", "x").distinct()))
+        if narrow:  # first one block of each group's component alone, which leaves little to meet all blocks
+            dealt = dealt.where("rest OR block = 0")
+        own = cut(text_of(dealt.select("c", "id", "x").distinct()))
         packed = dealt.join(own, "c").groupBy("key", "rest", "block").agg(F.collect_list(F.struct(F.col("c").alias("id"), "text")).alias("rows"))
+        met_by = packed.where("NOT rest") if narrow else packed
         left = packed.where("rest").select("key", F.col("block").alias("mine"), "rows")
-        right = packed.select("key", "rest", "block", F.col("rows").alias("others"))
+        right = met_by.select("key", "rest", "block", F.col("rows").alias("others"))
         met = left.join(right, "key").where("NOT rest OR block >= mine").select("rows", F.when(~(F.col("rest") & (F.col("block") == F.col("mine"))), F.col("others")).alias("others"))
-        links = links.union(met.mapInArrow(_forest(size, percent), "a long, b long"))
+        links = cut(links.union(met.mapInArrow(_forest(size, percent), "a long, b long")))
         comps = cut(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
 
     found = classes.join(comps, F.col("c") == F.col("node"), "left").select("c", "id", F.coalesce("component", "c").alias("component"))
