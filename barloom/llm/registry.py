@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("substring_dedup", "exact_dedup", "source_mix", "topk_search", "near_dedup", "url_filter", "license_scan", "bpe", "quality", "toxicity")
+MODULES = ("substring_dedup", "exact_dedup", "source_mix", "topk_search", "near_dedup", "url_filter", "license_scan", "bpe", "quality", "toxicity", "clustering", "decontaminate", "merkle")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
