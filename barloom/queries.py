@@ -355,6 +355,6 @@ def outer_fill(spark, d):
     return asof.spine_fill(B.event_bars(spark, d), "close").select("ts", "symbol", "close")
 
 
-from barloom import queries_more  # noqa: E402, F401  (registers the other queries)
+from barloom import queries_more, queries_scale  # noqa: E402, F401  (register the other queries)
 
 __all__ = ["KEY", "QUERIES", "SQL"]
