@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.operators import blocks
-from barloom.queries import ID, SQL, out, query, rounded
+from barloom.queries import BARS_1H, ID, IDS, SQL, out, query
 from barloom.sources import bars as B
+from barloom.sources import candles
+from barloom.sources.shared import new_folder
 
 #: Bars of a block in these queries: the series of the tables have some hundred bars, so that each is several blocks.
 SIZE = 64
@@ -29,3 +31,12 @@ def recursive_blocks(spark, d):
 def asof_blocks(spark, d):
     level = lambda interval: B.event_bars(spark, d, interval).withColumn("level", F.col("close"))
     return blocks.chain_blocks(B.event_bars(spark, d), [(level("1d"), "1d"), (level("1w"), "1w")], size=SIZE).select(*ID, "level_1d", "level_1w")
+
+
+@query(f"WITH {BARS_1H} SELECT {IDS}, open, high, low, close, volume FROM bars WHERE symbol IN ('CLICK', 'VIEW') AND ts >= '2024-01-03' AND ts < '2024-01-20 12:00:00'")
+def candles_scan(spark, d):
+    """Bars out to an archive of candle chunks and back in, with conditions on series and time."""
+    folder = new_folder(spark, "candles")
+    candles.write_archive(B.event_bars(spark, d), folder, 48)
+    bars = candles.read_archive(spark, folder, source="events")
+    return bars.where("symbol IN ('CLICK', 'VIEW') AND ts >= timestamp_ntz '2024-01-03' AND ts < timestamp_ntz '2024-01-20 12:00:00'").select(*ID, "open", "high", "low", "close", "volume")
