@@ -190,44 +190,60 @@ def _asked(frame: pd.DataFrame, make: Callable[[], Any], want: str) -> Rule:
     return look
 
 
+class Run:
+    """A run that can go on: account, pending orders, the memory of crossings and the peak so far."""
+
+    def __init__(self, how: Execution):
+        self.account, self.memory, self.peak = Account(how), {}, how.cash
+        self.leaving, self.entry = False, None
+
+    def bars(self, frame: pd.DataFrame, sides: dict[str, tuple], last: bool) -> pd.DataFrame:
+        """The next bars of the series, sorted by time; with ``last`` an open position ends at the last close.
+
+        Within a bar: a pending exit, then a pending entry at the open; exits inside the bar; the rules
+        at the close, whose orders fill at the next open; the mark at the close."""
+        account, memory, how = self.account, self.memory, self.account.how
+        memory.pop("asked", None)
+        o, h, low, c = (frame[x].to_numpy(float) for x in ("open", "high", "low", "close"))
+        ts = frame["ts"].to_list()
+        risk = {s: (frame[f"{s}_stop"].to_numpy(float), frame[f"{s}_target"].to_numpy(float)) for s in sides}
+        leave, enter = self.leaving, self.entry
+        values, sizes = np.empty(len(c)), np.empty(len(c))
+        for i in range(len(c)):
+            if leave and account.at.size:
+                account.leave(o[i], ts[i], "signal")
+            leave = False
+            if enter and not account.at.size:
+                account.enter(*enter[:1], o[i], *enter[1:], ts[i])
+            enter = None
+            if account.at.size:
+                account.at.held += 1
+                if hit := account.inside(o[i], h[i], low[i]):
+                    account.leave(hit[0], ts[i], hit[1])
+            if account.at.size:
+                own = sides.get("long" if account.at.size > 0 else "short")
+                leave = bool(own and own[1] and own[1](i, memory))
+            else:
+                for side in ("long", "short"):
+                    if side in sides and sides[side][0](i, memory):
+                        stop, target = memory.pop("levels", None) or (float(np.nan_to_num(x[i])) for x in risk[side])
+                        enter = (1 if side == "long" else -1, stop, target)
+                        break
+            if last and i == len(c) - 1 and account.at.size:
+                account.leave(c[i], ts[i], "end_of_backtest")
+            values[i], sizes[i] = account.value(c[i]), account.at.size
+        self.leaving, self.entry = leave, enter
+        peak = np.maximum.accumulate(np.maximum(values, self.peak)) if len(values) else values
+        if len(peak):
+            self.peak = float(peak[-1])
+        return pd.DataFrame({"ts": ts, "close": c, "value": values, "drawdown": np.where(peak > 0, (peak - values) / peak, 0.0), "position": sizes})
+
+
 def simulate(frame: pd.DataFrame, sides: dict[str, tuple], how: Execution) -> tuple[Account, pd.DataFrame]:
-    """One run over a series sorted by time. ``sides``: direction -> (entry rule, exit rule or None);
-    the frame has ``{side}_stop`` and ``{side}_target`` of each bar.
-
-    Within a bar: a pending exit, then a pending entry at the open; exits inside the bar; the rules
-    at the close, whose orders fill at the next open; the mark at the close. An open position ends
-    at the last close."""
-    account, memory = Account(how), {}
-    o, h, low, c = (frame[x].to_numpy(float) for x in ("open", "high", "low", "close"))
-    ts = frame["ts"].to_list()
-    risk = {s: (frame[f"{s}_stop"].to_numpy(float), frame[f"{s}_target"].to_numpy(float)) for s in sides}
-    leave, enter = False, None
-    values, sizes = np.empty(len(c)), np.empty(len(c))
-    for i in range(len(c)):
-        if leave and account.at.size:
-            account.leave(o[i], ts[i], "signal")
-        leave = False
-        if enter and not account.at.size:
-            account.enter(*enter[:1], o[i], *enter[1:], ts[i])
-        enter = None
-        if account.at.size:
-            account.at.held += 1
-            if hit := account.inside(o[i], h[i], low[i]):
-                account.leave(hit[0], ts[i], hit[1])
-        if account.at.size:
-            own = sides.get("long" if account.at.size > 0 else "short")
-            leave = bool(own and own[1] and own[1](i, memory))
-        else:
-            for side in ("long", "short"):
-                if side in sides and sides[side][0](i, memory):
-                    stop, target = memory.pop("levels", None) or (float(np.nan_to_num(x[i])) for x in risk[side])
-                    enter = (1 if side == "long" else -1, stop, target)
-                    break
-        if i == len(c) - 1 and account.at.size:
-            account.leave(c[i], ts[i], "end_of_backtest")
-        values[i], sizes[i] = account.value(c[i]), account.at.size
-    peak = np.maximum.accumulate(np.maximum(values, how.cash)) if len(values) else values
-    return account, pd.DataFrame({"ts": ts, "close": c, "value": values, "drawdown": np.where(peak > 0, (peak - values) / peak, 0.0), "position": sizes})
+    """One run over a whole series sorted by time. ``sides``: direction -> (entry rule, exit rule or None);
+    the frame has ``{side}_stop`` and ``{side}_target`` of each bar."""
+    run = Run(how)
+    return run.account, run.bars(frame, sides, True)
 
 
 TRADE = [
@@ -280,12 +296,22 @@ def run(strategy: Strategy, prepared: DataFrame, how: Execution | dict[str, Exec
     return run_rows(rows, lambda keys: sides, how, by=by, skip_warm_up=skip_warm_up)
 
 
+def result_schema(rows: DataFrame, by: tuple[str, ...]) -> T.StructType:
+    return T.StructType([*[rows.schema[k] for k in by], T.StructField("kind", T.StringType()), *[T.StructField(n, t) for n, t in EQUITY + TRADE], T.StructField("code", T.StringType())])
+
+
+def result_rows(parts: dict[str, pd.DataFrame], keys: dict, schema: T.StructType) -> pd.DataFrame:
+    """Rows of a result by kind; kinds without rows are left out."""
+    out = pd.concat([p.assign(kind=k) for k, p in parts.items() if len(p) or k == "equity"], ignore_index=True).assign(**keys).reindex(columns=schema.names)
+    kinds = {f.name: object if isinstance(f.dataType, T.StringType) else "datetime64[us]" for f in schema.fields if isinstance(f.dataType, (T.StringType, T.TimestampNTZType))}
+    return out.astype(kinds)
+
+
 def run_rows(rows: DataFrame, sides_of: Callable[[dict], dict[str, tuple]], how: Execution | dict[str, Execution], *, by: tuple[str, ...], skip_warm_up: bool = True) -> DataFrame:
     """``run`` over rows that hold the columns of ``signals``; ``sides_of`` gives the rule trees of a group's keys.
 
     A group is one series of one run and is held by one task: some hundred bytes a bar, so a million bars fit."""
-    schema = T.StructType([*[rows.schema[k] for k in by], T.StructField("kind", T.StringType()), *[T.StructField(n, t) for n, t in EQUITY + TRADE], T.StructField("code", T.StringType())])
-    names = [f.name for f in schema.fields]
+    schema = result_schema(rows, by)
 
     def kernel(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("ts", kind="stable").reset_index(drop=True)
@@ -295,14 +321,7 @@ def run_rows(rows: DataFrame, sides_of: Callable[[dict], dict[str, tuple]], how:
             frame = frame.iloc[good[0] :].reset_index(drop=True) if len(good) else frame.iloc[:0]
         own = how.get(keys.get("symbol"), Execution()) if isinstance(how, dict) else how
         account, equity = simulate(frame, {s: (rule(a, frame), rule(b, frame) if b else None) for s, (a, b) in sides_of(keys).items()}, own)
-        parts = [equity.assign(kind="equity")]
-        if account.trades:
-            parts.append(pd.DataFrame(account.trades).assign(kind="trade"))
-        if account.notes:
-            parts.append(pd.DataFrame(account.notes, columns=["ts", "code"]).assign(kind="note"))
-        out = pd.concat(parts, ignore_index=True).assign(**keys).reindex(columns=names)
-        kinds = {f.name: object if isinstance(f.dataType, T.StringType) else "datetime64[us]" for f in schema.fields if isinstance(f.dataType, (T.StringType, T.TimestampNTZType))}
-        return out.astype(kinds)
+        return result_rows({"equity": equity, "trade": pd.DataFrame(account.trades), "note": pd.DataFrame(account.notes, columns=["ts", "code"])}, keys, schema)
 
     return rows.groupBy(*by).applyInPandas(kernel, schema)
 

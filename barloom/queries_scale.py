@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
-from barloom.operators import blocks
-from barloom.queries import BARS_1H, ID, IDS, SQL, out, query
+from barloom import queries, queries_more
+from barloom.operators import backtest, blocks
+from barloom.plans import strategy
+from barloom.queries import BARS_1H, ID, IDS, SQL, out, query, r, rounded
 from barloom.sources import bars as B
 from barloom.sources import candles
 from barloom.sources.shared import new_folder
+from barloom.streaming import indicators, kernel, replay
 
 #: Bars of a block in these queries: the series of the tables have some hundred bars, so that each is several blocks.
 SIZE = 64
@@ -40,3 +45,38 @@ def candles_scan(spark, d):
     candles.write_archive(B.event_bars(spark, d), folder, 48)
     bars = candles.read_archive(spark, folder, source="events")
     return bars.where("symbol IN ('CLICK', 'VIEW') AND ts >= timestamp_ntz '2024-01-03' AND ts < timestamp_ntz '2024-01-20 12:00:00'").select(*ID, "open", "high", "low", "close", "volume")
+
+
+def _streamed(spark, d, how, n=5):
+    s = strategy.parse(queries_more.CROSSING)
+    prepared = strategy.prepare(s, B.event_bars(spark, d))
+    return kernel.settled(replay.to_end(replay.slices(prepared, n), lambda rows: kernel.run_stream(s, rows, how)))
+
+
+_COSTS = backtest.Execution(commission_pct=0.001, slippage_pct=0.0005)
+
+
+@query(SQL["backtest_trades"])
+def backtest_stream_trades(spark, d):
+    return rounded(backtest.trades(_streamed(spark, d, _COSTS)))
+
+
+@query(SQL["backtest_equity"])
+def backtest_stream_equity(spark, d):
+    return rounded(backtest.equity(_streamed(spark, d, _COSTS, 3)))
+
+
+@query(
+    f"""{queries._FOLDS}, p AS (SELECT *, CAST(ts AS DATE) AS day, (high + low + close) / 3 AS p FROM bars),
+    v AS (SELECT symbol, ts, sum(p * volume) OVER w / nullif(sum(volume) OVER w, 0) AS vw, first_value(high) OVER w AS ih, first_value(low) OVER w AS il FROM p WINDOW w AS (PARTITION BY symbol, day ORDER BY ts))
+    SELECT {IDS}, {r("CASE WHEN i >= 12 THEN e12 END", "ema_12")}, {r("CASE WHEN i >= 26 THEN e26 END", "ema_26")}, {r("CASE WHEN i >= 26 THEN e12 - e26 END", "macd")}, {r("CASE WHEN i >= 14 THEN 100 * g / nullif(g + l, 0) END", "rsi_14", 4)},
+    {r("CASE WHEN i >= 14 THEN a END", "atr")}, {r(f"vw + {queries.OFF_TIES}", "vwap_session", 4)}, {r("ih", "ib_high")}, {r("il", "ib_low")} FROM x JOIN v USING (symbol, ts)"""
+)
+def stream_indicators(spark, d):
+    """Bars as a stream in slices of time; each row comes once its bar is older than the watermark, here after a bar that ends the stream."""
+    bars = B.event_bars(spark, d)
+    ends = bars.groupBy("source", "interval").agg(F.max("ts").alias("ts")).withColumn("ts", F.col("ts") + F.expr("INTERVAL 30 DAYS"))
+    end = ends.select(F.lit("~end").alias("symbol"), "source", "interval", "ts", *[F.lit(1.0).alias(c) for c in ("open", "high", "low", "close")], F.lit(1).cast("long").alias("volume"))
+    rows = replay.to_end(replay.slices(bars.unionByName(end), 4), lambda x: indicators.indicator_stream(x, "1 hour", dt.timedelta(days=3650))).where("symbol <> '~end'")
+    digits = {"rsi_14": 4, "vwap_session": 4}
+    return rows.select(*ID, *[F.round(F.col(c) + (queries.OFF_TIES if c == "vwap_session" else 0.0), digits.get(c, 6)).alias(c) for c in indicators.COLUMNS])
