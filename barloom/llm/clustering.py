@@ -140,11 +140,11 @@ def _changes(x: np.ndarray, old: np.ndarray | None, new: np.ndarray) -> list[dic
     return [{"cluster": c, "n": n, "sums": sums} for c, (n, sums) in out.items()]
 
 
-def _first(centroids: np.ndarray, b: int, dim: int):
+def _first(centroids: np.ndarray, b: int, dim: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, ROWS):
-                part = batch.slice(i, ROWS)
+            for i in range(0, batch.num_rows, size):
+                part = batch.slice(i, size)
                 x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
                 state = measured(x, centroids, b)
                 yield _written(part.column(0).to_pylist(), x, state, state.near.shape[1] - 1, len(x), _changes(x, None, state.near[:, 0]))
@@ -207,7 +207,7 @@ def kmeans(
     centroids = np.array([r.q for r in first], np.int64)
     k = len(centroids)
     least, b, trace = max(1, -(-k // 8)), min(k - 1, bounds or max(3, -(-k // 4))), []
-    blocks = tables.write(rows.mapInArrow(_first(centroids, b, dim), _BLOCK), "round-0")
+    blocks = tables.write(rows.mapInArrow(_first(centroids, b, dim, ROWS), _BLOCK), "round-0")
     totals = {c: (0, [0] * dim) for c in range(k)}
     for r in range(1, rounds + 1):
         told = blocks.agg(F.max("used").alias("used"), F.sum("full").alias("full")).first()
