@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from barloom import queries, queries_more
-from barloom.operators import backtest, blocks
+from barloom.operators import backtest, blocks, gram
 from barloom.plans import strategy
 from barloom.queries import BARS_1H, ID, IDS, SQL, out, query, r, rounded
 from barloom.sources import bars as B
@@ -80,3 +80,13 @@ def stream_indicators(spark, d):
     rows = replay.to_end(replay.slices(bars.unionByName(end), 4), lambda x: indicators.indicator_stream(x, "1 hour", dt.timedelta(days=3650))).where("symbol <> '~end'")
     digits = {"rsi_14": 4, "vwap_session": 4}
     return rows.select(*ID, *[F.round(F.col(c) + (queries.OFF_TIES if c == "vwap_session" else 0.0), digits.get(c, 6)).alias(c) for c in indicators.COLUMNS])
+
+
+@query(SQL["correlation_pearson"])
+def correlation_gram(spark, d):
+    return rounded(gram.correlations(B.event_bars(spark, d, "1d"), "close"))
+
+
+@query(SQL["correlation_spearman"])
+def correlation_gram_ranks(spark, d):
+    return rounded(gram.correlations(B.event_bars(spark, d, "1d"), "close", spearman=True))
