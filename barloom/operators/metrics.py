@@ -79,13 +79,20 @@ def reconcile(equity: DataFrame, trades: DataFrame, by: tuple[str, ...] = KEY) -
     return e.join(t, list(by), "left").withColumn("difference", F.col("final") - F.col("initial") - F.coalesce("net", F.lit(0.0)))
 
 
-def report(equity: DataFrame, trades: DataFrame, notes: DataFrame, factor: float, by: tuple[str, ...] = KEY, *, few: int = 30) -> DataFrame:
-    """One row a run: metrics of its curve and trades, what both differ by, counts of notes by code, and whether to
-    trust it (``few_trades``: under ``few``; ``reconciles``: curve and trades agree to a cent a trade)."""
-    t = trade_metrics(trades, by)
+def slippage_cost(trades: DataFrame, pct: float, by: tuple[str, ...] = KEY) -> DataFrame:
+    """``slippage`` of each run: fills stand ``pct`` off the price they were made from, to the trader's cost."""
+    sign = F.when(F.col("direction") == "long", 1.0).otherwise(-1.0)
+    off = lambda price, s: F.abs(F.col(price) - F.col(price) / (1 + s * pct)) * F.col("size")
+    return trades.groupBy(*by).agg(F.sum(off("entry_price", sign) + off("exit_price", -sign)).alias("slippage"))
+
+
+def report(equity: DataFrame, trades: DataFrame, notes: DataFrame, factor: float, by: tuple[str, ...] = KEY, *, few: int = 30, slippage_pct: float = 0.0) -> DataFrame:
+    """One row a run: metrics of its curve and trades, what both differ by, counts of notes by code, what ``slippage_pct``
+    of each fill cost, and whether to trust it (``few_trades``: under ``few``; ``reconciles``: curve and trades agree to a cent a trade)."""
+    t = trade_metrics(trades, by).join(slippage_cost(trades, slippage_pct, by), list(by), "left")
     codes = notes.groupBy(*by, "code").agg(F.count(F.lit(1)).alias("_n")).groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("code", "_n")))).alias("notes"))
     e = equity_metrics(equity, factor, by).join(reconcile(equity, trades, by).select(*by, "initial", "final", "fees", "borrow", "difference"), list(by))
-    out = e.join(t, list(by), "left").join(codes, list(by), "left").fillna(0, ["trades", "wins", "losses", "net", "fees", "borrow", "win_rate"])
+    out = e.join(t, list(by), "left").join(codes, list(by), "left").fillna(0, ["trades", "wins", "losses", "net", "fees", "borrow", "win_rate", "slippage"])
     return out.withColumns({"few_trades": F.col("trades") < few, "reconciles": F.abs("difference") <= 0.01 * F.greatest(F.col("trades"), F.lit(1))})
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from barloom.schema import KEY
 
-NAMES = re.compile(r"(ema|rsi|atr|adx)_(\d+)$|macd$|macd_signal$|macd_hist$|kama$|atr$|adx$|proxy_atr$")
+NAMES = re.compile(r"(ema|rsi)_(\d+)_of_(open|high|low|close|volume|typical_price|ohlc4)$|(ema|rsi|atr|adx)_(\d+)$|macd$|macd_signal$|macd_hist$|kama$|atr$|adx$|proxy_atr$")
 
 
 def _mean(x: pd.Series, alpha: float) -> pd.Series:
@@ -42,8 +42,12 @@ def _kama(c: np.ndarray, n: int = 10, fast: int = 2, slow: int = 30) -> np.ndarr
 
 
 def fold(bars: pd.DataFrame, name: str) -> pd.Series:
-    """One column of one series, sorted by time."""
+    """One column of one series, sorted by time; ``{kind}_{n}_of_{source}`` reads another price than the close."""
+    name, _, source = name.partition("_of_")
     c, h, low = bars["close"], bars["high"], bars["low"]
+    if source:
+        made = {"typical_price": lambda: (h + low + c) / 3, "ohlc4": lambda: (bars["open"] + h + low + c) / 4}
+        c = made[source]() if source in made else bars[source].astype(float)
     kind, _, n = name.rpartition("_") if NAMES.match(name) and name[-1].isdigit() else (name, "", "14")
     n = int(n)
     if kind == "ema":

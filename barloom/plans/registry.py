@@ -97,6 +97,20 @@ _column("proxy_iv", ("atr",), lambda: price.implied_volatility(classify.c("atr")
 PERIODS = {"sma": (2, 500), "ema": (2, 500), "rsi": (2, 100), "atr": (2, 200), "bb_upper": (2, 200), "bb_middle": (2, 200), "bb_lower": (2, 200), "adx": (2, 100)}
 
 
+#: What a mean, a band, an EMA or an RSI may be taken of, and the kinds that take it.
+SOURCES = ("open", "high", "low", "close", "volume", "typical_price", "ohlc4")
+SOURCED = ("sma", "ema", "rsi", "bb_upper", "bb_middle", "bb_lower")
+
+
+def _of(kind: str, n: int, source: str) -> Builder:
+    """Means and bands of another price than the close."""
+    needs = (source,) if source in ("typical_price", "ohlc4") else ()
+    if kind == "sma":
+        return Builder((f"sma_{n}_of_{source}",), needs, lambda df: df.withColumn(f"sma_{n}_of_{source}", rolling.sma(n, source)))
+    names = tuple(f"bb_{k}_{n}_of_{source}" for k in ("upper", "middle", "lower"))
+    return Builder(names, needs, lambda df: df.withColumns(dict(zip(names, rolling.bollinger(n, source), strict=True))))
+
+
 def find(name: str) -> Builder:
     """The builder of a name, registered or made from a period."""
     if name in _BUILDERS:
@@ -108,6 +122,8 @@ def find(name: str) -> Builder:
     if m := re.fullmatch(r"bb_(?:upper|middle|lower)_(\d+)", name):
         names = tuple(f"bb_{k}_{m[1]}" for k in ("upper", "middle", "lower"))
         return Builder(names, (), _bands(*names, int(m[1])))
+    if m := re.fullmatch(rf"(sma|bb_(?:upper|middle|lower))_(\d+)_of_({'|'.join(SOURCES)})", name):
+        return _of(m[1], int(m[2]), m[3])
     for pattern, prefix, needs, build in (
         (r"vp_(?:poc|vah|val)_(\d+)d", "vp_{}_{}d", ("vp_poc",), profiles.add_median_profile),
         (r"cvp_(?:poc|vah|val)_(\d+)d", "cvp_{}_{}d", (), profiles.add_composite_profile),

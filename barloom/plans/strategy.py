@@ -20,6 +20,8 @@ from barloom.schema import SECONDS, lag
 #: Most parameters, indicators, features, depth of conditions and slower timeframes.
 LIMITS = {"parameters": 20, "indicators": 20, "features": 20}
 DEPTH, INFORMATIVE = 5, 3
+#: How sure a signal is where the document doesn't say.
+CONFIDENCE = 0.7
 FEATURES = ("rolling_max", "rolling_min", "rolling_mean", "rolling_std", "body_pct", "range_pct", "typical_price", "ohlc4", "shift", "formula")
 STOPS, TARGETS = ("none", "atr", "fixed_pct"), ("none", "atr", "fixed_pct", "risk_reward")
 _SLOT = re.compile(r"^\s*\{\{\s*(\w+)\s*\}\}\s*$")
@@ -48,6 +50,7 @@ class Strategy:
     metadata: dict
     warnings: list[str] = field(default_factory=list)
     declared: dict[str, dict] = field(default_factory=dict)
+    confidence: dict[str, dict[str, float]] = field(default_factory=dict)
 
     def columns(self) -> dict[str, str | list[str]]:
         """Alias of each indicator: its column, or the columns that stand in for each other."""
@@ -91,7 +94,7 @@ class Strategy:
             "schema_version": "2.0", "name": self.name, "description": self.description, "parameters": {n: {**self.declared.get(n, {}), "default": v} for n, v in self.parameters.items()},
             "timeframes": {"primary": self.primary, "informative": [{"alias": a, "interval": i} for a, i in self.informative.items()]},
             "indicators": self.indicators, "features": self.features, "risk": self.risk, "metadata": self.metadata,
-            "sides": {s: {k: {"condition": c} for k, c in x.items() if c} for s, x in self.sides.items()},
+            "sides": {s: {k: {"condition": c} for k, c in x.items() if c} | {f"{k}_confidence": v for k, v in self.confidence.get(s, {}).items()} for s, x in self.sides.items()},
         }
 
     def key(self, **inputs: Any) -> str:
@@ -180,6 +183,11 @@ def parse(document: str | dict, overrides: dict[str, Any] | None = None) -> Stra
         else:
             period = x.get("period")
             column = kind if period is None else f"{kind}_{period}"
+            source = x.get("source", "close")
+            if source != "close":
+                if period is None or kind not in registry.SOURCED or source not in registry.SOURCES:
+                    bad(f"{path}.source", f"no {kind} of {source!r}")
+                column = f"{column}_of_{source}"
             low, high = registry.PERIODS.get(kind, (None, None))
             if period is not None and (low is None or not isinstance(period, int) or not low <= period <= high):
                 bad(f"{path}.period", f"no period {period!r} for {kind}")
@@ -236,7 +244,7 @@ def parse(document: str | dict, overrides: dict[str, Any] | None = None) -> Stra
                     bad(f"{path}.{side}", f"unknown operand {x!r}")
         return None
 
-    sides, warnings = {}, []
+    sides, warnings, confidence = {}, [], {}
     for side, x in (raw.get("sides") or {}).items():
         if side not in ("long", "short"):
             bad(f"$.sides.{side}", "must be long or short")
@@ -252,6 +260,10 @@ def parse(document: str | dict, overrides: dict[str, Any] | None = None) -> Stra
         if parts["exit"] is None:
             warnings.append(f"{side} has no exit")
         sides[side] = parts
+        confidence[side] = {k: x.get(f"{k}_confidence", CONFIDENCE) for k in ("entry", "exit")}
+        for k, v in confidence[side].items():
+            if isinstance(v, bool) or not isinstance(v, (int, float)) or not 0 <= v <= 1:
+                bad(f"$.sides.{side}.{k}_confidence", "must be from 0 to 1")
     if not sides:
         bad("$.sides", "is missing")
 
@@ -272,7 +284,7 @@ def parse(document: str | dict, overrides: dict[str, Any] | None = None) -> Stra
         warnings.append("no stop-loss")
     if errors:
         raise StrategyError(errors)
-    return Strategy(str(raw["name"]), str(raw.get("description") or ""), values, frames.get("primary"), slow, indicators, features, sides, risk, raw.get("metadata") or {}, warnings, declared)
+    return Strategy(str(raw["name"]), str(raw.get("description") or ""), values, frames.get("primary"), slow, indicators, features, sides, risk, raw.get("metadata") or {}, warnings, declared, confidence)
 
 
 def explain(s: Strategy) -> str:
@@ -293,7 +305,7 @@ def explain(s: Strategy) -> str:
 
 def capabilities() -> dict:
     """What documents may use."""
-    return {"indicators": registry.names(), "periods": registry.PERIODS, "features": list(FEATURES), "operators": sorted(formula.OPERATORS), "stops": list(STOPS), "targets": list(TARGETS), "intervals": list(SECONDS), "limits": {**LIMITS, "depth": DEPTH, "informative": INFORMATIVE}}
+    return {"indicators": registry.names(), "periods": registry.PERIODS, "features": list(FEATURES), "operators": sorted(formula.OPERATORS), "sources": list(registry.SOURCES), "sourced": list(registry.SOURCED), "stops": list(STOPS), "targets": list(TARGETS), "intervals": list(SECONDS), "limits": {**LIMITS, "depth": DEPTH, "informative": INFORMATIVE}}
 
 
 def json_schema() -> dict:
@@ -312,7 +324,8 @@ def json_schema() -> dict:
         ]
     }
     rule = thing(["condition"], condition={"$ref": "#/$defs/condition"})
-    side = thing(["entry"], entry=rule, exit=rule)
+    share = or_slot({"type": "number", "minimum": 0, "maximum": 1})
+    side = thing(["entry"], entry=rule, exit=rule, entry_confidence=share, exit_confidence=share)
     positive = or_slot({"type": "number", "exclusiveMinimum": 0})
     risk = lambda kinds: thing(["type"], type={"enum": list(kinds)}, multiplier=positive, pct=positive, ratio=positive, indicator=text)
     parameter = thing(["type", "default"], type={"enum": list(_TYPES)}, minimum=number, maximum=number, description={"type": "string"})
@@ -323,7 +336,7 @@ def json_schema() -> dict:
             "schema_version": {"const": "2.0"}, "name": text, "description": {"type": "string"},
             "parameters": {"type": "object", "maxProperties": LIMITS["parameters"], "additionalProperties": parameter},
             "timeframes": thing(primary=interval, informative=many(thing(["alias", "interval"], alias=text, interval=interval), maxItems=INFORMATIVE)),
-            "indicators": many(thing(["name", "type"], name=text, type=text, period=or_slot(whole), timeframe=text, sources=many(text, minItems=2)), maxItems=LIMITS["indicators"]),
+            "indicators": many(thing(["name", "type"], name=text, type=text, period=or_slot(whole), timeframe=text, source={"enum": list(registry.SOURCES)}, sources=many(text, minItems=2)), maxItems=LIMITS["indicators"]),
             "features": many(thing(["name", "type"], name=text, type={"enum": list(FEATURES)}, source=text, window=or_slot({"type": "integer", "minimum": 1}), shift=or_slot({"type": "integer", "minimum": 0}), expr={"type": "object"}), maxItems=LIMITS["features"]),
             "sides": {**thing(long=side, short=side), "minProperties": 1, "additionalProperties": False},
             "risk": thing(stop_loss=risk(STOPS), take_profit=risk(TARGETS)), "metadata": {"type": "object"},
@@ -382,6 +395,17 @@ def screen(s: Strategy, prepared: DataFrame) -> DataFrame:
     return prepared.withColumns({f"{side}_{part}": formula.condition(c, types) for side, x in s.sides.items() for part, c in x.items() if c})
 
 
+def signals(s: Strategy, prepared: DataFrame) -> DataFrame:
+    """Rows ``keys, ts, direction, action, confidence`` of bars on which a rule holds, without regard to positions."""
+    found = screen(s, prepared)
+    said = [
+        F.when(F.col(f"{side}_{part}"), F.struct(F.lit(side).alias("direction"), F.lit(part).alias("action"), F.lit(float(s.confidence[side][part])).alias("confidence")))
+        for side, x in s.sides.items() for part, c in x.items() if c
+    ]
+    keys = [c for c in ("symbol", "source", "interval", "ts") if c in found.columns]
+    return found.select(*keys, F.explode(F.array_compact(F.array(*said))).alias("x")).select(*keys, "x.*")
+
+
 def risk_prices(s: Strategy, side: str) -> tuple:
     """Stop and target columns of an entry signalled at this bar's close, to cents (half to even); 0 is none."""
     close, sign = F.col("close"), 1 if side == "long" else -1

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
 from barloom import queries, queries_more
 from barloom.operators import backtest, blocks, gram
 from barloom.plans import strategy
-from barloom.queries import BARS_1H, ID, IDS, SQL, out, query, r, rounded
+from barloom.plans.registry import add_indicators
+from barloom.queries import BARS_1H, ID, IDS, SQL, W, out, over, query, r, rounded
 from barloom.sources import bars as B
-from barloom.sources import candles
+from barloom.sources import bucketed, candles, versioned
 from barloom.sources.shared import new_folder
 from barloom.streaming import indicators, kernel, replay
 
@@ -90,3 +92,81 @@ def correlation_gram(spark, d):
 @query(SQL["correlation_spearman"])
 def correlation_gram_ranks(spark, d):
     return rounded(gram.correlations(B.event_bars(spark, d, "1d"), "close", spearman=True))
+
+
+SOURCED = {
+    "schema_version": "2.0", "name": "sourced",
+    "indicators": [{"name": "top", "type": "sma", "period": 10, "source": "high"}, {"name": "floor", "type": "bb_lower", "period": 20, "source": "low"}, {"name": "fast", "type": "ema", "period": 10, "source": "ohlc4"}],
+    "sides": {
+        "long": {"entry": {"condition": {"left": "close", "operator": ">", "right": "top"}}, "exit": {"condition": {"left": "close", "operator": "<", "right": "floor"}}, "entry_confidence": 0.9},
+        "short": {"entry": {"condition": {"left": "close", "operator": "<", "right": "fast"}}, "exit_confidence": 0.2},
+    },
+}
+
+
+@query(
+    f"""WITH RECURSIVE {BARS_1H}, n AS (SELECT *, row_number() OVER ({W}) AS i, (open + high + low + close) / 4 AS p FROM bars),
+    e AS (SELECT symbol, i, p AS v FROM n WHERE i = 1 UNION ALL SELECT n.symbol, n.i, v + (p - v) * 2 / 11 FROM e JOIN n ON n.symbol = e.symbol AND n.i = e.i + 1),
+    s AS (SELECT n.*, {over("avg(high)", 10, x="high")} AS top, {over("avg(low)", 20, x="low")} - 2 * {over("stddev_pop(low)", 20, x="low")} AS floor FROM n),
+    a AS (SELECT s.*, CASE WHEN s.i >= 10 THEN v END AS fast FROM s JOIN e USING (symbol, i)),
+    x AS (SELECT *, 'long' AS direction, 'entry' AS action, 0.9 AS confidence FROM a WHERE close > top UNION ALL SELECT *, 'long', 'exit', 0.7 FROM a WHERE close < floor UNION ALL SELECT *, 'short', 'entry', 0.7 FROM a WHERE close < fast)
+    SELECT {IDS}, direction, action, confidence::DOUBLE AS confidence FROM x"""
+)
+def rule_signals(spark, d):
+    """Rules on indicators of other prices than the close, with how sure each signal is."""
+    s = strategy.parse(SOURCED)
+    return strategy.signals(s, strategy.prepare(s, B.event_bars(spark, d)))
+
+
+LEVERED = {
+    "schema_version": "2.0", "name": "levered",
+    "sides": {"short": {"entry": {"condition": {"left": "close", "operator": "<", "right": "open"}}, "exit": {"condition": {"left": "volume", "operator": "<", "right": 2}}}},
+}
+
+
+@query(
+    f"""WITH RECURSIVE {BARS_1H}, n AS (SELECT *, row_number() OVER ({W}) AS i, count(*) OVER (PARTITION BY symbol) AS m FROM bars),
+    k AS (
+      SELECT symbol, 0::BIGINT AS i, false AS pend, false AS leave, NULL::DOUBLE AS p, NULL::TIMESTAMP AS since, 0::BIGINT AS held, NULL::DOUBLE AS x, NULL::VARCHAR AS why, NULL::DOUBLE AS ep, NULL::TIMESTAMP AS es, 0::BIGINT AS eh FROM (SELECT DISTINCT symbol FROM bars)
+      UNION ALL
+      SELECT symbol, i, p2 IS NULL AND close < open, p2 IS NOT NULL AND volume < 2, CASE WHEN i = m THEN NULL ELSE p2 END, since1, held1,
+        CASE WHEN out0 THEN open WHEN hit THEN liq WHEN i = m AND p2 IS NOT NULL THEN close END, CASE WHEN out0 THEN 'signal' WHEN hit THEN 'liquidation' WHEN i = m AND p2 IS NOT NULL THEN 'end_of_backtest' END,
+        CASE WHEN out0 THEN p ELSE p1 END, CASE WHEN out0 THEN since ELSE since1 END, CASE WHEN out0 THEN held ELSE held1 END
+      FROM (SELECT *, CASE WHEN hit THEN NULL ELSE p1 END AS p2 FROM (SELECT *, coalesce(p1 IS NOT NULL AND high >= liq, false) AS hit FROM (SELECT *, p1 * 1.5 AS liq, CASE WHEN pend AND p0 IS NULL THEN 1 ELSE held + 1 END AS held1, CASE WHEN pend AND p0 IS NULL THEN ts ELSE since END AS since1 FROM (
+        SELECT *, CASE WHEN p0 IS NULL AND pend THEN open ELSE p0 END AS p1 FROM (SELECT n.*, k.pend, k.leave, k.p, k.since, k.held, k.leave AND k.p IS NOT NULL AS out0, CASE WHEN k.leave THEN NULL ELSE k.p END AS p0 FROM k JOIN n ON n.symbol = k.symbol AND n.i = k.i + 1)))))
+    )
+    SELECT n.symbol, n.source, n."interval", k.es AS entry_ts, n.ts AS exit_ts, {r("k.ep", "entry_price")}, {r("k.x", "exit_price")}, {r("2 * k.ep * 0.3 * date_diff('day', CAST(k.es AS DATE), CAST(n.ts AS DATE)) / 365.0", "borrow_cost", 2)},
+      {r("2 * (k.ep - k.x) - 2 * k.ep * 0.3 * date_diff('day', CAST(k.es AS DATE), CAST(n.ts AS DATE)) / 365.0", "pnl", 2)}, k.eh AS duration_bars, k.why AS exit_reason
+    FROM k JOIN n ON n.symbol = k.symbol AND n.i = k.i WHERE k.x IS NOT NULL"""
+)
+def backtest_liquidation(spark, d):
+    """Short runs that pay for what they borrow and are liquidated at 1.5 times the entry price."""
+    s = strategy.parse(LEVERED)
+    how = backtest.Execution(cash=1e9, leverage=2.0, size=2.0, borrow_fee_annual_pct=0.3)
+    rows = backtest.trades(backtest.run(s, strategy.prepare(s, B.event_bars(spark, d)), how))
+    return rounded(rows.select("symbol", "source", "interval", "entry_ts", "exit_ts", "entry_price", "exit_price", F.round("borrow_cost", 2).alias("borrow_cost"), F.round("pnl", 2).alias("pnl"), "duration_bars", "exit_reason"))
+
+
+@query(
+    f"""WITH {BARS_1H}, n AS (SELECT * REPLACE (CASE WHEN volume % 3 = 0 THEN close * 2 ELSE close END AS close) FROM bars WHERE NOT (symbol = 'VIEW' AND ts < '2024-01-10'))
+    SELECT {IDS}, open, high, low, close, volume FROM n"""
+)
+def bars_versioned(spark, d):
+    """Bars in three upserts, one of them changes, a compaction and a deletion: the newest version of the table."""
+    bars = B.event_bars(spark, d)
+    table = versioned.BarTable(spark, new_folder(spark, "bar-table"), 8)
+    table.upsert(bars.where("volume % 2 = 0"), ("load", 0))
+    table.upsert(bars.where("volume % 2 = 1"), ("load", 1))
+    table.upsert(bars.where("volume % 3 = 0").withColumn("close", F.col("close") * 2), ("load", 2))
+    table.upsert(bars.where("volume % 3 = 0"), ("load", 2))  # the batch comes again and changes nothing
+    table.compact(2)
+    table.delete("view", before="2024-01-10")
+    return table.read().select(*ID, "open", "high", "low", "close", "volume")
+
+
+@query(f"WITH {BARS_1H} SELECT {IDS}, close, {r(over('avg(close)', 20), 'sma_20')}, {r(over('max(high)', 20, 5, 'high'), 'swing_high_20')} FROM bars")
+def bars_bucketed(spark, d):
+    """Bars stored in buckets by series, and windows over them without a shuffle."""
+    name = f"bars_{uuid.uuid4().hex}"
+    bucketed.write_bucketed(B.event_bars(spark, d), name, 8, path=new_folder(spark, "bucketed"))
+    return out(add_indicators(bucketed.read_bucketed(spark, name), ["sma_20", "swing_high_20"]), "close", "sma_20", "swing_high_20")

@@ -1,15 +1,18 @@
 """Fills with known prices: cash 10 000, size 10, entry signal on bar 1, daily bars."""
 
+import datetime as dt
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from barloom import queries_more
-from barloom.operators import backtest, search
+from barloom.operators import backtest, metrics, search
 from barloom.operators.asof import spine_fill
 from barloom.operators.backtest import Execution, simulate
 from barloom.operators.search import folds, grid, sample
 from barloom.plans import strategy
+from barloom.schema import BARS
 
 FLAT = (100, 100, 100, 100)
 
@@ -130,3 +133,18 @@ def test_portfolio_runs_every_symbol(spark, monkeypatch):
     with pytest.raises(StopIteration):
         queries_more.portfolio_run(spark, "/root/testdata/sf0.001")
     assert sorted(seen) == ["CLICK", "ERROR", "PURCHASE", "SIGNUP", "VIEW"]
+
+
+def test_slippage_and_liquidation(spark):
+    """A short of 2x leverage is liquidated half above its entry, pays for what it borrows, and the report tells slippage."""
+    day = lambda d, o, h, low, c: ("A", "s", "1d", dt.datetime(2024, 1, d), o, h, low, c, 1)
+    rows = [day(1, 10.0, 10.0, 9.0, 9.0), day(2, 10.0, 11.0, 9.0, 10.0), day(3, 10.0, 14.0, 9.0, 10.0), day(4, 10.0, 15.5, 9.0, 12.0), day(5, 12.0, 12.0, 12.0, 12.0)]
+    s = strategy.parse({"schema_version": "2.0", "name": "x", "sides": {"short": {"entry": {"condition": {"left": "close", "operator": "<", "right": "open"}}}}})
+    how = backtest.Execution(cash=1e6, leverage=2.0, size=3.0, borrow_fee_annual_pct=0.365, slippage_pct=0.01)
+    result = backtest.run(s, strategy.prepare(s, spark.createDataFrame(rows, BARS)), how)
+    (t,) = backtest.trades(result).collect()
+    entry, leave = 10 * 0.99, 10 * 0.99 * 1.5 * 1.01
+    assert (t.exit_reason, t.exit_ts.day, t.duration_bars) == ("liquidation", 4, 3)
+    assert abs(t.entry_price - entry) < 1e-8 and abs(t.exit_price - leave) < 1e-8 and t.borrow_cost == round(3 * entry * 0.365 * 2 / 365, 2)
+    r = metrics.report(backtest.equity(result), backtest.trades(result), backtest.notes(result), 252.0, slippage_pct=0.01).first()
+    assert abs(r.slippage - 3 * (10 * 0.01 + entry * 1.5 * 0.01)) < 1e-6 and r.reconciles

@@ -65,12 +65,17 @@ def test_batches_may_repeat_and_skip(spark, tmp_path, hourly):
 
 
 def test_quotes_info_and_derivatives(spark, hourly):
-    raw = spark.createDataFrame([("a", "2024-01-02 09:30:00", 1.0, 2.0, 0.5, 1.5, None)], "Symbol string, Datetime string, Open double, High double, Low double, Close double, Volume long")
+    raw = spark.createDataFrame([("a", "2024-01-02 09:30:00", 1.0, 2.0, 0.5, 1.5, None), ("b", "2024-07-02 09:30:00", 1.0, 2.0, 0.5, 1.5, 7)], "Symbol string, Datetime string, Open double, High double, Low double, Close double, Volume long")
+    quotes = {r.symbol: r for r in B.normalise_quotes(raw, "shop", "1h", "America/New_York").collect()}
+    assert tuple(quotes["A"]) == ("A", "shop", "1h", dt.datetime(2024, 1, 2, 14, 30), 1.0, 2.0, 0.5, 1.5, None)  # winter time
+    assert (quotes["B"].ts, quotes["B"].volume) == (dt.datetime(2024, 7, 2, 13, 30), 7)  # summer time
+    daily = raw.withColumnRenamed("Datetime", "Date")
+    assert B.normalise_quotes(daily, "shop", "1d", "UTC").where("symbol = 'A'").first().ts == dt.datetime(2024, 1, 2, 9, 30)
     assert B.symbol_info(hourly, spark.createDataFrame([("A", "Alpha")], "symbol string, name string")).first().name == "Alpha"
     rows = spark.createDataFrame([("A", T0 + dt.timedelta(hours=i), 0.0001) for i in range(3)], "symbol string, ts timestamp_ntz, funding_rate double")
     assert B.derivatives_between(rows, "a", T0, T0 + dt.timedelta(hours=2)).count() == 2
     assert B.with_annual_funding(rows).first().funding_rate_annualised == pytest.approx(0.0001 * 1095)
-    assert raw.count() == 1
+
 
 
 def test_metric_helpers(spark, hourly):
@@ -81,7 +86,8 @@ def test_metric_helpers(spark, hourly):
     r = metrics.reconcile(curve, trades).first()
     assert (r.net, r.difference) == (5.0, 0.0) and r.fees == pytest.approx(0.4)
     assert [x.pnl for x in metrics.sort_trades(trades, "pnl").collect()] == [1.0, 4.0]
-    assert "proxy_atr" in recursive.add_recursive(hourly, ["proxy_atr"]).columns
+    both = recursive.add_recursive(hourly, ["proxy_atr", "atr_14"]).toPandas()
+    assert both["proxy_atr"].equals(both["atr_14"])
 
 
 def test_fold_summary_and_stability(spark):
