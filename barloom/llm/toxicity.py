@@ -4,10 +4,13 @@ A pass over all labelled texts counts, for every word and every pair of neighbou
 toxic and the ordinary documents that hold it. Each class has a bigram model: a pair's count is
 discounted and interpolated with the class's word model, and that one with a distribution that
 both classes share, the continuation counts (distinct left neighbours of a word over both classes).
-Words and pairs whose two class counts don't differ beyond chance (likelihood ratio under ``WORD``
-or ``PAIR``, or fewer than ``RARE`` documents) are pruned: they back off to the shared counts or the
-word models, and the weight of a context's backoff is what its pairs that are left don't use, so
-the models stay normalised. What is left stays a DataFrame of log-likelihood ratios that the words,
+Words whose class counts don't differ beyond chance (likelihood ratio under ``WORD``, or fewer than ``RARE``
+documents), and unseen ones, back off to one distribution that both classes share: they spread what the
+other words leave of a class's mass, alike in both, so each of them counts the same log ratio of these two
+shares, never nothing. Pairs under ``PAIR`` or ``RARE`` back off to the word models, and the weight of
+a context's backoff is what its pairs that are left don't use, so both models are normalised. (Words
+of few documents with ratios of their own learn the labelled texts by heart: see the README for what that
+costs.) The log-likelihood ratios stay a DataFrame that the words,
 contexts and pairs of the texts are joined to; the ``HOT`` most frequent ones, whose rows would fill
 one task each, are looked up from a broadcast instead, and a bit set of fixed size keeps most others
 out of the shuffle. A text's score is the difference of its log-likelihoods under both models,
@@ -29,8 +32,8 @@ from barloom.llm._text import U, mix, slices, words
 
 #: Most frequent entries that skip the join, and rows that the calibration sees at most.
 HOT, SAMPLE = 1 << 18, 4000
-#: Least documents of a word or pair that counts by itself, and least likelihood ratios (2 log LR):
-#: 0.1 % of words without a difference pass; pairs, being many more, pass less than once in ten million.
+#: Least documents of a word or pair with a probability of its own, and least likelihood ratios (2 log LR) of its two
+#: counts: 0.1 % of words without a difference pass; pairs, being many more, pass less than once in ten million.
 RARE, WORD, PAIR = 3, 10.83, 30.0
 #: Values of ``u`` that are no left neighbour: the word itself, the start of a text, the word as a context.
 _ITSELF, _START, _CONTEXT = 0, 1, 2
@@ -132,9 +135,10 @@ def _pair_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(2), batch.column(3)], names=["k", "f", "value"])
 
 
-def model_terms(counts: DataFrame) -> DataFrame:
-    """``w, u, f, value``: log-likelihood ratio of every word (u 0) that counts by itself, the ratio of the
-    backoff weights of contexts (u 2), and what a pair (u the left neighbour) adds to both."""
+def model_terms(counts: DataFrame) -> tuple[DataFrame, float]:
+    """``w, u, f, value``: log-likelihood ratio of every word (u 0) with probabilities of its own beyond that of all
+    other words, the ratio of the backoff weights of contexts (u 2), and what a pair (u the left neighbour) adds
+    to both; and the log-likelihood ratio that all other words have."""
     # dealt by word and parts of its neighbours: a word with very many of them is no task of its own
     sums = [F.sum(c).alias(c) for c in ("t", "o", "ct", "co")]
     each = counts.repartition("w", "part").select("w", "part", F.explode(F.arrays_zip("us", "cs")).alias("x"), "ct", "co").select("w", "part", F.col("x.us").alias("u"), F.col("x.cs").alias("c"), "ct", "co")
@@ -155,19 +159,26 @@ def model_terms(counts: DataFrame) -> DataFrame:
     ).first()
     n, p = list(total[:9]), list(total[9:])
     if not n[0] or not n[1]:
-        return rows.select("w", F.col("pair").alias("u"), F.col("t").alias("f"), F.lit(0.0).alias("value")).limit(0)
+        return rows.select("w", F.col("pair").alias("u"), F.col("t").alias("f"), F.lit(0.0).alias("value")).limit(0), 0.0
     cut_off = lambda one, two: one / (one + 2 * two) if one else 0.5
     d, d2 = {"t": cut_off(*n[5:7]), "o": cut_off(*n[7:9])}, {"t": cut_off(*p[:2]), "o": cut_off(*p[2:])}
     size, types, all_t = {"t": n[0], "o": n[1]}, {"t": n[3], "o": n[4]}, n[0] / (n[0] + n[1])
     own = lambda c, off: F.greatest(F.col(c) - off[c], F.lit(0.0))
     shared = F.col("lefts") / n[2]
     p1 = {c: (own(c, d) + d[c] * types[c] * shared) / size[c] for c in ("t", "o")}
-    differs = likelihood_ratio(F.col("t"), F.col("o"), F.lit(all_t)) >= WORD
     often = rows.where("pair IS NOT NULL").select("w", F.col("pair").alias("u"), F.col("pt").alias("t"), F.col("po").alias("o"))
     word = rows.where(F.col("pair").isNull() & (F.col("t") + F.col("o") >= RARE)).drop("pt", "po")
     word = word.join(often.groupBy("w").agg(F.count(F.lit(1)).alias("more")), "w", "left").withColumn("lefts", F.col("lefts") + F.coalesce("more", F.lit(0)))
-    word = word.select("w", (F.col("t") + F.col("o")).alias("f"), "t", "o", "ct", "co", p1["t"].alias("pt"), p1["o"].alias("po"), F.when(differs, F.log(p1["t"]) - F.log(p1["o"])).alias("value"))
-    head = word.select("w", "pt", "po", F.coalesce("value", F.lit(0.0)).alias("alone"), ((F.col("t") + all_t) / (F.col("f") + 1)).alias("share"))
+    word = word.select("w", (F.col("t") + F.col("o")).alias("f"), "t", "o", "ct", "co", p1["t"].alias("pt"), p1["o"].alias("po"))
+    differs = likelihood_ratio(F.col("t"), F.col("o"), F.lit(all_t)) >= WORD
+    taken = word.where(differs).agg(F.coalesce(F.sum("pt"), F.lit(0.0)), F.coalesce(F.sum("po"), F.lit(0.0))).first()
+    rest = {c: max(1 - k, 0.5 / size[c]) for c, k in zip(("t", "o"), taken, strict=True)}
+    others = float(np.log(rest["t"]) - np.log(rest["o"]))
+    # a word without probabilities of its own has its part of the shared distribution, in each class by that class's rest
+    alike = (all_t * F.col("pt") + (1 - all_t) * F.col("po")) / (all_t * rest["t"] + (1 - all_t) * rest["o"])
+    word = word.withColumns({"pt": F.when(differs, F.col("pt")).otherwise(alike * rest["t"]), "po": F.when(differs, F.col("po")).otherwise(alike * rest["o"]), "differs": differs})
+    word = word.withColumn("value", F.log("pt") - F.log("po"))
+    head = word.select("w", "pt", "po", F.col("value").alias("alone"), ((F.col("t") + all_t) / (F.col("f") + 1)).alias("share"))
     left = word.select(F.col("w").alias("u"), "ct", "co", F.col("f").alias("uf"))
     kept = often.join(head, "w")
     kept = cut(kept.where(likelihood_ratio(F.col("t"), F.col("o"), F.col("share")) >= PAIR).drop("share").join(left, "u"))
@@ -176,11 +187,12 @@ def model_terms(counts: DataFrame) -> DataFrame:
     context = context.withColumn("context", F.log("rest_t") - F.log("rest_o"))
     full = {c: use[c] + F.col(f"rest_{c}") * F.col(f"p{c}") for c in ("t", "o")}
     joined = kept.join(context.drop("uf"), "u")
-    return cut(
-        word.where("value IS NOT NULL").select("w", F.lit(_ITSELF).cast("long").alias("u"), "f", "value")
+    terms = cut(
+        word.where("differs").select("w", F.lit(_ITSELF).cast("long").alias("u"), "f", (F.col("value") - others).alias("value"))
         .union(context.select(F.col("u").alias("w"), F.lit(_CONTEXT).cast("long").alias("u"), F.col("uf").alias("f"), F.col("context").alias("value")))
         .union(joined.select("w", "u", (F.col("t") + F.col("o")).alias("f"), (F.log(full["t"]) - F.log(full["o"]) - F.col("context") - F.col("alone")).alias("value")))
     )
+    return terms, others
 
 
 def _looked_up(table: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -196,9 +208,8 @@ def _looked_up(table: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys[order], value[order], bits.reshape(-1)
 
 
-def described(rows: DataFrame, table: DataFrame, model) -> DataFrame:
-    """``id, mark, x``: of every row of ``id, text, mark`` the difference of its log-likelihoods over its
-    length and over the root of its length, both on a scale that flattens far from 0."""
+def ratios(rows: DataFrame, table: DataFrame, model, others: float) -> DataFrame:
+    """``id, mark, n, s``: of every row of ``id, text, mark`` its words and the difference of its log-likelihoods."""
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, value, bits = model.value
@@ -234,8 +245,14 @@ def described(rows: DataFrame, table: DataFrame, model) -> DataFrame:
     asked = asked.select("r", F.when(F.col("a").isNull(), F.col("own")).alias("own"), F.col("a").isNotNull().alias("is_word"), F.coalesce("a", F.xxhash64("r")).alias("a"))
     joined = asked.join(table.select("k", "value").hint("merge"), (F.col("a") == F.col("k")) & F.col("is_word"), "left")
     one = joined.groupBy("r").agg(F.max("own").alias("own"), F.coalesce(F.sum("value"), F.lit(0.0)).alias("s"))
-    n, s = F.greatest(F.col("own.n"), F.lit(1)), F.col("own.s") + F.col("s")
-    return one.select("own.id", "own.mark", F.array(F.asinh(100 * s / n), F.asinh(3 * s / F.sqrt(n))).alias("x"))
+    return one.select("own.id", "own.mark", "own.n", (F.col("own.s") + F.col("s") + F.col("own.n") * others).alias("s"))
+
+
+def described(rows: DataFrame, table: DataFrame, model, others: float) -> DataFrame:
+    """``id, mark, x``: the difference of log-likelihoods over the length and over the root of the length, both
+    on a scale that flattens far from 0."""
+    n, s = F.greatest(F.col("n"), F.lit(1)), F.col("s")
+    return ratios(rows, table, model, others).select("id", "mark", F.array(F.asinh(100 * s / n), F.asinh(3 * s / F.sqrt(n))).alias("x"))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
@@ -270,11 +287,12 @@ def score_toxicity(
     marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(F.crc32(F.col("doc_id").cast("string")) % folds != held_fold)
     marks = marks.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").cast("long").alias("toxic"))
     labelled = maybe_in(rows.select("id", "text"), "id", marks.select("id")).join(marks.hint("merge"), "id").select("text", "toxic")  # one plan at every size
-    terms = model_terms(labelled.mapInArrow(_counted, _COUNTS)).mapInArrow(_pair_keys, "k long, f long, value double")
+    terms, others = model_terms(labelled.mapInArrow(_counted, _COUNTS))
+    terms = terms.mapInArrow(_pair_keys, "k long, f long, value double")
     model = spark.sparkContext.broadcast(_looked_up(terms))
 
     few = F.broadcast(marks.orderBy(F.xxhash64("id"), "id").limit(SAMPLE))  # at most SAMPLE rows
-    sample = described(rows.join(few, "id").select("id", "text", F.col("toxic").alias("mark")), terms, model).toPandas()
+    sample = described(rows.join(few, "id").select("id", "text", F.col("toxic").alias("mark")), terms, model, others).toPandas()
     y = sample["mark"].to_numpy(float)
     if len(y) and 0 < y.mean() < 1:
         x = np.stack(sample["x"])
@@ -287,7 +305,7 @@ def score_toxicity(
     for k in range(2):
         z += (F.col("x")[k] - float(centre[k])) / float(spread[k]) * float(weights[k])
     score = 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-30.0)), F.lit(30.0))))
-    found = described(rows.select("id", "text", F.col("held").cast("long").alias("mark")), terms, model)
+    found = described(rows.select("id", "text", F.col("held").cast("long").alias("mark")), terms, model, others)
     found = found.select(F.col("id").alias("doc_id"), (F.col("mark") == 1).alias("held_out"), score.alias("score"))
     return found.withColumn("predicted", (F.col("score") >= limit).cast("int"))
 

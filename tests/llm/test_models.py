@@ -56,8 +56,8 @@ def test_toxicity_of_rare_words_beside_many(spark, monkeypatch):
     assert np.allclose(*scores)
 
 
-def test_terms_match_brute_force(spark):
-    """Counts, continuation counts, pruning and ratios of words, contexts and pairs."""
+def test_terms_match_brute_force(spark, monkeypatch):
+    """Counts, continuation counts, pruning and ratios of words, contexts and pairs; whole texts by hand."""
     rng = random.Random(3)
     texts = []
     for i in range(400):
@@ -66,7 +66,8 @@ def test_terms_match_brute_force(spark):
             w[7], w[20:22] = "slur", ["w1", "w2"]
         texts.append((" ".join(w), int(i % 4 == 0)))
     rows = spark.createDataFrame(texts, "text string, toxic long").mapInArrow(toxicity._counted, toxicity._COUNTS)
-    got = sorted((0 if r.u == 0 else 2 if r.u == 2 else 1, r.f, round(r.value, 6)) for r in toxicity.model_terms(rows).collect())
+    terms, others = toxicity.model_terms(rows)
+    got = sorted((0 if r.u == 0 else 2 if r.u == 2 else 1, r.f, round(r.value, 6)) for r in terms.collect())
     c = collections.Counter
     word, pair, left, lefts = [c(), c()], [c(), c()], [c(), c()], set()
     for text, y in texts:
@@ -82,7 +83,11 @@ def test_terms_match_brute_force(spark):
     g = lambda t, o, e: 2 * sum(x * np.log(x / y) if x else 0 for x, y in ((t, (t + o) * e), (o, (t + o) * (1 - e))))
     share = n[1] / sum(n)
     value = {w: np.log(p1(1, w)) - np.log(p1(0, w)) for w in cont if t[w] + o[w] >= 3 and g(t[w], o[w], share) >= toxicity.WORD}
-    want = [(0, t[w] + o[w], v) for w, v in value.items()]
+    out = [max(1 - sum(p1(y, w) for w in value), 0.5 / n[y]) for y in (0, 1)]
+    assert abs(others - np.log(out[1] / out[0])) < 1e-9 and others != 0
+    alike = lambda w: (share * p1(1, w) + (1 - share) * p1(0, w)) / (share * out[1] + (1 - share) * out[0])
+    p = lambda y, w: p1(y, w) if w in value else out[y] * alike(w)
+    want = [(0, t[w] + o[w], v - others) for w, v in value.items()]
     kept = [(u, w) for u, w in lefts if u and pair[1][u, w] + pair[0][u, w] >= 3]
     kept = [k for k in kept if g(pair[1][k], pair[0][k], (t[k[1]] + share) / (t[k[1]] + o[k[1]] + 1)) >= toxicity.PAIR]
     assert ("w1", "w2") in kept and "slur" in value
@@ -91,10 +96,32 @@ def test_terms_match_brute_force(spark):
     context = {u: np.log(r[1]) - np.log(r[0]) for u, r in rest.items()}
     want += [(2, t[u] + o[u], v) for u, v in context.items()]
     for u, w in kept:
-        p2 = [use(y, u, w) + rest[u][y] * p1(y, w) for y in (0, 1)]
-        want.append((1, pair[1][u, w] + pair[0][u, w], np.log(p2[1]) - np.log(p2[0]) - context[u] - value.get(w, 0)))
+        p2 = [use(y, u, w) + rest[u][y] * p(y, w) for y in (0, 1)]
+        want.append((1, pair[1][u, w] + pair[0][u, w], np.log(p2[1]) - np.log(p2[0]) - context[u] - np.log(p(1, w) / p(0, w))))
     assert got == sorted((k, f, round(float(v), 6)) for k, f, v in want)
 
+    def by_hand(text):
+        """Difference of a text's log-likelihoods under both models, word by word; unseen words have equal parts of what is left."""
+        total, w = 0.0, text.split()
+        for u, x in zip(["", *w], w):
+            ratio = np.log(out[1] / out[0]) if x not in cont or x not in value else value[x]
+            if (u, x) in kept:
+                q = [use(y, u, x) + rest[u][y] * p(y, x) for y in (0, 1)]
+                ratio = np.log(q[1] / q[0])
+            elif u in rest:
+                ratio += context[u]
+            total += ratio
+        return total
+
+    asked = ["slur slur never", "never seen words", "w1 w2 w3", "w2 w1", "", "w5 slur w1 w2 w1 w2", texts[4][0], texts[5][0]]
+    keyed = terms.mapInArrow(toxicity._pair_keys, "k long, f long, value double")
+    for hot in (2, 1 << 13):
+        monkeypatch.setattr(toxicity, "HOT", hot)
+        model = spark.sparkContext.broadcast(toxicity._looked_up(keyed))
+        docs = spark.createDataFrame([(i, x, 0) for i, x in enumerate(asked)], "id long, text string, mark long")
+        found = {r.id: r.s for r in toxicity.ratios(docs, keyed, model, others).collect()}
+        assert np.allclose([found[i] for i in range(len(asked))], [by_hand(x) for x in asked])
+
 
 @pytest.mark.parametrize("score", [score_quality, score_toxicity])
 def test_edges(nasty, none, labels, score):
