@@ -1,9 +1,11 @@
 """Exact top-k search by tiled matrix products.
 
-Vectors are packed into tiles of bounded size. Every block of queries meets every shard of
-candidates; a task multiplies one pair of tiles at a time and keeps the k best of each query
-(partial selection). The lists of a block are merged up a tree, ``FAN`` shards at a time, so a
-query's lists never come together in one task but at the top, where few are left.
+Queries are packed into blocks of bounded size and broadcast, as many as fit ``PASS`` bytes at a time; the
+candidates stay where they are and are read once for each pass, so tiles are never shuffled against
+each other. A task multiplies a tile of its candidates with a block of queries at a time, keeps the k
+best of each query (partial selection) and merges them with those of its other tiles. The lists of a
+block are merged up a tree, ``FAN`` tasks at a time, so a query's lists never come together in one task
+but at the top, where few are left.
 """
 
 from __future__ import annotations
@@ -12,14 +14,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm._spark import table
+from barloom.llm._spark import Tables, table
 
-#: Rows of a packed tile of candidates and of queries, queries that are multiplied at a time, lists merged
-#: at a time, and tasks that pairs of tiles are dealt to at most.
-SHARD_ROWS, BLOCK_ROWS, STEP, FAN, TASKS = 4096, 8192, 512, 16, 10_000
+#: Rows of a tile of candidates and of a block of queries, queries that are multiplied at a time, lists merged
+#: at a time, tasks that candidates are dealt to at most, and bytes of queries that are broadcast at a time.
+SHARD_ROWS, BLOCK_ROWS, STEP, FAN, TASKS, PASS = 4096, 8192, 512, 16, 10_000, 1 << 25
 _LISTS = "dim int, block int, shard int, q_ids binary, ids binary, scores binary"
 
 
@@ -62,28 +66,46 @@ def _best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tupl
     return query[place < k], ids[place < k], score[place < k]
 
 
-def _tile_top(k: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pairs in batches:
-            for dim, block, shard, q_ids, q_data, c_ids, c_data in pairs[["dim", "block", "shard", "q_ids", "q_data", "ids", "data"]].itertuples(index=False, name=None):
-                (qi, q), (ci, c) = _unpacked(q_ids, q_data, dim), _unpacked(c_ids, c_data, dim)
-                largest = [float(np.abs(x.astype(np.float64)).max(initial=0)) for x in (q, c)]
-                exact = largest[0] * largest[1] * max(dim, 1) < 2**53  # then float64 products and sums are whole numbers without rounding
-                kind = np.float64 if exact else np.int64
-                right, found = c.T.astype(kind), []
-                for i in range(0, len(qi), STEP):
-                    score = q[i : i + STEP].astype(kind) @ right
-                    same = qi[i : i + STEP, None] == ci[None, :]
-                    least = score.min(initial=0) - 1 if exact else np.iinfo(np.int64).min
-                    score[same] = least
-                    if len(ci) > k:  # all that reach the k-th score
-                        near = score >= np.partition(score, len(ci) - k, axis=1)[:, len(ci) - k, None]
-                    else:
-                        near = np.ones(score.shape, bool)
-                    row, at = np.nonzero(near & ~same)
-                    found.append(_best(row + i, ci[at], score[row, at].astype(np.int64), k))
-                row, ids, score = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield pd.DataFrame({"dim": [dim], "block": [block], "shard": [shard], "q_ids": [qi[row].tobytes()], "ids": [ids.tobytes()], "scores": [score.tobytes()]})
+def _pair_top(qi: np.ndarray, q: np.ndarray, ci: np.ndarray, c: np.ndarray, k: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of queries, ids and scores of the k best candidates of a tile for each query of a block."""
+    largest = [float(np.abs(x.astype(np.float64)).max(initial=0)) for x in (q, c)]
+    exact = largest[0] * largest[1] * max(q.shape[1], 1) < 2**53  # then float64 products and sums are whole numbers without rounding
+    kind = np.float64 if exact else np.int64
+    right, found = c.T.astype(kind), []
+    for i in range(0, len(qi), step):
+        score = q[i : i + step].astype(kind) @ right
+        same = qi[i : i + step, None] == ci[None, :]
+        least = score.min(initial=0) - 1 if exact else np.iinfo(np.int64).min
+        score[same] = least
+        if len(ci) > k:  # all that reach the k-th score
+            near = score >= np.partition(score, len(ci) - k, axis=1)[:, len(ci) - k, None]
+        else:
+            near = np.ones(score.shape, bool)
+        row, at = np.nonzero(near & ~same)
+        found.append(_best(row + i, ci[at], score[row, at].astype(np.int64), k))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _tile_top(k: int, rows: int, step: int, tasks: int, blocks):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The k best of each query among a task's rows ``id, q, dim``."""
+        held: dict[tuple[int, int], tuple] = {}  # the lists of a pass's blocks so far, k for each query
+        for batch in batches:
+            for i in range(0, batch.num_rows, rows):
+                tile = batch.slice(i, rows)
+                dims = tile.column(2).to_numpy()
+                for dim in np.unique(dims):
+                    own = tile.filter(pa.array(dims == dim))
+                    ci, c = own.column(0).to_numpy(), own.column(1).flatten().to_numpy(zero_copy_only=False).reshape(own.num_rows, dim)
+                    for block, q_ids, q_data in blocks.value.get(int(dim), ()):
+                        qi, q = _unpacked(q_ids, q_data, int(dim))
+                        row, ids, score = _pair_top(qi, q, ci, c, k, step)
+                        new, key = (qi[row], ids, score), (int(dim), block)
+                        held[key] = _best(*(np.concatenate(x) for x in zip(held[key], new, strict=True)), k) if key in held else new
+        task = TaskContext.get().partitionId() % tasks
+        for (dim, block), lists in held.items():
+            values = [dim, block, task, *[x.astype(np.int64).tobytes() for x in lists]]
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, [pa.int32()] * 3 + [pa.binary()] * 3, strict=True)], names=["dim", "block", "shard", "q_ids", "ids", "scores"])
 
     return run
 
@@ -115,18 +137,32 @@ def top_k(queries: DataFrame, candidates: DataFrame, *, id_col: str = "vec_id",
     tables give an empty result. A candidate row that repeats counts as often as it stands there;
     queries of one id are one query each, and share its list of k.
     """
-    shards, n_shards = _packed(_quantised(candidates, id_col, vector_col, scale), SHARD_ROWS, "shard")
-    blocks, n_blocks = _packed(_quantised(queries, id_col, vector_col, scale).dropDuplicates(["id", "dim"]), BLOCK_ROWS, "block")
-    blocks = blocks.select("dim", "block", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
-    per_block = blocks.groupBy("dim").agg(F.collect_set("block").alias("blocks"))
-    pairs = shards.join(per_block, "dim").withColumn("block", F.explode("blocks")).drop("blocks")
+    spark, tables = candidates.sparkSession, Tables(candidates.sparkSession)
+    rows = _quantised(candidates, id_col, vector_col, scale)
+    tasks = max(1, min(-(-rows.count() // SHARD_ROWS), TASKS))
     # a fixed number of tasks, as adaptive execution would put small inputs with long products into one
-    pairs = pairs.join(blocks, ["dim", "block"]).repartition(min(n_shards * n_blocks, TASKS), "block", "shard", "dim")
-    lists = pairs.select("dim", "block", "shard", "q_ids", "q_data", "ids", "data").mapInPandas(_tile_top(k), _LISTS)
-    while n_shards > 1:
-        n_shards = -(-n_shards // FAN)
-        lists = lists.withColumn("shard", F.floor(F.col("shard") / FAN).cast("int")).groupBy("dim", "block", "shard").applyInPandas(_merged(k), _LISTS)
-    return lists.mapInPandas(_spread, "query_id long, rank int, vec_id long, score long")
+    rows = rows.repartition(tasks)
+    blocks, n_blocks = _packed(_quantised(queries, id_col, vector_col, scale).dropDuplicates(["id", "dim"]), BLOCK_ROWS, "block")
+    blocks = tables.write(blocks, "blocks")
+    largest = blocks.groupBy("block").agg(F.sum(F.length("data") + F.length("ids")).alias("n")).agg(F.max("n")).first()[0] or 1
+    passes = -(-n_blocks // max(1, PASS // largest))
+    rows = tables.write(rows, "candidates") if passes > 1 else rows
+    out = None
+    for p in range(passes):
+        few: dict[int, list] = {}
+        for r in blocks.where(F.col("block") % passes == p).toLocalIterator():  # PASS bytes, or one block
+            few.setdefault(r["dim"], []).append((r["block"], bytes(r["ids"]), bytes(r["data"])))
+        held, left = spark.sparkContext.broadcast(few), TASKS if passes > 1 else tasks
+        lists = rows.mapInArrow(_tile_top(k, SHARD_ROWS, STEP, left, held), _LISTS)
+        while left > 1:
+            left = -(-left // FAN)
+            lists = lists.withColumn("shard", F.floor(F.col("shard") / FAN).cast("int")).groupBy("dim", "block", "shard").applyInPandas(_merged(k), _LISTS)
+        lists = lists.mapInPandas(_spread, "query_id long, rank int, vec_id long, score long")
+        if passes > 1:
+            lists = tables.write(lists, f"lists-{p}")
+            held.destroy()
+        out = lists if out is None else out.unionByName(lists)
+    return out
 
 
 def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,11 @@
 import itertools
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from barloom.llm import topk_search
 from barloom.llm.license_scan import TEMPLATES, scan_licenses, word_pairs
 from barloom.llm.source_mix import mix_sources, mixed_documents
 from barloom.llm.topk_search import top_k
@@ -105,3 +108,24 @@ def test_top_k_matches_brute_force(spark):
     got = top_k(df.where("vec_id % 100 = 0"), df)
     assert sorted(map(tuple, got.collect())) == want
     assert top_k(df.limit(0), df).count() == 0 and top_k(df, df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("rows", "block", "bytes_"), [(5, 3, 1 << 25), (5, 3, 600), (1 << 12, 1 << 13, 1)])
+def test_top_k_over_many_tiles(spark, monkeypatch, rows, block, bytes_):
+    """Three levels of the tree, many blocks and passes; vectors of other lengths, whole numbers beyond 2^53, repeated rows and ties."""
+    for name, value in (("SHARD_ROWS", rows), ("BLOCK_ROWS", block), ("STEP", 2), ("FAN", 4), ("PASS", bytes_)):
+        monkeypatch.setattr(topk_search, name, value)
+    rng = np.random.default_rng(1)
+    v = [(i, [float(x) for x in np.round(rng.normal(size=5), 1)]) for i in range(300)]
+    v += [(1000 + i, [float(x) for x in rng.integers(-3, 3, 2)]) for i in range(20)] + [(2000 + i, [float(x) for x in rng.integers(-(2**29), 2**29, 3) / 1024]) for i in range(12)]
+    v += [v[7], v[7], (100, v[8][1]), (4000, [])]
+    q = [(i, tuple(int(np.floor(1024 * x)) for x in y)) for i, y in v]
+    want = []
+    for i, x in {(i, x) for i, x in q if i % 100 == 0}:
+        best = sorted((-sum(a * b for a, b in zip(x, y)), j) for j, y in q if len(y) == len(x) and j != i)[:10]
+        want += [(i, n, j, -s) for n, (s, j) in enumerate(best, 1)]
+    df = spark.createDataFrame(v, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in top_k(df.where("vec_id % 100 = 0"), df).collect())
+    lone = [(i, n) for i, n, _, _ in want if i != 100]  # id 100 has two query vectors, which share a list of k
+    assert [r for r in got if r[0] != 100] == sorted(r for r in want if r[0] != 100) and len(lone) > 30
+    assert len([r for r in got if r[0] == 100]) == 10
