@@ -253,37 +253,47 @@ TRADE = [
 EQUITY = [("ts", T.TimestampNTZType()), ("close", T.DoubleType()), ("value", T.DoubleType()), ("drawdown", T.DoubleType()), ("position", T.DoubleType())]
 
 
-def _tree(cond: dict, types: dict[str, str], columns: dict) -> tuple:
-    """The kernel's tree of a condition: parts without crossings become one column each."""
+def _tree(cond: dict, types: dict[str, str], columns: dict, keys: dict, say: Callable[[Any], str]) -> tuple:
+    """The kernel's tree of a condition: parts without crossings become one column each. ``keys``: what each column is."""
     if not any(x["operator"] in formula.CROSSES for x in formula.leaves(cond)):
         name = f"_rule{len(columns)}"
-        columns[name] = formula.condition(cond, types)
+        columns[name], keys[name] = formula.condition(cond, types), say(cond)
         return "column", name
     for key in ("all", "any"):
         if key in cond:
             plain = [x for x in cond[key] if not any(y["operator"] in formula.CROSSES for y in formula.leaves(x))]
             rest = [x for x in cond[key] if x not in plain]
-            return key, ([_tree({key: plain}, types, columns)] if plain else []) + [_tree(x, types, columns) for x in rest]
+            return key, ([_tree({key: plain}, types, columns, keys, say)] if plain else []) + [_tree(x, types, columns, keys, say) for x in rest]
     if "not" in cond:
-        return "not", [_tree(cond["not"], types, columns)]
+        return "not", [_tree(cond["not"], types, columns, keys, say)]
     names = []
     for side in ("left", "right"):
         names.append(name := f"_rule{len(columns)}")
-        columns[name] = formula.operand(cond[side], types)[0].cast("double")
+        columns[name], keys[name] = formula.operand(cond[side], types)[0].cast("double"), say([cond[side]])
     return "cross", (f"{cond['left']}:{cond['right']}:{cond['operator']}", *names, cond["operator"] == "crosses_above")
 
 
 def signals(strategy: Strategy, prepared: DataFrame) -> tuple[dict[str, tuple], dict]:
     """Rule trees of each side, and the columns that they and the kernel read (stops, targets, ``_ready``)."""
-    types, columns = types_of(prepared), {}
-    sides = {s: (_tree(x["entry"], types, columns), _tree(x["exit"], types, columns) if x.get("exit") else None) for s, x in strategy.sides.items()}
+    sides, columns, _ = keyed_signals(strategy, prepared)
+    return sides, columns
+
+
+def keyed_signals(strategy: Strategy, prepared: DataFrame) -> tuple[dict[str, tuple], dict, dict[str, str]]:
+    """``signals`` and, of each column, a text that says what it is: columns of two runs with one text are the same."""
+    types, columns, keys, say = types_of(prepared), {}, {}, strategy.meaning
+    tree = lambda c: _tree(c, types, columns, keys, say)
+    sides = {s: (tree(x["entry"]), tree(x["exit"]) if x.get("exit") else None) for s, x in strategy.sides.items()}
     for s in sides:
         columns[f"{s}_stop"], columns[f"{s}_target"] = risk_prices(strategy, s)
+        keys[f"{s}_stop"] = say([s, "stop", strategy.risk["stop_loss"]])
+        keys[f"{s}_target"] = say([s, "target", strategy.risk["take_profit"], strategy.risk["stop_loss"]])
     columns["_ready"] = F.lit(True)
-    for n in strategy.required():
-        if n in prepared.columns:
-            columns["_ready"] &= F.col(n).isNotNull()
-    return sides, columns
+    needed = [n for n in strategy.required() if n in prepared.columns]
+    for n in needed:
+        columns["_ready"] &= F.col(n).isNotNull()
+    keys["_ready"] = say(["ready", *needed])
+    return sides, columns, keys
 
 
 def run(strategy: Strategy, prepared: DataFrame, how: Execution | dict[str, Execution] = Execution(), *, by: tuple[str, ...] = KEY, skip_warm_up: bool = True) -> DataFrame:  # noqa: B008

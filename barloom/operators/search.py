@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.operators import backtest, metrics
+from barloom.plans import registry
 from barloom.plans import strategy as plan
 from barloom.schema import KEY
 
@@ -74,25 +75,32 @@ def folds(total: int, n: int, train_ratio: float = 0.7, *, anchored: bool = Fals
 def prepared_runs(document: str | dict, bars: DataFrame, combinations: list[dict]) -> tuple[DataFrame, Callable[[dict], dict], list[tuple[int, str]]]:
     """Rows of all bars for every combination (``combo``), the rule trees by keys, and the combinations that fail.
 
-    Indicators are computed once for all combinations in one plan over the bars; each combination then is a
-    struct of its few rule, stop and target columns, and rows are replicated with that struct alone."""
+    What combinations share is in the plan once: first all distinct indicators of all of them (recursive ones
+    in one grouped pass), then every distinct rule, operand, stop and target, known by what it is and not by its
+    name. A combination is a struct of references to these, and rows are replicated with that struct alone."""
     parsed, failed = {}, []
     for i, c in enumerate(combinations):
         try:
             parsed[i] = plan.parse(document, c)
         except plan.StrategyError as e:
             failed.append((i, str(e)))
-    df, trees, runs, read = bars, {}, [], {}
+    names = list(dict.fromkeys(n for s in parsed.values() for n in plan.indicators(s)))
+    df, trees, runs, read, shared = registry.add_indicators(bars, names), {}, [], {}, {}
     for i, s in parsed.items():
         own = plan.prepare(s, df)
-        trees[i], read[i] = backtest.signals(s, own)
+        trees[i], columns, keys = backtest.keyed_signals(s, own)
         kept = [c for c in own.columns if c not in {x["name"] for x in (*s.indicators, *s.features)}]
-        df = own.withColumn(f"_run{i}", F.struct(F.lit(i).alias("combo"), *[v.alias(k) for k, v in read[i].items()])).select(*kept, f"_run{i}")
+        new = {}
+        for name, column in columns.items():
+            if keys[name] not in shared:
+                shared[keys[name]] = f"_shared{len(shared)}"
+                new[shared[keys[name]]] = column
+        read[i] = {name: shared[keys[name]] for name in columns}
+        df = own.withColumns(new).select(*kept, *new) if new else df
     names = list(dict.fromkeys(n for columns in read.values() for n in columns))
-    for i in parsed:
-        fields = dict(zip(df.schema[f"_run{i}"].dataType.names, df.schema[f"_run{i}"].dataType.fields, strict=True))
-        kind = {n: next(df.schema[f"_run{j}"].dataType[n].dataType for j in parsed if n in read[j]) for n in names}
-        runs.append(F.struct(F.col(f"_run{i}.combo").alias("combo"), *[(F.col(f"_run{i}.{n}") if n in fields else F.lit(None)).cast(kind[n]).alias(n) for n in names]))
+    kind = {n: next(df.schema[columns[n]].dataType for columns in read.values() if n in columns) for n in names}
+    for i, columns in read.items():
+        runs.append(F.struct(F.lit(i).alias("combo"), *[(F.col(columns[n]) if n in columns else F.lit(None)).cast(kind[n]).alias(n) for n in names]))
     if not runs:
         raise ValueError(f"no combination is valid: {failed[0][1] if failed else 'none given'}")
     rows = df.select(*KEY, "ts", "open", "high", "low", "close", F.explode(F.array(*runs)).alias("_run")).select(*KEY, "ts", "open", "high", "low", "close", "_run.*")

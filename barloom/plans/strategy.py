@@ -89,6 +89,22 @@ class Strategy:
                 name(part["indicator"])
         return list(dict.fromkeys(need))
 
+    def meaning(self, x: Any) -> str:
+        """A text of a condition, operand or risk in which names stand for what they are, whatever they are called."""
+        feature, columns = {f["name"]: f for f in self.features}, self.columns()
+
+        def walk(x: Any, at: tuple[str, ...] = ()) -> Any:
+            if isinstance(x, str):
+                if x in feature and x not in at:
+                    own = {"source": "close", "shift": 0} | {k: v for k, v in feature[x].items() if k != "name"}
+                    return {"feature": {k: v if k == "type" else walk(v, (*at, x)) for k, v in own.items()}}
+                return {"first_of": columns[x]} if x in columns and columns[x] != [x] else x
+            if isinstance(x, dict):
+                return {k: v if k in ("op", "operator", "type") else walk(v, at) for k, v in x.items()}
+            return [walk(v, at) for v in x] if isinstance(x, list) else x
+
+        return json.dumps(walk(x), sort_keys=True, default=str)
+
     def normalised(self) -> dict:
         return {
             "schema_version": "2.0", "name": self.name, "description": self.description, "parameters": {n: {**self.declared.get(n, {}), "default": v} for n, v in self.parameters.items()},
@@ -360,12 +376,17 @@ def add_features(df: DataFrame, features: list[dict]) -> DataFrame:
     return df
 
 
+def indicators(s: Strategy) -> list[str]:
+    """Registered columns of the primary bars that a strategy reads."""
+    wanted = [c for i in s.indicators if i["timeframe"] == "primary" and i["type"] != "fallback" for c in i["columns"]]
+    extra = [n for n in s.required() if n not in {*PRICES} and n not in {f["name"] for f in s.features} and n not in wanted and not any(n.endswith(f"_{i}") for i in s.informative.values()) and n not in s.columns()]
+    return list(dict.fromkeys(wanted + [n for n in extra if _known(n)]))
+
+
 def prepare(s: Strategy, bars: DataFrame, slower: dict[str, DataFrame] | None = None) -> DataFrame:
     """Bars with all that the rules read: indicators, as-of columns of slower timeframes (bars by
     alias), aliases and features."""
-    wanted = [c for i in s.indicators if i["timeframe"] == "primary" and i["type"] != "fallback" for c in i["columns"]]
-    extra = [n for n in s.required() if n not in {*PRICES} and n not in {f["name"] for f in s.features} and n not in wanted and not any(n.endswith(f"_{i}") for i in s.informative.values()) and n not in s.columns()]
-    df = registry.add_indicators(bars, list(dict.fromkeys(wanted + [n for n in extra if _known(n)])))
+    df = registry.add_indicators(bars, indicators(s))
     for alias, interval in s.informative.items():
         names = list(dict.fromkeys(c.removesuffix(f"_{interval}") for i in s.indicators if i["timeframe"] == alias for c in i["columns"]))
         if names:

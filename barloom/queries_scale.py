@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from barloom import queries, queries_more
-from barloom.operators import backtest, blocks, gram
+from barloom.operators import backtest, blocks, gram, search
 from barloom.plans import strategy
 from barloom.plans.registry import add_indicators
 from barloom.queries import BARS_1H, ID, IDS, SQL, W, out, over, query, r, rounded
@@ -170,3 +170,28 @@ def bars_bucketed(spark, d):
     name = f"bars_{uuid.uuid4().hex}"
     bucketed.write_bucketed(B.event_bars(spark, d), name, 8, path=new_folder(spark, "bucketed"))
     return out(add_indicators(bucketed.read_bucketed(spark, name), ["sma_20", "swing_high_20"]), "close", "sma_20", "swing_high_20")
+
+
+EMAS = {**queries_more.CROSSING, "name": "emas", "indicators": [{**i, "type": "ema"} for i in queries_more.CROSSING["indicators"]]}
+_TRIES = [{"fast": f, "slow": s, "stop": p} for f in (5, 10) for s in (20, 30) for p in (0.2, 0.4)]
+
+
+def _ema_grid() -> str:
+    periods = sorted({c[k] for c in _TRIES for k in ("fast", "slow")})
+    runs = [
+        f"""SELECT {g} AS g, {IDS}, open, high, low, close, CASE WHEN i >= {c["fast"]} THEN e{c["fast"]} END AS f, CASE WHEN i >= {c["slow"]} THEN e{c["slow"]} END AS s,
+        {c["stop"]}::DOUBLE AS stop_pct, 10000.0::DOUBLE AS cash0, 0.0::DOUBLE AS comm, 0.0::DOUBLE AS slip FROM b""" for g, c in enumerate(_TRIES)
+    ]
+    return f"""{BARS_1H}, n AS (SELECT *, row_number() OVER ({W}) AS i FROM bars),
+    e AS (SELECT symbol, i, {", ".join(f"close AS e{p}" for p in periods)} FROM n WHERE i = 1 UNION ALL SELECT n.symbol, n.i, {", ".join(f"e{p} + (close - e{p}) * 2 / {p + 1}" for p in periods)} FROM e JOIN n ON n.symbol = e.symbol AND n.i = e.i + 1),
+    b AS (SELECT n.*, e.* EXCLUDE (symbol, i) FROM n JOIN e USING (symbol, i)), k AS ({" UNION ALL ".join(runs)})"""
+
+
+@query(
+    f"""WITH RECURSIVE {queries_more.kernel_sql(_ema_grid())}, {queries_more.measures_sql(1638.0, 'g, symbol, source, "interval"')}
+    SELECT symbol, source, "interval", g AS combo, {r("total_return", "total_return")}, {r("sharpe", "sharpe", 5)}, {r("max_drawdown", "max_drawdown")}, trades, row_number() OVER (PARTITION BY symbol ORDER BY sharpe DESC, g)::INT AS rank FROM ms"""
+)
+def search_shared(spark, d):
+    """Eight combinations on recursive indicators: one pass for all indicators, each rule and stop once."""
+    found = search.grid_search(EMAS, B.event_bars(spark, d), _TRIES, 1638.0)
+    return found.select("symbol", "source", "interval", "combo", F.round("total_return", 6).alias("total_return"), F.round("sharpe", 5).alias("sharpe"), F.round("max_drawdown", 6).alias("max_drawdown"), "trades", "rank")

@@ -1,6 +1,7 @@
 """Fills with known prices: cash 10 000, size 10, entry signal on bar 1, daily bars."""
 
 import datetime as dt
+import re
 
 import pandas as pd
 import pytest
@@ -148,3 +149,25 @@ def test_slippage_and_liquidation(spark):
     assert abs(t.entry_price - entry) < 1e-8 and abs(t.exit_price - leave) < 1e-8 and t.borrow_cost == round(3 * entry * 0.365 * 2 / 365, 2)
     r = metrics.report(backtest.equity(result), backtest.trades(result), backtest.notes(result), 252.0, slippage_pct=0.01).first()
     assert abs(r.slippage - 3 * (10 * 0.01 + entry * 1.5 * 0.01)) < 1e-6 and r.reconciles
+
+
+def test_searches_share_their_plan(spark):
+    """Indicators of all combinations come from one grouped pass, and equal rules are one column whatever their names."""
+    from barloom.queries_scale import EMAS
+
+    rows = [("A", "s", "1h", dt.datetime(2024, 1, 1) + dt.timedelta(hours=h), 10.0 + h % 7, 12.0 + h % 7, 9.0, 10.0 + (h * 5) % 11, h) for h in range(60)]
+    bars = spark.createDataFrame(rows, BARS)
+    tries = [{"fast": f, "slow": s, "stop": p} for f in (3, 5) for s in (8, 9) for p in (0.1, 0.2, 0.3)]
+    rows, trees, failed = search.prepared_runs(EMAS, bars, tries)
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInPandas") == 1 and not failed
+    text = rows._jdf.queryExecution().analyzed().toString()
+    shared = {x for x in re.findall(r"_shared[0-9]+", text)}
+    assert len(shared) < len(tries) * 11 / 2  # 11 columns a run
+    for i in (0, 7):
+        alone = search.run_combinations(EMAS, bars, [tries[i]])
+        both = search.run_combinations(EMAS, bars, tries).where(f"combo = {i}").drop("combo")
+        key = lambda d: sorted(map(str, d.collect()))
+        assert key(both) == key(alone.drop("combo"))
+    a = strategy.parse(EMAS, {"fast": 3, "slow": 8})
+    b = strategy.parse({**EMAS, "indicators": [{**x, "name": x["name"]} for x in EMAS["indicators"]]}, {"fast": 3, "slow": 9})
+    assert a.meaning(["fast_sma"]) == b.meaning(["fast_sma"]) and a.meaning(["slow_sma"]) != b.meaning(["slow_sma"]) and a.meaning(["gap"]) != b.meaning(["gap"])
