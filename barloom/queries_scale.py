@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from barloom import queries, queries_more
-from barloom.operators import backtest, blocks, gram, search
+from barloom.operators import backtest, blocks, gram, range_profiles, search
 from barloom.plans import strategy
 from barloom.plans.registry import add_indicators
 from barloom.queries import BARS_1H, ID, IDS, SQL, W, out, over, query, r, rounded
@@ -195,3 +195,9 @@ def search_shared(spark, d):
     """Eight combinations on recursive indicators: one pass for all indicators, each rule and stop once."""
     found = search.grid_search(EMAS, B.event_bars(spark, d), _TRIES, 1638.0)
     return found.select("symbol", "source", "interval", "combo", F.round("total_return", 6).alias("total_return"), F.round("sharpe", 5).alias("sharpe"), F.round("max_drawdown", 6).alias("max_drawdown"), "trades", "rank")
+
+
+@query(SQL["profile_rolling"])
+def profile_rolling_ranges(spark, d):
+    names = ["rvp_poc_12", "rvp_vah_12", "rvp_val_12"]
+    return out(range_profiles.add_rolling_profile(B.event_bars(spark, d), 12, SIZE), *names)
