@@ -142,6 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, fol
     marks = marks.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("quality").cast("double").alias("_y"))
     few = F.broadcast(marks.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE))  # at most SAMPLE rows
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).join(few, "_id")
+    rows = rows.orderBy(F.xxhash64("_id"), "_id", F.xxhash64("_text")).limit(SAMPLE)  # rows of ids that repeat are at most as many
     sizes = rows.select("_id", F.length("_text").alias("n")).toPandas().fillna(0).sort_values(["_id", "n"])  # at most SAMPLE ids
     fits = sizes.loc[sizes["n"].cumsum() <= CHARACTERS, "_id"]  # whole texts, until they fill the bound
     chosen = F.broadcast(docs.sparkSession.createDataFrame([(int(i),) for i in dict.fromkeys(fits)], "_id long"))

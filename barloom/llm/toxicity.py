@@ -151,7 +151,8 @@ def model_terms(counts: DataFrame) -> tuple[DataFrame, float]:
     of = lambda c, where, name: F.coalesce(F.sum(F.when(where, F.col(c))), F.lit(0)).alias(name)
     ones = [F.count_if(is_pair & (F.col(c) == k)).alias(f"{c}{k}") for c in ("t", "o") for k in (1, 2)]
     rows = pairs.withColumn("pair", own).groupBy("w", "pair").agg(of("t", ~is_pair, "t"), of("o", ~is_pair, "o"), *sums[2:], of("t", is_pair, "pt"), of("o", is_pair, "po"), F.count_if(is_pair).alias("lefts"), *ones)
-    rows = Tables(counts.sparkSession).write(rows, "counts")
+    tables = Tables(counts.sparkSession)
+    rows = tables.write(rows, "counts")
     single = lambda c, k: F.count_if(F.col(c) == k)
     total = rows.agg(
         *[F.coalesce(F.sum(c), F.lit(0)) for c in ("t", "o", "lefts")], *[F.count_if(F.col(c) > 0) for c in ("t", "o")],
@@ -192,6 +193,7 @@ def model_terms(counts: DataFrame) -> tuple[DataFrame, float]:
         .union(context.select(F.col("u").alias("w"), F.lit(_CONTEXT).cast("long").alias("u"), F.col("uf").alias("f"), F.col("context").alias("value")))
         .union(joined.select("w", "u", (F.col("t") + F.col("o")).alias("f"), (F.log(full["t"]) - F.log(full["o"]) - F.col("context") - F.col("alone")).alias("value")))
     )
+    tables.drop()  # terms are a table of their own
     return terms, others
 
 
@@ -292,7 +294,8 @@ def score_toxicity(
     model = spark.sparkContext.broadcast(_looked_up(terms))
 
     few = F.broadcast(marks.orderBy(F.xxhash64("id"), "id").limit(SAMPLE))  # at most SAMPLE rows
-    sample = described(rows.join(few, "id").select("id", "text", F.col("toxic").alias("mark")), terms, model, others).toPandas()
+    few = rows.join(few, "id").select("id", "text", F.col("toxic").alias("mark")).orderBy(F.xxhash64("id", "text"), "id").limit(SAMPLE)  # of ids that repeat too
+    sample = described(few, terms, model, others).toPandas()
     y = sample["mark"].to_numpy(float)
     if len(y) and 0 < y.mean() < 1:
         x = np.stack(sample["x"])
