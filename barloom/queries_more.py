@@ -235,12 +235,13 @@ def formulas(spark, d):
 
 @query(
     f"""WITH {BARS_1H}, {_MA} SELECT symbol, source, "interval", count(*) AS bars, CASE WHEN count(*) FILTER (least(open, high, low, close) <= 0) > 0 THEN 'not_positive' WHEN count(*) FILTER (high < greatest(open, low, close) OR low > least(open, high, close)) > 0 THEN 'high_low_not_enclosing' END AS fault,
-    least(29, count(*)) AS warm_up_bars, 0::BIGINT AS gaps_after FROM m GROUP BY 1, 2, 3"""
+    min(i) FILTER (ready) - 1 AS warm_up_bars, count(*) - min(i) FILTER (ready) + 1 - count(*) FILTER (ready) AS gaps_after
+    FROM (SELECT *, row_number() OVER ({W}) AS i, f IS NOT NULL AND s IS NOT NULL AND body IS NOT NULL AS ready FROM m) GROUP BY 1, 2, 3"""
 )
 def frame_validation(spark, d):
     s = strategy.parse(CROSSING)
     df = strategy.prepare(s, B.event_bars(spark, d))
-    return backtest.validate(df, ["fast_sma", "slow_sma"])
+    return backtest.validate(df, ["fast_sma", "slow_sma", "body"])
 
 
 # ---------------------------------------------------------------- runs

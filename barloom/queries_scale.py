@@ -201,3 +201,19 @@ def search_shared(spark, d):
 def profile_rolling_ranges(spark, d):
     names = ["rvp_poc_12", "rvp_vah_12", "rvp_val_12"]
     return out(range_profiles.add_rolling_profile(B.event_bars(spark, d), 12, SIZE), *names)
+
+
+_FUNDING = """f AS (SELECT upper(event_type) AS symbol, CAST(date_trunc('day', ts) AS TIMESTAMP) AS ts, avg(value) / 1e6 AS funding_rate, sum(value) AS open_interest, count(*) AS n FROM events GROUP BY 1, 2)"""
+
+
+@query(
+    f"""WITH {_FUNDING} SELECT symbol, ts, {r("CASE WHEN n % 2 = 0 THEN funding_rate * 3 ELSE funding_rate END", "funding_rate", 9)}, {r("open_interest", "open_interest", 4)},
+    {r("CASE WHEN n % 2 = 0 THEN funding_rate * 3 ELSE funding_rate END * 1095", "funding_rate_annualised")} FROM f WHERE symbol = 'VIEW' AND ts >= '2024-01-05' AND ts < '2024-01-20'"""
+)
+def derivatives_upsert(spark, d):
+    """Derivatives by symbol and time alone: a second load replaces some rows; the range is half open."""
+    day = F.date_trunc("day", "ts").cast("timestamp_ntz")
+    rows = spark.read.parquet(f"{d}/events.parquet").groupBy(F.upper("event_type").alias("symbol"), day.alias("ts")).agg((F.avg("value") / 1e6).alias("funding_rate"), F.sum("value").alias("open_interest"), F.count(F.lit(1)).alias("n"))
+    changed = rows.where("n % 2 = 0").withColumn("funding_rate", F.col("funding_rate") * 3)
+    found = B.with_annual_funding(B.derivatives_between(B.upsert(rows, changed, ("symbol", "ts")), "view", "2024-01-05", "2024-01-20"))
+    return found.select("symbol", "ts", F.round("funding_rate", 9).alias("funding_rate"), F.round("open_interest", 4).alias("open_interest"), F.round("funding_rate_annualised", 6).alias("funding_rate_annualised"))
