@@ -3,7 +3,7 @@
 Each source has a target in words. Whole epochs of the source come first; what is left of the
 target is filled by weighted sampling without replacement: a row with quality weight w gets the
 key u^(1/w), rows are taken in falling key order, and a prefix sum of sizes stops at the budget.
-u comes from a hash of the id, so reruns agree.
+u comes from a hash of id and text, so reruns agree, and different rows without an id have keys of their own.
 
 The prefix sum runs over 65,536 key ranges per source in two levels of 256 (range totals are
 aggregated before the shuffle), so no task ever holds one source: a source with a third of all
@@ -24,10 +24,14 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text.cast("string"), F.lit("")), F.lit(WORD)).cast("long")
 
 
-def sampling_key(ident: Column, quality: Column, seed: int) -> Column:
+def uniform(ident: Column, text: Column, seed: int) -> Column:
+    """A number from 0 to 1 by what the row holds: 52 bits of a hash of seed, id and text."""
+    whole = F.concat(F.lit(f"{seed}:"), F.coalesce(ident.cast("string"), F.lit("null")), F.lit(":"), F.coalesce(text.cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(whole), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
+
+
+def sampling_key(u: Column, quality: Column) -> Column:
     """u^(1/w) with w = 4 for quality 1, 1 for quality 0 and 2 where it is unknown (roots are exact)."""
-    text = F.concat(F.coalesce(ident.cast("string"), F.lit("null")), F.lit(f":{seed}"))
-    u = F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
     return F.when(quality == 1, F.sqrt(F.sqrt(u))).when(quality == 0, u).otherwise(F.sqrt(u))
 
 
@@ -83,13 +87,13 @@ def mix_sources(
     are ignored, and rows are never dropped.
     """
     own = F.col(row_col) if row_col else F.lit(None).cast("binary")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), own.alias("row"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), own.alias("row"), uniform(F.col(id_col), F.col(text_col), seed).alias("u"))
     if quality is None:
         rows = rows.withColumn("q", F.lit(None).cast("int"))
     else:
         marks = quality.groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").alias("q"))
         rows = rows.join(marks, F.col("doc_id") == F.col("_id"), "left").drop("_id")
-    rows = cut(rows.withColumn("v", sampling_key(F.col("doc_id"), F.col("q"), seed)).drop("q"))
+    rows = cut(rows.withColumn("v", sampling_key(F.col("u"), F.col("q"))).drop("q", "u"))
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights=weights, share=share, most=most)
     part = F.floor((1 - F.col("v")) * (FAN * FAN)).cast("int")
     placed = rows.join(
@@ -147,7 +151,7 @@ ORACLE = r"""
 WITH marks AS (SELECT doc_id, max(quality) AS q FROM labels GROUP BY doc_id),
 d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, q,
-         ('0x' || substr(md5(doc_id::VARCHAR || ':17'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+         ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(text, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
   FROM documents LEFT JOIN marks USING (doc_id)),
 r AS (SELECT *, CASE WHEN q = 1 THEN sqrt(sqrt(u)) WHEN q = 0 THEN u ELSE sqrt(u) END AS v FROM d),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM r GROUP BY source),

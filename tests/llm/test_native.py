@@ -26,6 +26,15 @@ def test_mix_meets_targets(spark, nasty, none, labels):
     assert mixed_documents(docs).columns == docs.columns and mixed_documents(docs).count() > 400
 
 
+def test_mix_of_rows_without_an_id(spark):
+    """Rows without an id, or of one id, are drawn one by one: about half of each come a second time."""
+    docs = spark.createDataFrame([(None if i % 2 else 7, f"text {i} of some", "s") for i in range(2000)], "doc_id long, text string, source string")
+    got = mix_sources(docs)
+    twice = {r.doc_id: r["count"] for r in got.where("taken = 2 * size").groupBy("doc_id").count().collect()}
+    assert all(400 < twice[i] < 600 for i in (None, 7)) and got.agg(F.sum("taken")).first()[0] == 1.5 * 8000
+    assert sorted(r.taken for r in got.collect()) == sorted(r.taken for r in mix_sources(docs.repartition(5)).collect())
+
+
 def test_urls(spark, none):
     rows = [
         (1, "http://www.Example.org/es/x?q"), (2, "https://example.org/en/12#a"), (3, "http://a.com/de/"), (4, "http://b.com/fr/1"), (5, "x.org/"), (6, None), (7, "http://xorg/"), (8, "http://q.org"), (9, "http://net.net/de/1"), (9, "http://net.net/de/1"),
