@@ -3,37 +3,16 @@
 Rows group by a 128-bit hash of the normalised text. Inside a hash group Spark's aggregation
 compares the texts byte by byte (the text is a grouping key), so a hash collision splits into
 its own groups. Partial aggregation collapses copies before the shuffle; a group of copies that
-holds a third of all rows therefore leaves each map task as one row.
+holds a third of all rows therefore leaves each map task as one row. All of it is DataFrame
+functions: no Arrow batches of texts are held beside the aggregation.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm._spark import UPPER, table
-
-_HASHED = "row binary, id long, text string, h binary, sha string"
-
-
-def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [x.lower() for x in pc.fill_null(batch.column(2), "").cast(pa.binary()).to_pylist()]  # bytes.lower(): A-Z only
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0),
-                batch.column(1),
-                pa.array(texts, pa.binary()).cast(pa.string()),
-                pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in texts], pa.binary()),
-                pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string()),
-            ],
-            names=["row", "id", "text", "h", "sha"],
-        )
+from barloom.llm._spark import UPPER, ascii_lower, table
 
 
 def _row_key(id_col: str, text_col: str) -> Column:
@@ -45,7 +24,9 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, keep: str) -> tuple[Dat
     """Rows, and the groups of equal texts with the row that stays: least or largest id, then row key; null ids last."""
     known = F.col("id").isNotNull()
     best = F.min(F.struct(~known, "id", "row")) if keep == "smallest" else F.max(F.struct(known, "id", "row"))
-    rows = docs.select(_row_key(id_col, text_col), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_hashed, _HASHED)
+    text = ascii_lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    rows = docs.select(_row_key(id_col, text_col).alias("row"), F.col(id_col).cast("long").alias("id"), text.alias("text"))
+    rows = rows.select("*", F.unhex(F.md5("text")).alias("h"), F.sha2("text", 256).alias("sha"))
     groups = rows.groupBy("h", "sha", "text").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
     return rows, groups.select("h", "sha", F.col("best.id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size")
 

@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet in the
 folder that the cluster shares and read again as the next stage's docs. All but the last stage
 return the columns of documents, of the rows that stay (a row comes twice where the mix takes it
-twice).
+twice). Stages that run Python bound the bytes of Arrow batches first: executors keep their heap and
+their Python workers from stage to stage, so what one stage took stands beside the next.
 """
 
 from __future__ import annotations
@@ -11,11 +12,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from barloom.llm import bpe, exact_dedup, near_dedup, quality, source_mix
-from barloom.llm._spark import Tables, table
+from barloom.llm._spark import Tables, small_batches, table
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go (operator 4)."""
+    small_batches(spark)
     return quality.kept_documents(docs, table(spark, sf_dir, "labels"))
 
 
@@ -26,6 +28,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component stays, five words and 0.8 (operator 5)."""
+    small_batches(spark)
     return near_dedup.kept_documents(docs)
 
 
@@ -36,6 +39,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with counts and digests of ids and decoded text (operator 8)."""
+    small_batches(spark)
     return bpe.digests(bpe.encode(docs))
 
 

@@ -1,4 +1,7 @@
+import pyarrow as pa
+
 import corpus_pipeline as pipeline
+from barloom.llm._spark import BATCH
 
 DATA = "/root/testdata/sf0.001"
 
@@ -31,3 +34,21 @@ def test_stages_on_hard_rows(spark, nasty, none, labels, tmp_path):
             assert out.where("doc_id IS NULL").select("text").distinct().count() >= 2
     assert pipeline.STAGES[0][1](spark, rows, str(tmp_path)).columns == rows.columns
     assert pipeline.STAGES[0][1](spark, none, str(tmp_path)).count() == 0
+
+
+def test_stages_bound_what_stands_beside_the_heap(spark, tmp_path, labels):
+    """Exact copies are found without Arrow batches; batches of the other stages hold few bytes, and wider rows make more of them."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        labels.write.parquet(f"{tmp_path}/labels.parquet")
+        docs = spark.createDataFrame([(i, f"{i} " + "word " * 4000, "a") for i in range(600)], "doc_id long, text string, source string").coalesce(1)
+        assert "MapInArrow" not in pipeline.drop_exact_copies(spark, docs, str(tmp_path))._jdf.queryExecution().toString()
+        pipeline.drop_low_quality(spark, docs, str(tmp_path))
+        sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches), "n long").collect()
+        assert len(sizes) > 2 and max(r.n for r in sizes) < 2 * BATCH
+        spark.conf.set(key, "64k")
+        pipeline.drop_low_quality(spark, docs, str(tmp_path))
+        assert spark.conf.get(key) == "64k"  # a smaller bound stays
+    finally:
+        spark.conf.set(key, before)
