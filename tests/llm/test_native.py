@@ -81,6 +81,35 @@ def test_mined_rules_match_brute_force(spark):
     assert got == want and any(len(c) == 2 for c, *_ in want)
 
 
+def test_rules_of_any_length(spark):
+    """Urls that only four or five tokens together tell, and the best of all combinations by brute force."""
+    parts = "abcde"
+    rows = [("de" if len(k) == 5 else "fr", k) for n in (4, 5) for k in itertools.combinations(parts, n) for _ in range(3)]
+    pages = [(i, f"http://x.com/{w}/" + "/".join(k)) for i, (w, k) in enumerate(rows)] + [(900, "http://y.net/" + "/".join(parts)), (901, "http://y.net/a/b/c/d")]
+    got = {r.page_id: r for r in filter_urls(spark.createDataFrame(pages, "page_id long, url string")).collect()}
+    assert (got[900].verdict, got[900].confidence) == ("block", 1.0)  # fr holds four of the five at most
+
+    rng = random.Random(1)
+    names = [f"p:t{i}" for i in range(6)]
+    rows = [tuple(sorted(t for t in names if rng.random() < 0.75)) for _ in range(50)]
+    rows = [(t, "block" if {*names[:4]} <= {*t} or rng.random() >= 0.8 else "allow") for t in rows]
+    ask = [tuple(sorted(t for t in names if rng.random() < 0.8)) for _ in range(12)]
+    labelled, wanted = spark.createDataFrame(rows, "tokens array<string>, verdict string"), spark.createDataFrame([(t,) for t in ask], "tokens array<string>")
+    mined = [r for x in mine_rules(labelled, support=0.04, confidence=0.9, wanted=wanted).collect() for r in x["rules"]]
+    long = 0
+    for t in ask:
+        every = []
+        for k in range(1, len(t) + 1):
+            for combo in itertools.combinations(t, k):
+                fit = [v for u, v in rows if set(combo) <= set(u)]
+                every += [(fit.count(v) / len(fit), fit.count(v), k) for v in ("allow", "block") if fit.count(v) >= 2 and fit.count(v) / len(fit) >= 0.9]
+        found = max(((r["confidence"], r["freq"]) for r in mined if set(r["tokens"]) <= set(t)), default=None)
+        best = max((e[:2] for e in every), default=None)
+        assert found == best, (t, found, best)
+        long += best is not None and best > max((e[:2] for e in every if e[2] < 4), default=(0, 0))
+    assert long >= 2, long
+
+
 def test_licences(nasty, none, spark):
     bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
     rows = [
