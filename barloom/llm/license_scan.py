@@ -4,9 +4,10 @@ Every paragraph of every text is judged: each line, and each block of lines that
 (a line that ends in no stop goes on in the next), so that wrapped notices are seen whole. Sparse
 word n-grams (one and two words of the training notices) feed a multinomial logistic regression over
 licence families and an unknown class. It is trained on windows of the templates and, for the unknown
-class, on a bounded sample of ordinary paragraphs plus licence talk that names no family. The
-probability limit is calibrated on ordinary paragraphs that were held out. A prediction is
-confirmed when the paragraph also holds enough of a template of that family, and no more of any other's.
+class, on all ordinary paragraphs of the table plus licence talk that names no family: paragraphs with
+the same n-grams are one row that counts as often as they occur. The probability limit is calibrated on
+all ordinary paragraphs that were held out, a quarter. A prediction is confirmed when the paragraph also
+holds enough of a template of that family, and no more of any other's.
 
 The weights tell which paragraphs can't be notices: as long as the words of ``evidence`` are missing,
 all other n-grams together don't lift a family over the limit. Texts and paragraphs without such a
@@ -22,18 +23,23 @@ import regex
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizerModel, NGram
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from barloom.llm._spark import cut, table
+from barloom.llm._spark import Tables, cut, table
 from barloom.llm.license_texts import GENERAL, TEMPLATES
 
 UNKNOWN = "unknown"
 FAMILIES = (UNKNOWN, *dict.fromkeys(f for f, _ in TEMPLATES))
 #: A block of lines ends at a blank line or at a line that ends in a stop.
 BLOCK_END = r"(?<=[.!?:;])[ \t\r]*\n|\n[ \t\r]*\n"
-#: Ordinary paragraphs that the fit and the calibration see at most, and characters of each.
-SAMPLE, CHARACTERS = 2000, 20_000
+#: In the fit, ordinary paragraphs count as so many together at most, however many there are; a notice's window counts as one.
+ORDINARY = 1500.0
+#: Share of the held-out ordinary paragraphs that stays under the limit, which is a multiple of 1 / ``STEPS``.
+UNDER, STEPS = 0.999, 10_000
 #: A word; dots inside it stay (2.0), dots after it go.
 _WORD = r"[\p{L}\p{N}]+(?:\.[\p{L}\p{N}]+)*"
 
@@ -77,18 +83,33 @@ def agreements(pairs: Column) -> Column:
     return F.transform(known, lambda t: F.struct(t["family"].alias("family"), (F.size(F.array_intersect(t["pairs"], pairs)) / F.size(t["pairs"])).alias("share")))
 
 
+def alike(places: Column) -> Column:
+    """Whether ``places`` of ``VOCABULARY``, each once, have a fifth of any template's word pairs."""
+    place = {g: i for i, g in enumerate(VOCABULARY)}
+    pairs = [p for p in (word_pairs(t) for _, t in TEMPLATES) if p]
+    within: list[list[int]] = [[] for _ in VOCABULARY]
+    for k, ps in enumerate(pairs):
+        for g in ps:
+            within[place[g]].append(k)
+    templates = F.array(*[F.array(*map(F.lit, ks)).cast("array<int>") for ks in within])
+    enough = F.array(*[F.lit(math.ceil(len(ps) / 5)) for ps in pairs])
+    held = F.array_sort(F.flatten(F.transform(places, lambda i: F.get(templates, i))))  # each template once per pair of it
+    return F.size(F.filter(F.transform(held, lambda k, i: F.get(held, i + F.get(enough, k) - 1) == k), lambda same: same)) > 0
+
+
 def ordinary_paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``text`` of at most ``SAMPLE`` different paragraphs, those that hold a fifth of a template's word pairs left out.
+    """``features, n``: n-grams of all paragraphs but those that hold a fifth of a template's word pairs, and how many have them.
 
-    Texts are drawn by their hash, four for each paragraph wanted, so that what is sorted does not grow with the table."""
-    part = min(1.0, 4 * SAMPLE / max(1, docs.count()))
-    some = docs.where(F.pmod(F.xxhash64(F.col(text_col).cast("string")), F.lit(1 << 40)) < int(part * (1 << 40)))
-    texts = paragraphs(some, id_col, text_col).select(F.left("text", F.lit(CHARACTERS)).alias("text")).distinct()
-    drawn = features(texts.orderBy(F.xxhash64("text"), "text").limit(SAMPLE), "text")
-    return drawn.where(~F.exists(agreements(F.col("pairs")), lambda t: t["share"] >= 0.2)).select("text")
+    The table is written to the shared folder, where a vector's places can be read as an array."""
+    sets = features(paragraphs(docs, id_col, text_col), "text").groupBy("features").agg(F.count(F.lit(1)).alias("n"))
+    tables = Tables(docs.sparkSession)
+    tables.write(sets.select("features", F.col("features").alias("sparse"), "n"), "sets")
+    plain = StructType([StructField("features", VectorUDT()), StructField("sparse", VectorUDT.sqlType()), StructField("n", LongType())])
+    sets = docs.sparkSession.read.schema(plain).parquet(f"{tables.folder}/sets")
+    return sets.where(~alike(F.col("sparse.indices"))).select("features", "n")
 
 
-def evidence(model: LogisticRegressionModel, limit: float, common: dict[str, int]) -> list[str]:
+def evidence(model: LogisticRegressionModel, limit: float, common: dict[str, float]) -> list[str]:
     """Words of which a paragraph needs one to be a notice; ``[]`` where none can be left out.
 
     A family's probability reaches ``limit`` only where its score leads that of the unknown class by
@@ -124,21 +145,34 @@ def pattern(words: list[str]) -> str:
 
 
 def train(spark: SparkSession, ordinary: DataFrame) -> tuple[LogisticRegressionModel, float, list[str]]:
-    """The fitted model, the calibrated probability limit and the words of ``evidence``. ``ordinary`` has ``text``, at most ``SAMPLE`` rows."""
+    """The fitted model, the calibrated probability limit and the words of ``evidence``. ``ordinary`` is that of ``ordinary_paragraphs``."""
     notes = spark.createDataFrame([(f, t) for f, t in TEMPLATES] + [(UNKNOWN, t) for t in GENERAL], "family string, text string")
     w = F.split("text", " ")
     windows = notes.withColumn("i", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - 5), F.lit(2))))
     windows = windows.select("family", F.array_join(F.slice(w, F.col("i"), 12), " ").alias("text")).union(notes)
-    sample = ordinary.select(F.lit(UNKNOWN).alias("family"), "text").withColumn("held", F.pmod(F.xxhash64("text"), F.lit(4)) == 0)
-    rows = windows.withColumn("held", F.lit(False)).unionByName(sample).withColumn("label", (F.array_position(F.array(*map(F.lit, FAMILIES)), F.col("family")) - 1).cast("double"))
-    rows = cut(features(rows.coalesce(2), "text").select("family", "held", "label", "features"))
-    model = LogisticRegression(family="multinomial", regParam=0.001, maxIter=60).fit(rows.where("NOT held"))
+    label = (F.array_position(F.array(*map(F.lit, FAMILIES)), F.col("family")) - 1).cast("double")
+    windows = cut(features(windows.coalesce(2), "text").select("features", label.alias("label"), F.lit(1.0).alias("weight")))
+    sets = ordinary.withColumn("held", F.pmod(F.xxhash64("features"), F.lit(4)) == 0)
+    n = sets.where("NOT held").agg(F.sum("n")).first()[0] or 0
+    part = min(1.0, ORDINARY / max(1, n))
+    rows = windows.union(sets.where("NOT held").select("features", F.lit(0.0).alias("label"), F.col("n") * part))
+    model = LogisticRegression(family="multinomial", regParam=0.001, maxIter=60, weightCol="weight").fit(rows)
     p = F.array_max(F.slice(vector_to_array("probability"), 2, len(FAMILIES)))
-    edge = model.transform(rows.where("held")).select(p.alias("p")).approxQuantile("p", [0.999], 0.0005)
-    limit = min(0.99, max([0.5, *edge]))
-    seen = rows.where(F.col("family") == UNKNOWN).select(F.posexplode(vector_to_array("features")).alias("i", "x")).where("x > 0").groupBy("i").count()
-    common = {VOCABULARY[r["i"]]: r["count"] for r in seen.collect()}  # a row for each of VOCABULARY at most
-    return model, limit, evidence(model, limit, common)
+    steps = model.transform(sets.where("held")).groupBy(F.ceil(p * STEPS).cast("int").alias("step")).agg(F.sum("n").alias("n")).collect()  # STEPS rows at most
+    limit = min(0.99, max(0.5, quantile([(r["step"], r["n"]) for r in steps], UNDER) / STEPS))
+    seen = sets.select("features", "n").union(windows.where("label = 0").select("features", F.lit(1).cast("long")))
+    total = seen.select(Summarizer.metrics("sum").summary(F.col("features"), F.col("n").cast("double"))["sum"].alias("s")).first()["s"]
+    return model, limit, evidence(model, limit, dict(zip(VOCABULARY, total.toArray(), strict=True)))
+
+
+def quantile(counts: list[tuple[int, int]], share: float) -> int:
+    """The least value that ``share`` of the counted ones don't exceed; 0 without any."""
+    need, have = share * sum(n for _, n in counts), 0
+    for value, n in sorted(counts):
+        have += n
+        if have >= need:
+            return value
+    return 0
 
 
 def scored(model: LogisticRegressionModel, rows: DataFrame) -> DataFrame:
@@ -159,7 +193,7 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     notices. Null and empty texts have none; long texts are scanned whole; repeated rows repeat; of
     equally probable families the first in ``FAMILIES`` counts. An empty table gives an empty result;
     other columns are ignored. ``trained`` is what ``train`` gave for another table; without it, the
-    model is trained with ordinary paragraphs of ``docs``.
+    model is trained with all ordinary paragraphs of ``docs``.
     """
     model, limit, needed = trained or train(docs.sparkSession, ordinary_paragraphs(docs, id_col, text_col))
     may_be = lambda text: F.lower(text.cast("string")).rlike(pattern(needed)) if needed else F.lit(True)

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from barloom.llm import topk_search
@@ -235,3 +236,30 @@ def test_top_k_over_many_tiles(spark, monkeypatch, rows, block, bytes_):
     lone = [(i, n) for i, n, _, _ in want if i != 100]  # id 100 has two query vectors, which share a list of k
     assert [r for r in got if r[0] != 100] == sorted(r for r in want if r[0] != 100) and len(lone) > 30
     assert len([r for r in got if r[0] == 100]) == 10
+
+
+def test_licences_train_on_all_paragraphs(spark):
+    """No paragraph is left out of the fit and the limit but those like a template; long ones count whole."""
+    import regex
+
+    lines = [f"w{i} the {w} of a copy" for i in range(700) for w in VOCABULARY[:300:75]] + ["Released under the MIT License.", "word " * 8000 + "warranty", "", None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(lines)] + [(-1, "one\nof the rights\nlast")], "doc_id long, text string")
+    place, pairs_of = {g: i for i, g in enumerate(VOCABULARY)}, [set(word_pairs(t)) for _, t in TEMPLATES if word_pairs(t)]
+    want = {}
+    for r in paragraphs(docs, "doc_id", "text").collect():
+        words = regex.findall(license_scan._WORD, r.text.lower())
+        pairs = {f"{a} {b}" for a, b in zip(words, words[1:])}
+        if all(len(t & pairs) / len(t) < 0.2 for t in pairs_of):
+            key = tuple(sorted(place[g] for g in {*words, *pairs} if g in place))
+            want[key] = want.get(key, 0) + 1
+    ordinary = ordinary_paragraphs(docs, "doc_id", "text")
+    assert {tuple(int(i) for i in r.features.indices): r.n for r in ordinary.collect()} == want
+    assert sum(want.values()) > 2100 and (place["warranty"],) in want
+
+    # every held-out paragraph is in the limit: as many as UNDER stay below it
+    model, limit, _ = train(spark, ordinary)
+    held = ordinary.where(F.pmod(F.xxhash64("features"), F.lit(4)) == 0)
+    p = F.array_max(F.slice(vector_to_array("probability"), 2, len(FAMILIES)))
+    over = model.transform(held).where(p > limit).agg(F.sum("n")).first()[0] or 0
+    assert over <= (1 - license_scan.UNDER) * held.agg(F.sum("n")).first()[0] or limit == 0.99
+    assert license_scan.quantile([(5, 1), (1, 998), (3, 1)], 0.999) == 3 and license_scan.quantile([], 0.999) == 0
