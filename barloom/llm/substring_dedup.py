@@ -16,6 +16,10 @@ round, the rest is ranked again at the next offset until strings of LENGTH bytes
    covers may repeat in part, so its first units go to the next round in smaller runs; units whose
    core has one cover alone leave. In the last round core and cover are the window itself.
 
+A byte of the table is known by one long, the number of its text in the order of ids and its offset in
+that text, so that the first of equal units is a plain minimum. Texts of which no unit is asked for
+stay out of a round.
+
 Every size of input takes this one plan. No round gathers a group: counts and first places are
 aggregates, joins back are ones that Spark can split. Bit sets, sized by what they hold
 (``BITS`` bits at most), keep rows that cannot matter out of a shuffle; they never decide.
@@ -31,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm._spark import Tables, marked, table
+from barloom.llm._spark import Tables, marked, maybe_in, table
 from barloom.llm._text import _BYTE, U, mix, slices, stream
 
 LENGTH = 100
@@ -39,6 +43,8 @@ LENGTH = 100
 BITS = (1 << 20, 1 << 30)
 #: Windows of a unit in each round; 0 means all windows of a place.
 ROUNDS = (0, 8, 1)
+#: The id that stands for none.
+LEAST = -(2**63)
 #: Bytes whose positions are ranked at a time (their ranks stay in the processor's cache).
 CHUNK = 1 << 16
 _FACTORS = stream(64, 21) | U(1)
@@ -186,10 +192,6 @@ def bit_set(values: DataFrame) -> BitSet:
     return BitSet(bits.reshape(-1))
 
 
-def _unit_id(ids: np.ndarray, version: np.ndarray, lo: np.ndarray) -> np.ndarray:
-    return mix((ids.astype(np.int64).view(U) * U(0x9E3779B97F4A7C15) ^ version.astype(np.int64).view(U)) + lo.astype(np.int64).view(U))
-
-
 def _picked(length: int):
     """32-byte ranks ``g`` of the picked places of texts."""
 
@@ -202,61 +204,81 @@ def _picked(length: int):
 
 
 def _ranked(length: int, size: int, twice: Callable[[], BitSet], asked: list[Callable[[], BitSet]]):
-    """Units ``id, v, lo, n, core, cover`` of texts ``id, v, text``, those that the sets let through."""
+    """Units ``first, n, core, cover`` of texts ``at, text``, those that the sets let through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, version = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for i, j, s, places in _stretches(batch.column(2), length):
-                offset = _starts(batch.column(2), i, j) - s
-                row = i + places.row
-
-                def within(which, places=places, offset=offset, row=row):
-                    return lambda own, lo: which().has(_unit_id(ids[row[own]], version[row[own]], lo - offset[places.row[own]]))
-
+            at = batch.column(0).to_numpy()
+            for i, j, s, places in _stretches(batch.column(1), length):
+                base = at[i:j] - (_starts(batch.column(1), i, j)[:-1] - s)  # what makes an offset here a place in the table
+                within = lambda which, places=places, base=base: lambda own, lo: which().has(mix((base[places.row[own]] + lo).view(U)))
                 first = lambda own, lo, places=places: twice().has(places.g[own])
                 both = (lambda own, lo, a=first, b=within(asked[0]): a(own, lo) & b(own, lo)) if asked else first
                 own, lo, n, core, cover = places.units(size, [both, *map(within, asked[1:])])
-                at = places.row[own]
+                first = base[places.row[own]] + lo
                 for t in range(0, len(own), 50_000):
                     k = slice(t, t + 50_000)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(ids[i + at[k]]), pa.array(version[i + at[k]]), pa.array((lo[k] - offset[at[k]]).astype(np.int64)),
-                            pa.array(n[k].astype(np.int32)), pa.array(core[k].view(np.int64)), pa.array(cover[k].view(np.int64)),
-                        ],
-                        names=["id", "v", "lo", "n", "core", "cover"],
-                    )
+                    columns = [pa.array(first[k]), pa.array(n[k].astype(np.int32)), pa.array(core[k].view(np.int64)), pa.array(cover[k].view(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["first", "n", "core", "cover"])
 
     return run
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for x in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(_unit_id(*(x.column(k).to_numpy() for k in range(3))).view(np.int64))], names=["x"])
-
-
-def repeated_runs(texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``id, v, start, stop``: byte runs of ``texts (id, v, text)`` that an earlier place repeats; they may overlap.
+        first = x.column(0).to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(mix(first.view(U)).view(np.int64))], names=["first", "x"])
+
+
+def numbered(texts: DataFrame, tables: Tables) -> tuple[DataFrame, int]:
+    """``at, id, text`` of texts ``id, text``, and the bits that an offset takes: ``at`` is the place of a text's
+    first byte, its number in the order of id and, where an id has several texts, of a hash of the text.
+
+    The id itself gives the number; where ids are too far apart or have several texts, ids and texts are counted."""
+    h = F.xxhash64("text")
+    each = texts.groupBy("id").agg(F.min(h).alias("a"), F.max(h).alias("b"), F.max(F.octet_length("text")).alias("n"))
+    real = F.when(F.col("id") != LEAST, F.col("id"))
+    low, high, n, several = each.agg(F.min(real), F.max(real), F.max("n"), F.bool_or(F.col("a") != F.col("b"))).first()
+    bits = int(n or 0).bit_length()
+    if not several and (high or 0) - (low or 0) + 2 <= 1 << (63 - bits):
+        number = F.when(F.col("id") == LEAST, F.lit(0)).otherwise(F.col("id") - F.lit(low or 0) + 1).cast("long")
+        return texts.select(F.shiftleft(number, bits).alias("at"), "id", "text"), bits
+    keys = texts.select("id", h.alias("h")).distinct().orderBy("id", "h").withColumn("k", F.monotonically_increasing_id())
+    keys = tables.write(keys, "keys")  # k: partition << 33 + place in it
+    counts = dict(keys.groupBy(F.shiftright("k", 33)).count().collect())
+    before = np.append(0, np.cumsum([counts.get(i, 0) for i in range(max(counts) + 1)]))
+    number = F.get(F.array(*[F.lit(int(x)).cast("long") for x in before]), F.shiftright("k", 33).cast("int")) + F.col("k").bitwiseAND(F.lit((1 << 33) - 1))
+    found = texts.withColumn("h", h).join(keys.select("id", "h", F.shiftleft(number, bits).alias("at")), ["id", "h"])
+    found = tables.write(found.select("at", "id", "text"), "texts")
+    tables.drop("keys")
+    return found, bits
+
+
+def repeated_runs(texts: DataFrame, bits: int, tables: Tables, length: int = LENGTH) -> DataFrame:
+    """``at, start, stop``: byte runs of ``texts (at, text)`` that an earlier place repeats; they may overlap.
 
     Each round's units are written to the shared folder and deleted after it."""
     sc = texts.sparkSession.sparkContext
-    tables = Tables(texts.sparkSession)
     ranks = texts.select("text").mapInArrow(_picked(length), "g long")
     seen = sc.broadcast(bit_set(tables.write(ranks.groupBy("g").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("g"), "ranks")))
     tables.drop("ranks")
-    asked, runs = [], []
+    offset = F.lit((1 << bits) - 1).cast("long")
+    text_of = lambda c: (F.col(c) - F.col(c).bitwiseAND(offset)).alias("at")
+    asked, runs, some = [], [], texts.select("at", "text")
     for size in ROUNDS:
         sets = [lambda a=a: a.value for a in asked]
-        units = tables.write(texts.mapInArrow(_ranked(length, size, lambda: seen.value, sets), "id long, v long, lo long, n int, core long, cover long"), "units")
-        firsts = tables.write(units.groupBy("core", "cover").agg(F.min(F.struct("id", "v", "lo")).alias("first"), F.count(F.lit(1)).alias("times")), "firsts")
-        later = units.join(firsts.where("times > 1").select("core", "cover", "first"), ["core", "cover"]).where(F.struct("id", "v", "lo") != F.col("first"))
-        runs.append(tables.write(later.select("id", "v", F.col("lo").alias("start"), (F.col("lo") + F.col("n") + (length - 1)).alias("stop")), f"runs-{size}"))
+        units = tables.write(some.mapInArrow(_ranked(length, size, lambda: seen.value, sets), "first long, n int, core long, cover long"), "units")
+        firsts = tables.write(units.groupBy("core", "cover").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("times")), "firsts")
+        later = units.join(firsts.where("times > 1").select("core", "cover", "least"), ["core", "cover"]).where("first <> least")
+        start = F.col("first").bitwiseAND(offset)
+        runs.append(tables.write(later.select(text_of("first"), start.alias("start"), (start + F.col("n") + (length - 1)).alias("stop")), f"runs-{size}"))
         if size != ROUNDS[-1]:
             split = firsts.groupBy("core").agg(F.count(F.lit(1)).alias("covers")).where("covers > 1").select("core")
-            left = tables.write(firsts.join(split, "core").select("first.id", "first.v", "first.lo").mapInArrow(_hashed, "x long"), "left")
-            asked.append(sc.broadcast(bit_set(left)))
-        tables.drop("units", "firsts", "left")
+            left = tables.write(firsts.join(split, "core").select("least").mapInArrow(_hashed, "first long, x long"), f"left-{size}")
+            asked.append(sc.broadcast(bit_set(left.select("x"))))
+            some = maybe_in(texts.select("at", "text"), "at", left.select(text_of("first")))
+        tables.drop("units", "firsts")
+    tables.drop(*[f"left-{size}" for size in ROUNDS[:-1]])
     out = runs[0]
     for r in runs[1:]:
         out = out.union(r)
@@ -266,9 +288,9 @@ def repeated_runs(texts: DataFrame, length: int = LENGTH) -> DataFrame:
 def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of each text in order, those that meet made one."""
     for batch in batches:
-        out = [_union(a.values.to_numpy(), b.values.to_numpy()) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
+        out = [_union(a.values.to_numpy(), b.values.to_numpy()) for a, b in zip(batch.column(1), batch.column(2), strict=True)]
         lists = [pa.array([x[k] for x in out], pa.list_(pa.int64())) for k in (0, 1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["id", "v", "start", "stop"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["at", "start", "stop"])
 
 
 def _union(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -311,20 +333,18 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     their own, in the order of a hash of the text. Null ids count as the smallest. An empty table
     gives an empty result; other columns are ignored.
     """
-    least = F.lit(-(2**63)).cast("long")
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), least).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    # an id that may have several texts tells them apart by a hash; for all others the version is 0
-    hashed = texts.select("id", F.xxhash64("text").alias("h")).groupBy("id").agg(F.min("h").alias("a"), F.max("h").alias("b"))
-    texts = marked(texts, "id", hashed.where("a <> b").select("id"), "several").select("id", F.when(F.col("several"), F.xxhash64("text")).otherwise(F.lit(0)).alias("v"), "text")
-    runs = repeated_runs(texts, length)
-    lists = runs.groupBy("id", "v").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))  # at most as long as the text
-    lists = lists.select("id", "v", "runs.start", "runs.stop").mapInArrow(_united, "id long, v long, start array<long>, stop array<long>")
-    some = marked(texts, "id", runs.select("id"), "some")  # texts without a run skip the join
-    found = some.where("some").join(lists, ["id", "v"], "left").select("id", "text", "start", "stop")
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    tables = Tables(docs.sparkSession)
+    texts, bits = numbered(texts, tables)
+    runs = repeated_runs(texts, bits, tables, length)
+    lists = runs.groupBy("at").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))  # at most as long as the text
+    lists = lists.select("at", "runs.start", "runs.stop").mapInArrow(_united, "at long, start array<long>, stop array<long>")
+    some = marked(texts, "at", runs.select("at"), "some")  # texts without a run skip the join
+    found = some.where("some").join(lists, "at", "left").select("id", "text", "start", "stop")
     none = F.lit(None).cast("array<long>")
     found = found.union(some.where("NOT some").select("id", "text", none, none))
     out = found.mapInArrow(_cut_out, "id long, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, kept binary")
-    return out.withColumn("id", F.nullif("id", least))
+    return out.withColumn("id", F.nullif("id", F.lit(LEAST)))
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,3 +124,34 @@ def test_substrings_of_null_and_repeated_ids(spark, monkeypatch, bits):
     want = cut_by_hand([(k, t) for k, (_, t) in enumerate(sorted(order, key=lambda x: x[0]))], 100)
     assert all(by_id[d] == want[k] for k, (d, _) in enumerate(sorted(order, key=lambda x: x[0])) if d >= 7)
     assert len({bytes(r.kept) for r in rows if r.id == 5}) == 2  # the repeated row loses what the other one loses
+
+
+@pytest.mark.parametrize("step, twice", [(1, False), (2**57, False), (1, True)])
+def test_substrings_by_places_of_one_long(spark, monkeypatch, step, twice):
+    """Ids near each other, far apart, and one of two texts: firsts are found by hash aggregates."""
+    rng = random.Random(9)
+    words = lambda n: " ".join(f"v{rng.randrange(10**5)}" for _ in range(n))
+    shared = words(60)
+    docs = [((i - 30) * step, (words(5) + shared[i % 90 : 120 + i % 90] + words(5)) if i % 3 else words(40)) for i in range(60)] + [(31 * step, None), (32 * step, "")]
+    plans, texts = {}, {}
+    write = substring_dedup.Tables.write
+
+    def record(self, df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(self, df, name)
+
+    ranked = substring_dedup.numbered
+    monkeypatch.setattr(substring_dedup.Tables, "write", record)
+    monkeypatch.setattr(substring_dedup, "numbered", lambda *a: texts.setdefault("rows", ranked(*a)))
+    more = [(docs[0][0], words(50))] if twice else []
+    df = spark.createDataFrame(docs + more + docs[:2], "doc_id long, text string")  # repeated rows don't count against themselves
+    rows = remove_repeats(df).collect()
+    assert len(rows) == len(docs) + len(more) + 2
+    want = cut_by_hand(docs, 100)  # the one more text shares nothing
+    assert {r.id: bytes(r.kept) for r in rows if r.n_bytes != len((more or [(0, "")])[0][1])}.items() >= {k: v for k, v in want.items() if k < 31 * step}.items()
+    placed, bits = texts["rows"]
+    at = placed.select("id", "text", "at").distinct().orderBy("at").collect()
+    assert [r.id for r in at] == sorted(r.id for r in at) and len({r.at for r in at}) == len(docs) + len(more)
+    assert all(r.at % (1 << bits) == 0 and len(r.text.encode()) < 1 << bits for r in at)
+    assert ("texts" in plans) == (step > 1 or twice)
+    assert "SortAggregate" not in plans["firsts"] and "HashAggregate" in plans["firsts"]
