@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm._spark import cut, maybe_in, table
 from barloom.llm._text import U, grams, mix, slices, stream, words
-from barloom.llm.components import connected_components
+from barloom.llm.components import connected_components, with_links
 
 #: Rows of a band, and the chance at most that all bands miss a pair at the threshold.
 ROWS, MISS = 6, 2e-5
@@ -153,7 +153,7 @@ def _forest(size: int, percent: int):
                         labels, first = np.unique(root[near], return_index=True)
                         out += [(int(ids[a]), int(ids[near[f]])) for f in first]
                         root[np.isin(root, labels)] = root[a]
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["u", "v"])
 
     return run
 
@@ -217,14 +217,15 @@ def _found(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int)
         dealt = sized.join(blocks, ["key", "rest"]).withColumn("block", F.pmod(F.xxhash64("c", "key"), F.col("blocks")).cast("int"))
         if narrow:  # first one block of each group's component alone, which leaves little to meet all blocks
             dealt = dealt.where("rest OR block = 0")
+        dealt = cut(dealt)
         own = cut(text_of(dealt.select("c", "id", "x").distinct()))
         packed = dealt.join(own, "c").groupBy("key", "rest", "block").agg(F.collect_list(F.struct(F.col("c").alias("id"), "text")).alias("rows"))
         met_by = packed.where("NOT rest") if narrow else packed
         left = packed.where("rest").select("key", F.col("block").alias("mine"), "rows")
         right = met_by.select("key", "rest", "block", F.col("rows").alias("others"))
         met = left.join(right, "key").where("NOT rest OR block >= mine").select("rows", F.when(~(F.col("rest") & (F.col("block") == F.col("mine"))), F.col("others")).alias("others"))
-        links = cut(links.union(met.mapInArrow(_forest(size, percent), "a long, b long")))
-        comps = cut(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+        found = cut(met.mapInArrow(_forest(size, percent), "u long, v long"))
+        comps = cut(with_links(comps, found))
 
     found = classes.join(comps, F.col("c") == F.col("node"), "left").select("c", "id", F.coalesce("component", "c").alias("component"))
     least = found.groupBy("component").agg(F.min("id").alias("found"))

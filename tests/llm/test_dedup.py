@@ -5,7 +5,7 @@ import random
 import pytest
 
 from barloom.llm import near_dedup, substring_dedup
-from barloom.llm.components import connected_components
+from barloom.llm.components import connected_components, with_links
 from barloom.llm.exact_dedup import exact_dedup, kept_documents
 from barloom.llm.near_dedup import near_duplicates
 from barloom.llm.substring_dedup import remove_repeats
@@ -82,6 +82,41 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def tasks_of(spark, name, run):
+    """What ``run`` returns, and how many tasks Spark ran for it."""
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        out = run()
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    told = spark.sparkContext.statusTracker()
+    stages = {s for job in told.getJobIdsForGroup(name) for s in told.getJobInfo(job).stageIds}
+    return out, sum(told.getStageInfo(s).numCompletedTasks for s in stages)
+
+
+def test_components_of_stars_need_no_round(spark):
+    """The driver keeps a record of every task, so edges that are settled run few, over however many partitions."""
+    stars = [(100 * (i // 10), i + 1000) for i in range(60)]
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        got, tasks = tasks_of(spark, "stars", lambda: dict(connected_components(spark.createDataFrame(stars, "u long, v long").coalesce(1)).collect()))
+    finally:
+        spark.conf.unset(key)
+    assert got == {n: c for c, x in stars for n in (c, x)}
+    assert tasks <= 50
+
+
+def test_components_after_more_links(spark):
+    """Links inside components, between them, to and among new nodes give what all links together give."""
+    rng = random.Random(5)
+    some = [(rng.randrange(300), rng.randrange(300)) for _ in range(150)]
+    frame = lambda rows: spark.createDataFrame(rows, "u long, v long")
+    first = connected_components(frame(some)).localCheckpoint()
+    for more in ([], some[:9], [(rng.randrange(600), rng.randrange(600)) for _ in range(120)]):
+        assert sorted(with_links(first, frame(more)).collect()) == sorted(connected_components(frame(some + more)).collect())
+
+
 def cut_by_hand(docs, length):
     seen, out = set(), {}
     for d, text in sorted(docs):
